@@ -16,6 +16,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("rec_table", "doc_id", "rec_id", F.explode(F.array_distinct("spans.pii_type")).alias("pii_type")).distinct()
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Records with wrongly decoded characters."""
+    from attestant.llm.encoding import damaged_records
+
+    found = damaged_records(table(spark, folder, "canonical_rows", "doc_id", "id", "raw_text", "text"), table(spark, folder, "fragments", "doc_id", "fragment_id", "text"))
+    return found.select("rec_table", "doc_id", "rec_id").distinct()
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
