@@ -16,6 +16,20 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("rec_table", "doc_id", "rec_id", F.explode(F.array_distinct("spans.pii_type")).alias("pii_type")).distinct()
 
 
+def p2_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of each transcript (page 0) and page, with a confidence."""
+    from attestant.llm.language import languages
+
+    return languages(*(table(spark, folder, t) for t in ("canonical_rows", "transcript_lines", "doc_context", "common_words")))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Transcripts whose hint is missing or wrong, and pages in another language."""
+    from attestant.llm.language import corrections
+
+    return corrections(*(table(spark, folder, t) for t in ("canonical_rows", "transcript_lines", "doc_context", "common_words"))).select("doc_id", "physical_page", "lang_code")
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records with wrongly decoded characters."""
     from attestant.llm.encoding import damaged_records
