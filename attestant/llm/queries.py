@@ -30,6 +30,34 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return corrections(*(table(spark, folder, t) for t in ("canonical_rows", "transcript_lines", "doc_context", "common_words"))).select("doc_id", "physical_page", "lang_code")
 
 
+def p3_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    """Ordered turns with roles and parents of the transcripts without defect."""
+    from attestant.llm.conversations import conversations
+
+    return conversations(*(table(spark, folder, t) for t in ("canonical_rows", "transcript_lines", "doc_context", "page_frames")))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Transcripts that are empty, broken or lack answers."""
+    from attestant.llm.conversations import defects
+
+    return defects(*(table(spark, folder, t) for t in ("canonical_rows", "transcript_lines", "doc_context", "page_frames")))
+
+
+def p4_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Clean speaker turns of interviews."""
+    from attestant.llm.speech import speaker_turns
+
+    return speaker_turns(*(table(spark, folder, t) for t in ("canonical_rows", "transcript_lines", "doc_context", "participants")))
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Time marks, fillers, sounds and openings of turns in interviews."""
+    from attestant.llm.speech import findings
+
+    return findings(*(table(spark, folder, t) for t in ("canonical_rows", "transcript_lines", "doc_context", "participants")))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records with wrongly decoded characters."""
     from attestant.llm.encoding import damaged_records
