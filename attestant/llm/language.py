@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from attestant.llm.common import TESTIMONY, per_batch
 from attestant.llm.encoding import restore
 
-#: Bounds of the training sample: rows per language, languages, buckets of features.
-ROWS_PER_LANGUAGE, LANGUAGES, BUCKETS = 1200, 40, 1 << 16
+#: Bounds of the training sample: rows and transcripts per language, languages; and the buckets of features.
+ROWS_PER_LANGUAGE, TRANSCRIPTS_PER_LANGUAGE, LANGUAGES, BUCKETS = 1200, 300, 40, 1 << 16
 
 # Two-letter codes with the other spellings of each language, of ISO 639-2 and in English.
 CODES = {
@@ -234,12 +234,14 @@ def train(sample: list[tuple[str, str]], common: list[tuple[str, str]], rounds:
 def sample_rows(rows: DataFrame, contexts: DataFrame, per_language: int = ROWS_PER_LANGUAGE) -> list[tuple[str, str]]:
     """At most ``per_language`` rows (text, language) of each hinted language, and of the ``LANGUAGES`` commonest languages: a sample by hash.
 
-    The limit of each group is taken before the shuffle, so a language of a third of all rows costs no more than another.
+    Transcripts are drawn first, from the small table of contexts; their ids, LANGUAGES * TRANSCRIPTS_PER_LANGUAGE at most, go to every task,
+    so the rows are read once and not shuffled. The limit of each language is taken before the shuffle.
     """
     hinted = contexts.select("doc_id", code_of(F.col("language_hint.code")).alias("lang")).filter("lang is not null")
-    common = [r["lang"] for r in hinted.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect() if r["count"] > 0]
+    common = [r["lang"] for r in hinted.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
+    drawn = hinted.filter(F.col("lang").isin(common)).withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))).filter(F.col("n") <= TRANSCRIPTS_PER_LANGUAGE).select("doc_id", "lang")
     usable = rows.filter("disposition = 'dialogue' and event_kind in ('question_marker', 'answer_marker', 'text', 'speaker_anchor') and length(text) between 20 and 400")
-    usable = usable.select("doc_id", "text", F.xxhash64("doc_id", "id").alias("h")).join(hinted.filter(F.col("lang").isin(common)), "doc_id")
+    usable = usable.select("doc_id", "text", F.xxhash64("doc_id", "id").alias("h")).join(F.broadcast(drawn), "doc_id")
     ranked = usable.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("h", "text"))).filter(F.col("n") <= per_language)
     return [(r["text"], r["lang"]) for r in ranked.select("text", "lang", "h").collect()]
 
