@@ -222,16 +222,23 @@ _TRADES = frozenset("freight storage quarry brokers mills works supply insurance
 
 
 def given_names(participants: DataFrame, share: float = 0.0005, least: int = 3) -> list[str]:
-    """Given names that at least this share of the named participants bear: at most 1/share of them, whatever the table's size."""
+    """Given names that at least this share of the named participants bear: at most 2 / share of them, whatever the table's size.
+
+    A word is a given name if it stands twice as often in a given name's place (first, or after a comma) as in a surname's.
+    """
     name = F.regexp_replace("canonical_name", r"(?i)\s*(<.*|\(.*|,? tel\.? .*| of \d.*|,? esq\.?.*)$", "")
     name = F.trim(F.regexp_replace(name, r"(?i)^(mr|mrs|ms|dr|miss|prof)\.? ", ""))
-    first = F.regexp_extract(F.when(name.contains(","), F.regexp_extract(name, r",\s*(.*)$", 1)).otherwise(name), r"^\s*(\p{L}{3,})(?=\s|$)", 1)
-    named = participants.filter("canonical_name is not null").select(F.lower(first).alias("g"), F.lower(name).alias("n"))
+    named = participants.filter("canonical_name is not null").select(F.lower(name).alias("n"))
     org = r"\b(" + "|".join([*ORG_END, *sorted(_TRADES)]) + r")\b|redacted|^the "
-    counts = named.filter(~F.col("n").rlike(org)).groupBy("g").agg(F.count("*").alias("c"))
+    words = F.regexp_extract_all(F.col("n"), F.lit(r"(\p{L}{3,})"), F.lit(1))
+    both = named.filter(~F.col("n").rlike(org)).withColumn("w", words).filter(F.size("w") >= 2)
+    comma = F.col("n").contains(",")
+    first, last = F.element_at("w", 1), F.element_at("w", -1)
+    seen = both.select(F.when(comma, last).otherwise(first).alias("given"), F.when(comma, first).otherwise(last).alias("main"))
+    places = seen.select(F.explode(F.array(F.struct(F.col("given").alias("g"), F.lit(1).alias("as_given")), F.struct(F.col("main").alias("g"), F.lit(0).alias("as_given")))).alias("p")).select("p.*")
     total = participants.filter("canonical_name is not null").count()
-    rows = counts.filter((F.col("g") != "") & (F.col("c") >= max(least, share * total))).collect()
-    return sorted(r["g"] for r in rows if r["g"] not in _NO_SURNAME)
+    counts = places.groupBy("g").agg(F.sum("as_given").alias("c"), F.count("*").alias("n")).filter((F.col("c") >= max(least, share * total)) & (F.col("c") > 2 * (F.col("n") - F.col("c"))))
+    return sorted(r["g"] for r in counts.collect() if r["g"] not in _NO_SURNAME)
 
 
 # Short forms of common given names.

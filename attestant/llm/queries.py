@@ -58,6 +58,20 @@ def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     return findings(*(table(spark, folder, t) for t in ("canonical_rows", "transcript_lines", "doc_context", "participants")))
 
 
+def p5_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """The person or organisation of each named participant."""
+    from attestant.llm.names import linked
+
+    return linked(table(spark, folder, "participants"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of participants of a matter that are the same."""
+    from attestant.llm.names import pairs
+
+    return pairs(table(spark, folder, "participants"))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records with wrongly decoded characters."""
     from attestant.llm.encoding import damaged_records
