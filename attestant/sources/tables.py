@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,12 +14,24 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Writes the rows once to the folder all executors share, so that later passes read them again and survive a lost executor.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir of the session; only where that is unset (tests, one machine) one of its own."""
+    sc = spark.sparkContext
+    folder = sc._jsc.sc().getCheckpointDir()
+    if folder.isDefined():
+        return folder.get()
+    own = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="attestant-")
+    sc.setCheckpointDir(own)
+    return sc._jsc.sc().getCheckpointDir().get()
+
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests, one machine) a folder of its own is set.
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Writes the rows once, as Parquet in the shared folder, and reads them from there: later passes take only the columns they need and
+    survive lost executors. The files go when the application ends.
     """
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="attestant-checkpoint-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    where = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(where)
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return spark.read.schema(df.schema).parquet(where)
