@@ -80,6 +80,20 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("rec_table", "doc_id", "rec_id").distinct()
 
 
+def p7_paragraphs(spark: SparkSession, folder: str) -> DataFrame:
+    """Scanned pages as continuous, repaired paragraphs."""
+    from attestant.llm.scans import paragraphs
+
+    return paragraphs(table(spark, folder, "canonical_rows"), table(spark, folder, "transcript_lines"))
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Headers, page numbers, broken words and misread letters in scanned rows."""
+    from attestant.llm.scans import findings
+
+    return findings(table(spark, folder, "canonical_rows"), table(spark, folder, "transcript_lines"))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
