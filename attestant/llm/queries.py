@@ -94,6 +94,20 @@ def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     return findings(table(spark, folder, "canonical_rows"), table(spark, folder, "transcript_lines"))
 
 
+def p8_cleaned(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages with leaked evaluation texts, without these."""
+    from attestant.llm.leaks import cleaned
+
+    return cleaned(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages and the evaluation items that leaked into them."""
+    from attestant.llm.leaks import leaked
+
+    return leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id").distinct()
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
