@@ -31,3 +31,15 @@ def distinct_rows(rows: DataFrame, *columns: str) -> DataFrame:
     """
     rest = [c for c in columns if c not in ("doc_id", "id")]
     return rows.groupBy("doc_id", "id").agg(F.max_by(F.struct(*rest), F.coalesce(F.col("ingested_at"), F.lit(0).cast("timestamp"))).alias("r")).select("doc_id", "id", *[F.col("r")[c].alias(c) for c in rest])
+
+
+def chunks(texts: list[str], most: int = 1_500_000) -> Iterator[tuple[int, int]]:
+    """Ranges of texts with about ``most`` characters together, so that arrays over their characters stay small; one long text is a range of its own."""
+    first = size = 0
+    for k, t in enumerate(texts):
+        if k > first and size + len(t) > most:
+            yield first, k
+            first, size = k, 0
+        size += len(t) + 1
+    if first < len(texts):
+        yield first, len(texts)

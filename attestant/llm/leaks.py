@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestant.llm.common import per_batch
+from attestant.llm.common import chunks, per_batch
 
 #: Letters in a window, consecutive words that make a leak, characters of items looked for in one pass, and pixels between columns.
 WINDOW, LEAST_WORDS, PASS_CHARS, COLUMN_GAP = 16, 18, 20_000_000, 60
@@ -262,25 +263,9 @@ def _passages(documents: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
             for k in scattered:
                 if all(c[k].is_valid for c in boxes):
                     texts[k] = in_columns(texts[k], *(c[k].as_py() for c in boxes))
-            # one run over all texts of the batch; a page break is no letter, so windows over it are cut out below
-            starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
             for a, z in _LIGATURES.items():  # same length, so that positions hold
                 texts = [t.replace(a, z[0]) if a in t else t for t in texts]
-            codes, where = tokens("\n".join(texts))
-            h = windows(codes)
-            hits = index.hits(h)
-            doc = np.searchsorted(starts, where[hits], "right") - 1
-            same = where[hits + WINDOW - 1] < starts[doc + 1]
-            hits, doc = hits[same], doc[same]
-            out = []
-            bounds = np.searchsorted(where, starts)
-            for k in np.unique(doc):
-                lo, up = bounds[k], bounds[k + 1]
-                own = hits[doc == k] - lo
-                for item, n, x, y in index.leaks(codes[lo:up], h[lo:up], own):
-                    first = int(where[lo + x] - starts[k])
-                    after = int(where[min(lo + y, up) - 1] - starts[k]) + 1
-                    out.append((k, index.ids[item], n, texts[k], first, after))
+            out = [(k, index.ids[item], n, texts[k], first, after) for lo, up in chunks(texts) for k, item, n, first, after in _in_chunk(index, texts[lo:up], lo)]
             if not out:
                 return None
             cols = list(zip(*out, strict=True))
@@ -291,6 +276,22 @@ def _passages(documents: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
     return per_batch(boxed(documents), make, "doc_id long, item_id long, words int, text string, first int, after int")
 
 
+def _in_chunk(index: Index, texts: list[str], base: int) -> Iterator[tuple[int, int, int, int, int]]:
+    """(text, item, words, first, after) for the leaks in some texts: one run over all of them, windows over a text's end cut out."""
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    codes, where = tokens("\n".join(texts))
+    h = windows(codes)
+    hits = index.hits(h)
+    doc = np.searchsorted(starts, where[hits], "right") - 1
+    same = where[hits + WINDOW - 1] < starts[doc + 1]
+    hits, doc = hits[same], doc[same]
+    bounds = np.searchsorted(where, starts)
+    for k in np.unique(doc):
+        lo, up = bounds[k], bounds[k + 1]
+        for item, n, x, y in index.leaks(codes[lo:up], h[lo:up], hits[doc == k] - lo):
+            yield base + int(k), item, n, int(where[lo + x] - starts[k]), int(where[min(lo + y, up) - 1] - starts[k]) + 1
+
+
 def _scattered(x: pa.Array) -> np.ndarray:
     """Rows of a list column of left edges that jump back from column to column."""
     flat = x.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -108,6 +108,34 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id").distinct()
 
 
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mixture, with their tokens and copies."""
+    from attestant.llm.mixing import mixture
+
+    return mixture(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of each listed source."""
+    from attestant.llm.mixing import shares
+
+    return shares(table(spark, folder, "documents"), table(spark, folder, "mix_targets"))
+
+
+def p10_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Text statistics of each page."""
+    from attestant.llm.quality import statistics
+
+    return statistics(table(spark, folder, "documents"), table(spark, folder, "common_words"))
+
+
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pages that are mainly lists, tables or junk."""
+    from attestant.llm.quality import kinds
+
+    return kinds(table(spark, folder, "documents"), table(spark, folder, "common_words")).distinct()
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
