@@ -22,6 +22,8 @@ from attestant.llm.common import chunks, per_batch
 
 #: Letters in a window, consecutive words that make a leak, characters of items looked for in one pass, and pixels between columns.
 WINDOW, LEAST_WORDS, PASS_CHARS, COLUMN_GAP = 16, 18, 20_000_000, 60
+#: Words that a passage may win at either edge, where misread letters cut windows off.
+WIDEN = 4
 
 # Letters that scans take for one another (one token each), and pairs taken for one letter.
 CLASSES = ("aoec0", "trf", "li1|!j", "hb8ß6", "un", "yv", "s5", "gq9", "z2", "kx")
@@ -135,14 +137,24 @@ class Index:
         which = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         owner, place = self.owner[which], self.place[which]
         out = []
-        for k in np.unique(owner):
-            own = owner == k
-            best = self._passage(codes, int(k), doc_at[own], place[own])
+        order = np.argsort(owner, kind="stable")
+        owner, place, doc_at = owner[order], place[order], doc_at[order]
+        firsts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        low, high = np.minimum.reduceat(place, firsts), np.maximum.reduceat(place, firsts) + WINDOW
+        for k, a, z, p, q in zip(owner[firsts], firsts, np.r_[firsts[1:], len(owner)], low, high, strict=True):
+            if self._within(int(k), int(p), int(q)) < least - 2 * WIDEN:  # whatever lies between the outermost windows, it is too short
+                continue
+            best = self._passage(codes, int(k), doc_at[a:z], place[a:z], least)
             if best and best[0] >= least:
                 out.append((int(k), *best))
         return out
 
-    def _passage(self, codes: np.ndarray, k: int, at: np.ndarray, place: np.ndarray) -> tuple[int, int, int] | None:
+    def _within(self, k: int, a: int, b: int) -> int:
+        """Whole words of an item between two of its tokens."""
+        words = self.words[k]
+        return max(0, int(np.searchsorted(words[:, 1], b, "right") - np.searchsorted(words[:, 0], a, "left")))
+
+    def _passage(self, codes: np.ndarray, k: int, at: np.ndarray, place: np.ndarray, least: int) -> tuple[int, int, int] | None:
         item, words = self.codes[k], self.words[k]
         # runs of windows on one diagonal
         diagonal = at - place
@@ -164,8 +176,10 @@ class Index:
                 if j not in used and d > b and v > y and abs((u - c) - (y - b)) <= 6 and u < y + 4 * WINDOW + 6 and self._alike(item[b:c], codes[y:u]):
                     b, y = d, v
                     used.add(j)
+            if self._within(k, a, b) < least - 2 * WIDEN:
+                continue
             a, x, b, y = self._widened(codes, item, words, a, x, b, y)
-            n = int(((words[:, 0] >= a) & (words[:, 1] <= b)).sum())
+            n = self._within(k, a, b)
             if best is None or n > best[0]:
                 best = (n, x, y)
         return best
@@ -180,7 +194,7 @@ class Index:
     @staticmethod
     def _widened(codes: np.ndarray, item: np.ndarray, words: np.ndarray, a: int, x: int, b: int, y: int) -> tuple[int, int, int, int]:
         """The passage with the words at its edges that a misread letter cut off."""
-        for _ in range(4):
+        for _ in range(WIDEN):
             w = words[(words[:, 0] < b + 1) & (words[:, 1] > b)]
             if not len(w):
                 break
@@ -192,7 +206,7 @@ class Index:
                 b = e
             else:
                 break
-        for _ in range(4):
+        for _ in range(WIDEN):
             w = words[(words[:, 0] < a) & (words[:, 1] > a - 1)]
             if not len(w):
                 break
