@@ -5,10 +5,10 @@ import pytest
 from attestant.plans.transcript import Transcripts
 
 DOCS = {
-    "cross_page": ["00012\n20 Q. Where were\n21 you on the night\n22 that the pump", "00013\n1 failed?\n2 A. At home."],
+    "cross_page": ["1 00012\n20 Q. Where were\n21 you on the night\n22 that the pump", "2 00013\n1 failed?\n2 A. At home."],
     "bare_a": ["9 Q. Do you have\n10 Q. Do you really have\n11 a product like it?\n12 A     Yes.\n13 A. Truly."],
     "unknown_gap": ["5 Q. What did he say\n6 about it?\n8 something else\n9 and more\n10 A. Nothing."],
-    "tail": ["00012\n21 Q. Did you see\n22 the man", "00013\n1 who came in?\n2 A. No."],
+    "tail": ["1 00012\n21 Q. Did you see\n22 the man", "2 00013\n1 who came in?\n2 A. No."],
     "redacted": ["1 BY [REDACTED]:\n2 Q. Who was there?\n3 A. Two men.\n4 [REDACTED]: Q. Where?\n5 A. Outside."],
     "mixed": ["Mr. Smith. I call the witness to order now.\nMs. Jones. I have no remarks at all.\nEXAMINATION\nBY MR. SMITH:\nQ. Were you there?\nA. I was."],
     "wrap": ["ALICE SMITH: I counted\n12 jurors in the room\nBOB JONES: I saw\nall of them."],
@@ -20,6 +20,8 @@ DOCS = {
     "inline": ["1 Q. Who?\n2 A. I met [REDACTED] in June.\n3 and July."],
     "index": ["1 Q. One?\n2 A. Two.", "INDEX OF EXHIBITS\nExhibit 1"],
     "david": ["DAVID MARKUS: A what?\nJANE ROE: A product.\nDAVID MARKUS: I see."],
+    "learned": ["1 00048\n1 BY MR. SCOTT:\n2 Q. What happened?\n3 A. Nothing at all.\n4 A     Still nothing.\n6 Q. Why?"],
+    "behaviour": ["1 JOHN DOE: Q. Where did you go?\n2 JANE DOE: A. To the yard."],
     "empty": [""],
 }
 
@@ -128,3 +130,32 @@ def test_empty_document_is_blocked(parsed):
 def test_confidence_and_json(parsed):
     assert all(0 <= r["parse_confidence"] <= 0.95 for r in parsed.confidence.collect())
     assert parsed.document_json().count() == len(DOCS)
+
+
+def test_learned_participants_marks_and_gaps(parsed):
+    assert parsed.participants_before.filter("doc_id = 'learned' and display_label = 'MR. SCOTT'").count() == 1
+    seen = {r["pattern"]: r["observations"] for r in parsed.rules.filter("doc_id = 'learned'").collect()}
+    assert seen["Q."] == 2 and seen["A."] == 1 and seen["A"] == 1 and seen["QUESTION:"] == 0
+    gap = parsed.gaps.filter("doc_id = 'learned'").collect()
+    assert [(g["gap_kind"], g["first_missing"], g["last_missing"]) for g in gap] == [("missing_lines", 5, 5)]
+
+
+def test_roles_from_behaviour(parsed):
+    roles = {r["display_label"]: r["speaker_role"] for r in parsed.participants_before.filter("doc_id = 'behaviour'").collect()}
+    assert roles == {"JOHN DOE": "attorney", "JANE DOE": "witness"}
+
+
+def test_unpaired_answer_after_a_gap(parsed):
+    from attestant.operators.turns import unpaired_answers
+
+    assert unpaired_answers(parsed.blocks.filter("doc_id = 'gap'")).count() == 1
+
+
+def test_fold_and_windows_agree_on_continuity(parsed, lines):
+    from attestant.operators.inventory import continuity
+
+    spoken = parsed.source_rows.filter("disposition in ('dialogue', 'blank_numbered_line')")
+    by_window = {(r["doc_id"], r["id"]): r["source_continuity"] for r in continuity(spoken).collect()}
+    for doc, own in lines.items():
+        for x in own:
+            assert by_window[(doc, x["source_row_id"])] == x["source_continuity"]
