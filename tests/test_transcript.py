@@ -21,7 +21,7 @@ DOCS = {
     "index": ["1 Q. One?\n2 A. Two.", "INDEX OF EXHIBITS\nExhibit 1"],
     "david": ["DAVID MARKUS: A what?\nJANE ROE: A product.\nDAVID MARKUS: I see."],
     "learned": ["1 00048\n1 BY MR. SCOTT:\n2 Q. What happened?\n3 A. Nothing at all.\n4 A     Still nothing.\n6 Q. Why?"],
-    "behaviour": ["1 JOHN DOE: Q. Where did you go?\n2 JANE DOE: A. To the yard."],
+    "behaviour": ["1 PAGE 1\n1 JOHN DOE: Q. Where did you go?\n2 JANE DOE: A. To the yard."],
     "empty": [""],
 }
 
