@@ -7,8 +7,8 @@ matched spans are replaced, so correct text beside them stays as it is.
 
 from __future__ import annotations
 
-import bisect
 import re
+from collections import Counter
 from functools import cache
 
 import ahocorasick
@@ -57,34 +57,42 @@ def _weak(garbled: str, encoding: str) -> bool:
 
 
 @cache
-def sequences() -> dict[str, tuple[str, bool]]:
-    """Garbled sequence -> (character, whether it counts only beside another one)."""
-    out: dict[str, tuple[str, bool]] = {}
+def sequences() -> dict[str, dict[str, tuple[str, bool]]]:
+    """Garbled sequence -> by wrong encoding (two for text decoded wrongly twice) the character, and whether it counts only beside another one."""
+    out: dict[str, dict[str, tuple[str, bool]]] = {}
     for c in repertoire():
         for e in READ_AS:
             once = misread(c, e)
-            for g in (once, misread(once, e), misread(once, "cp1252")) if e in ("latin-1", "cp1252", "cp1250") else (once,):
+            ways = [(e, once)]
+            if e in ("latin-1", "cp1252", "cp1250"):
+                ways += [(f"{e} {e}", misread(once, e)), (f"{e} cp1252", misread(once, "cp1252"))]
+            for way, g in ways:
                 if len(g) > 1 and g != c:
-                    weak = _weak(g, e)
-                    if g not in out or out[g][1] and not weak:
-                        out.setdefault(g, (c, weak))
-                        out[g] = (out[g][0], out[g][1] and weak)
+                    out.setdefault(g, {}).setdefault(way, (c, _weak(g, e)))
         lost = c.encode()  # bytes of which one was lost on the way
         for e in ("latin-1", "cp1252"):
             if len(lost) == 2 and 0x80 <= lost[1] < 0xC0:
-                out.setdefault(_bytes(e)[lost[0]] + LOST, (LOST, False))
+                out.setdefault(_bytes(e)[lost[0]] + LOST, {}).setdefault(e, (LOST, False))
     return out
 
 
 @cache
 def automaton() -> ahocorasick.Automaton:
     auto = ahocorasick.Automaton()
-    for g, (c, weak) in sequences().items():
-        auto.add_word(g, (len(g), c, weak))
+    for g, ways in sequences().items():
+        auto.add_word(g, (len(g), ways))
     auto.make_automaton()
     return auto
 
 
+def _hits(text: str) -> list[tuple[int, int, str, bool]]:
+    """Longest sequences from the left; where one may come from several encodings, that counts which explains most of the text's."""
+    found = [(end + 1 - n, end + 1, ways) for end, (n, ways) in automaton().iter_long(text)]
+    votes = Counter(w for _, _, ways in found for w in ways)
+    rank = lambda w: (votes[w[0]], -READ_AS.index(w[0].split(" ")[0]))
+    return [(a, b, max(ways.items(), key=rank)[1][0], all(weak for _, weak in ways.values())) for a, b, ways in found]
+
+
 # A one-byte encoding read in another: a few signs that never stand inside a word of lower-case letters.
 _INSIDE = re.compile(r"(?<=[a-z])[ΓΘΦΩαδεπ-φ⌐─-◿¡¢£¤¥¦¨©ª«¬®¯±²³´µ¶¸¹»¼½¾¿](?=[a-z])")
 _CAPITAL_INSIDE = re.compile(r"(?<=[a-z])[À-ÖØ-ÞŽŠŒŸ](?=[a-z])")
@@ -141,11 +149,12 @@ def _one_byte(text: str) -> list[tuple[int, int, str]]:
 
 def spans(text: str) -> list[tuple[int, int, str]]:
     """Damaged spans (start, end, original), in order; the original is U+FFFD where it can't be restored."""
-    hits = [(end + 1 - n, end + 1, c, weak) for end, (n, c, weak) in automaton().iter_long(text)]
+    hits = _hits(text)
+    sure = sum(not weak for *_, weak in hits)
     out = []
     for i, (a, b, c, weak) in enumerate(hits):
         beside = i and hits[i - 1][1] == a or i + 1 < len(hits) and hits[i + 1][0] == b
-        if not weak or beside and not (hits[i - 1][3] and i and hits[i - 1][1] == a and text[hits[i - 1][0] : b].istitle()):
+        if not weak or beside or sure >= 2:
             out.append((a, b, c))
     if not out and (other := _one_byte(text)):
         return other

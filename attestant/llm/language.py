@@ -148,6 +148,8 @@ def cleaned(sample: list[tuple[str, str]], turns: int = 3) -> list[tuple[str, st
 
     Words' frequencies under each label (multinomial, smoothed) relabel the rows, and are counted again, a few times over.
     """
+    if not sample:
+        return []
     languages = sorted({x for _, x in sample})
     at = {x: i for i, x in enumerate(languages)}
     vocab: dict[str, int] = {}
@@ -182,8 +184,10 @@ def train(sample: list[tuple[str, str]], common: list[tuple[str, str]], rounds:
             lexicon.setdefault(word.lower(), []).append(lang)
     rows = [(WORD.findall(spoken(t))[:24], at[x]) for t, x in sample if t]
     rows = [(w, x) for w, x in rows if w]
+    if not rows:
+        return Model(languages, np.zeros((BUCKETS, len(languages)), np.float32), np.zeros((len(languages), len(languages))), lexicon)
     order = rng.permutation(len(rows))
-    spliced = []
+    spliced = [(w, [x] * len(w)) for w, x in rows[-1:]] if len(rows) == 1 else []
     for i, j in zip(order[::2], order[1::2], strict=False):
         (a, x), (b, y) = rows[i], rows[j]
         if rng.random() < 0.3:
@@ -203,7 +207,6 @@ def train(sample: list[tuple[str, str]], common: list[tuple[str, str]], rounds:
     owner = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
     k = len(languages)
     weights, trans = np.zeros((len(used), k)), np.zeros((k, k))
-    onehot = np.eye(k)
     count_gold = np.zeros((len(vocab), k))
     np.add.at(count_gold, (ids[there], gold[there]), 1.0)
     moves_gold = np.zeros((k, k))
@@ -227,7 +230,6 @@ def train(sample: list[tuple[str, str]], common: list[tuple[str, str]], rounds:
             x += 0.15 * (s / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
     full = np.zeros((BUCKETS, k))
     full[used] = weights
-    del onehot
     return Model(languages, full.astype(np.float32), trans, lexicon)
 
 
@@ -294,9 +296,10 @@ def page_letters(rows: DataFrame, lines: DataFrame, model: Model) -> DataFrame:
 
 
 def fit(rows: DataFrame, contexts: DataFrame, common_words: DataFrame) -> Model:
-    sample = sample_rows(rows, contexts)
+    """Trains on hinted rows; without any on the common words alone, and without these the only language is 'und'."""
+    sample = cleaned(sample_rows(rows, contexts))
     common = [(r["lang"], r["word"]) for r in common_words.select("lang", "word").limit(10_000).collect()]
-    return train(cleaned(sample) or [("", "en")], common)
+    return train(sample or [(w, x) for x, w in common if x and w] or [("", "und")], common)
 
 
 def languages(rows: DataFrame, lines: DataFrame, contexts: DataFrame, common_words: DataFrame) -> DataFrame:
@@ -320,4 +323,4 @@ def corrections(rows: DataFrame, lines: DataFrame, contexts: DataFrame, common_w
     needed = 0.5 + 0.4 * F.exp(-F.col("letters") / 40)
     wrong = (F.col("physical_page") == 0) & (F.col("hint").isNull() | (F.col("hint") != F.col("main")))
     other = (F.col("physical_page") > 0) & (F.col("lang_code") != F.col("main")) & (F.col("confidence") > needed)
-    return both.filter(wrong | other).select("doc_id", "physical_page", "lang_code", "confidence")
+    return both.filter((F.col("lang_code") != "und") & (wrong | other)).select("doc_id", "physical_page", "lang_code", "confidence")

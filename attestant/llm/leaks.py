@@ -201,7 +201,7 @@ class Index:
             s, e = int(w[0][0]), int(w[0][1])
             want, n = item[s:e], e - s
             have = codes[max(0, y - (b - s)) : y - (b - s) + n + 1]
-            if n >= 3 and SequenceMatcher(None, want.tobytes(), have[:n].tobytes(), False).ratio() >= 0.67 or n < 3 and have[:n].tobytes() == want.tobytes():
+            if _same_word(want, have[:n]) or n > 3 and (_same_word(want, have[: n + 1]) or _same_word(want, have[: n - 1])):
                 y += e - b
                 b = e
             else:
@@ -214,7 +214,7 @@ class Index:
             want, n = item[s:e], e - s
             end = x + (e - a)
             have = codes[max(0, end - n) : end]
-            if n >= 3 and SequenceMatcher(None, want.tobytes(), have.tobytes(), False).ratio() >= 0.67 or n < 3 and have.tobytes() == want.tobytes():
+            if _same_word(want, have) or n > 3 and (_same_word(want, codes[max(0, end - n - 1) : end]) or _same_word(want, codes[max(0, end - n + 1) : end])):
                 x -= a - s
                 a = s
             else:
@@ -222,6 +222,19 @@ class Index:
         return a, max(0, x), b, min(y, len(codes))
 
 
+def _same_word(want: np.ndarray, have: np.ndarray) -> bool:
+    """Whether two words' tokens are the same but for a misread one in five or six; of other lengths, but for one left out or put in."""
+    n, m = len(want), len(have)
+    if n == m:
+        wrong = int((want != have).sum())
+        return wrong == 0 or n > 2 and wrong <= max(1, n // 5)
+    if abs(n - m) != 1:
+        return False
+    long, short = (want, have) if n > m else (have, want)
+    k = int(np.argmax(np.r_[long[:-1] != short, True]))
+    return bool((long[k + 1 :] == short[k:]).all())
+
+
 def reading_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Order of lines column by column: columns by their left edges, lines by their tops."""
     by_x = np.argsort(x, kind="stable")

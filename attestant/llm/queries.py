@@ -141,4 +141,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from attestant.llm import oracles
+
+    return oracles.oracle_sql()
