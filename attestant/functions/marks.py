@@ -53,14 +53,15 @@ def numbered(c: Column, most: int = MAX_LINE) -> Column:
 
 def leading_number(c: Column) -> Column:
     """A first word that is a number in 1..50, else null."""
-    n = F.regexp_extract(left_trimmed(c), r"^([0-9]{1,5})($|[\s\p{Z}])", 1).try_cast("int")
+    n = F.regexp_extract(c, r"^[\s\p{Z}]*([0-9]{1,5})($|[\s\p{Z}])", 1).try_cast("int")
     return F.when((n >= 1) & (n <= MAX_LEADING), n)
 
 
 def without_leading_digits(c: Column) -> Column:
-    """The line without digits before it that say 1..50, even where a letter follows them."""
-    n = F.regexp_extract(left_trimmed(c), r"^([0-9]{1,5})", 1).try_cast("int")
-    return F.when((n >= 1) & (n <= MAX_LEADING), left_trimmed(F.regexp_replace(left_trimmed(c), r"^[0-9]+", ""))).otherwise(trimmed(c))
+    """A trimmed line without digits before it that say 1..50, even where a letter follows them."""
+    n = F.regexp_extract(c, r"^[\s\p{Z}]*([0-9]{1,5})", 1).try_cast("int")
+    bare = F.when((n >= 1) & (n <= MAX_LEADING), F.regexp_replace(c, r"^[\s\p{Z}]*[0-9]+[\s\p{Z}]*", "")).otherwise(c)
+    return F.when(c.rlike(r"^[\s\p{Z}]*[0-9]"), bare).otherwise(c)
 
 
 def page_mark(c: Column) -> Column:
