@@ -76,8 +76,8 @@ def role_form(label: str) -> str:
 def _like_role(form: str) -> bool:
     if form in _ROLE_FORMS:
         return True
-    # one misread letter in a longer role word
-    return len(form) >= 6 and any(abs(len(r) - len(form)) <= 1 and r[:1] == form[:1] and sum(a != b for a, b in zip(r, form, strict=False)) <= 1 for r in _LONG_ROLES)
+    # one misread letter in a longer role word, two in a very long one
+    return len(form) >= 6 and any(len(r) == len(form) and sum(a != b for a, b in zip(r, form, strict=True)) <= 1 + (len(r) >= 9) for r in _LONG_ROLES)
 
 
 _ROLE_FORMS = frozenset(role_form(r) for r in ROLES)
@@ -163,7 +163,7 @@ class Finder:
                         numbers = numbers[:a] + "\x00" * (b - a) + numbers[b:]
                         work = work[:a] + "\x00" * (b - a) + work[b:]
         label_end = 0
-        if bits & 32 and (m := LABEL.match(work)) and is_person_label(m.group(1)) and (self._label_like(m.group(1)) or text[m.end(1) :].lstrip()[:1] in "-–—"):
+        if bits & 32 and (m := LABEL.match(work)) and is_person_label(m.group(1)) and self._label_like(m.group(1), text[m.end(1) :].strip()):
             take(m, "name", 1)
             label_end = m.end()
         if bits & 8:
@@ -175,10 +175,14 @@ class Finder:
                 out.append((m[0], m[1], "name"))
         return sorted(out)
 
-    def _label_like(self, label: str) -> bool:
+    def _label_like(self, label: str, rest: str) -> bool:
+        """Whether what stands before a colon or dash is written like a label; before a dash, which headings and asides have as well, only names of few words are."""
         words = _TOKEN.findall(label)
         small = sum(w[0].islower() for w in words)
-        return small == 0 or small <= len(words) // 3
+        if rest[:1] == ":":
+            return small <= len(words) // 3
+        says = rest[1:].split()
+        return rest[:1] != "—" and small == 0 and len(words) <= 4 and label.strip()[-1:] != "," and (len(says) > 1 or says != [] and says[0][-1] in ".?!,")
 
     def _named(self, text: str) -> list[tuple[int, int]]:
         """Given names that a capitalised surname follows, with initials between or not."""
