@@ -159,3 +159,19 @@ def test_fold_and_windows_agree_on_continuity(parsed, lines):
     for doc, own in lines.items():
         for x in own:
             assert by_window[(doc, x["source_row_id"])] == x["source_continuity"]
+
+
+def test_sinks(parsed, spark, tmp_path):
+    from attestant.sources import sinks
+
+    sinks.write_json(parsed, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == len(DOCS)
+    sinks.write_relations(parsed, str(tmp_path / "rel"), names=("exchanges", "edges", "page_frames"))
+    assert spark.read.parquet(str(tmp_path / "rel/page_frames")).count() == parsed.pages.filter("text <> ''").count()
+
+
+def test_rows_without_page_are_kept(spark):
+    from attestant.operators.inventory import continuity
+
+    rows = spark.createDataFrame([("d", None, 0, None, None), ("d", 1, 0, None, 1), ("d", 1, 1, None, 2)], "doc_id string, physical_page int, row_index int, transcript_page string, line_number int")
+    assert [r["source_continuity"] for r in continuity(rows).orderBy("physical_page", "row_index").collect()] == ["first_observed", "first_observed", "continuous"]
