@@ -15,7 +15,6 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -284,57 +283,59 @@ def stars(spellings: DataFrame, edges: DataFrame) -> DataFrame:
     return out
 
 
-def split_star(group: pd.DataFrame) -> pd.DataFrame:
-    """Splits the ways to write names of one main name into persons: stars around the commonest full given names.
+def split_star(ways: list[dict]) -> list[int]:
+    """Splits the ways to write names of one main name into persons or organisations: the number of each way's star.
 
-    group has ``way`` numbers, given (list), titles (list), trade, weight. Ways with a given name are compared by Monge-Elkan similarity;
-    ways with only an initial join the star it fits, ways with neither the only star, else the one that shares their title and is largest.
+    A way has ``way`` (a text that identifies it), given (list), titles (list), trade, weight. Ways with a given name are compared by
+    Monge-Elkan similarity, heaviest first; ways with only an initial join the star it fits, ways with neither the only star, else the one that
+    shares their title and is largest. The ways of a main name are few, however many participants write it so.
     """
-    group = group.sort_values(["weight", "way"], ascending=[False, True]).reset_index(drop=True)
-    centres: list[tuple[tuple[str, ...], set, float, str, str]] = []
-    cluster: dict[int, int] = {}
-    full = [tuple(g for g in r if len(g) > 1) for r in group.given]
-    first = [next((g[0] for g in r), "") for r in group.given]
-    weight = list(group.weight)
-    star_titles: list[set] = []
-    star_weight: list[float] = []
+    order = sorted(range(len(ways)), key=lambda i: (-ways[i]["weight"], ways[i]["way"]))
+    full = [tuple(g for g in w["given"] or () if len(g) > 1) for w in ways]
+    first = [next((g[0] for g in w["given"] or ()), "") for w in ways]
+    centres: list[int] = []
+    titles: list[set] = []
+    weights: list[float] = []
+    star: dict[int, int] = {}
 
     def put(i: int, c: int) -> None:
-        cluster[i] = c
-        star_titles[c] |= set(group.titles[i])
-        star_weight[c] += weight[i]
-
-    def new(i: int) -> None:
-        centres.append((full[i], set(), weight[i], first[i], group.trade[i]))
-        star_titles.append(set())
-        star_weight.append(0.0)
-        put(i, len(centres) - 1)
-
-    for i in range(len(group)):
-        if full[i] or group.trade[i]:
-            if group.trade[i]:
-                scores = [closeness(group.trade[i], c[4]) if c[4] else 0.0 for c in centres]
-                least = 0.85
-            else:
-                scores = [monge_elkan(full[i][:1], c[0]) if c[0] else 0.0 for c in centres]
-                least = SAME_GIVEN if len(full[i][0]) > 5 else 0.75
-            best = max(range(len(centres)), key=lambda c: (scores[c], star_weight[c]), default=None)
-            if best is not None and scores[best] >= least:
-                put(i, best)
-            else:
-                new(i)
+        if c == len(centres):
+            centres.append(i)
+            titles.append(set())
+            weights.append(0.0)
+        star[i] = c
+        titles[c] |= set(ways[i]["titles"] or ())
+        weights[c] += ways[i]["weight"]
+
+    for i in order:
+        trade = ways[i]["trade"]
+        if trade:
+            scores, least = [closeness(trade, ways[c]["trade"]) if ways[c]["trade"] else 0.0 for c in centres], 0.85
+        elif full[i]:
+            scores, least = [monge_elkan(full[i][:1], full[c]) for c in centres], SAME_GIVEN if len(full[i][0]) > 5 else 0.75
+        else:
+            continue
+        best = max(range(len(centres)), key=lambda c: (scores[c], weights[c]), default=None)
+        put(i, best if best is not None and scores[best] >= least else len(centres))
     named = len(centres)
-    for want_initial in (True, False):
-        for i in range(len(group)):
-            if i in cluster or bool(first[i]) != want_initial:
-                continue
-            fits = [c for c in range(len(centres)) if not first[i] or (centres[c][3] or first[i]) == first[i] or any(x[0] == first[i] for x in full_forms(centres[c][0][0] if centres[c][0] else " "))]
-            if fits:
-                titles = set(group.titles[i])
-                put(i, max(fits, key=lambda c: (bool(titles & star_titles[c]), c < named, star_weight[c], -c)))
-            else:
-                new(i)
-    return pd.DataFrame({"matter_id": group.matter_id, "kind": group.kind, "centre": group.centre, "way": group.way, "star": [cluster[i] for i in range(len(group))]})
+    for with_initial in (True, False):
+        for i in order:
+            if i not in star and bool(first[i]) == with_initial:
+                fits = [c for c, k in enumerate(centres) if not first[i] or (first[k] or first[i]) == first[i] or any(x[0] == first[i] for x in full_forms(full[k][0] if full[k] else " "))]
+                own = set(ways[i]["titles"] or ())
+                put(i, max(fits, key=lambda c: (bool(own & titles[c]), c < named, weights[c], -c), default=len(centres)))
+    return [star[i] for i in range(len(ways))]
+
+
+def _split():
+    def step(b: pa.RecordBatch) -> pa.RecordBatch:
+        out: list[tuple] = []
+        for matter, kind, centre, ways in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            out += [(matter, kind, centre, w["way"], k) for w, k in zip(ways, split_star(ways), strict=True)]
+        types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], ["matter_id", "kind", "centre", "way", "star"])
+
+    return step
 
 
 def linked(participants: DataFrame) -> DataFrame:
@@ -353,7 +354,8 @@ def linked(participants: DataFrame) -> DataFrame:
     written = rec.select("participant_key", "given", "titles", "trade").join(of_key, "participant_key")
     way = F.to_json(F.struct("given", "titles", "trade"))
     ways = written.groupBy("matter_id", "kind", "centre", way.alias("way")).agg(F.count("*").cast("double").alias("weight"), F.first("given").alias("given"), F.first("titles").alias("titles"), F.first("trade").alias("trade"))
-    split = ways.groupBy("matter_id", "kind", "centre").applyInPandas(split_star, "matter_id string, kind string, centre string, way string, star int")
+    groups = ways.groupBy("matter_id", "kind", "centre").agg(F.collect_list(F.struct("way", "given", "titles", "trade", "weight")).alias("ways"))
+    split = per_batch(groups, _split, "matter_id string, kind string, centre string, way string, star int")
     keyed = written.withColumn("way", way).join(split, ["matter_id", "kind", "centre", "way"])
     return keyed.select("participant_key", "matter_id", "kind", F.concat_ws(":", "kind", "centre", "star").alias("entity"))
 
