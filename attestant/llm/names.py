@@ -53,6 +53,7 @@ ABBREVIATED = {"frt": "freight", "stg": "storage", "stor": "storage", "ins": "in
 TITLES = {"mr": "mr", "mrs": "ms", "ms": "ms", "miss": "ms", "dr": "dr", "prof": "prof", "hon": "hon", "judge": "hon"}
 
 _EXTRA = re.compile(r"(?i)\s*(?:<[^>]*>?|\([^)]*\d[^)]*\)?|,? tel\.? .*$| of \d.*$)")
+_MAILBOX = re.compile(r"<\s*([^@\s>]+)\s*(?:@| at )")
 _ESQ = re.compile(r"(?i),?\s*\b(?:esq|jr|sr|md|phd)\b\.?")
 _FOLD = str.maketrans({"ø": "o", "æ": "ae", "ð": "d", "þ": "th", "ß": "ss", "ł": "l", "đ": "d", "œ": "oe"})
 _WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
@@ -165,7 +166,7 @@ class Parser:
         if not named:
             return None
         if len(named) == 1:
-            return ("person", named[0], tuple(initials[:1]), title, "")
+            return ("person", named[0], tuple(initials[:1]) or self._of_mail(spelling, named[0]), title, "")
         if "," in text:
             head = [w for w in _WORDS.findall(fold(text.split(",")[0])) if len(w) > 1 and w not in TITLES]
             main = head[-1] if head else named[0]
@@ -178,6 +179,21 @@ class Parser:
                 main, rest = named[0], named[1:]
         return ("person", main, tuple(rest[:1]) or tuple(initials[:1]), title, "")
 
+    def _of_mail(self, spelling: str, main: str) -> tuple[str, ...]:
+        """The given name or initial that an address beside a bare surname tells: given.main, main_g, gmain or given and a number."""
+        m = _MAILBOX.search(spelling.lower())
+        if not m:
+            return ()
+        box = m[1].split("+")[0]
+        dotted, under, numbered = re.fullmatch(r"([a-z]+)\.([a-z]+)", box), re.fullmatch(r"([a-z]+)_([a-z])", box), re.fullmatch(r"([a-z]+)\d+", box)
+        if dotted and closeness(dotted[2], main) > 0.6:
+            return (dotted[1],)
+        if under and closeness(under[1], main) > 0.6:
+            return (under[2],)
+        if numbered and numbered[1] in self.given:
+            return (numbered[1],)
+        return (box[0],) if box.isalpha() and closeness(box[1:], main) > 0.6 else ()
+
     @lru_cache(maxsize=50_000)  # noqa: B019
     def _trade_like(self, word: str) -> bool:
         return word in _TRADES or len(word) > 4 and any(abs(len(t) - len(word)) < 2 and closeness(word, t) >= 0.8 for t in _TRADES if len(t) > 4)
