@@ -281,12 +281,12 @@ def pages(rows: DataFrame, lines: DataFrame, common: list[str]) -> DataFrame:
 
 
 def common_words(counts: DataFrame) -> list[str]:
-    """The most frequent words that clean rows have as well, at most COMMON."""
+    """The most frequent words that clean rows have as well, at most COMMON. Words rarer than one in 20 * COMMON are left out before anything is sorted."""
     total = counts.agg(F.sum("scanned").alias("s"), F.sum("clean").alias("c")).first()
     expect = (total["c"] or 0) / max(1, total["s"] or 0)
     if not expect:
         return []
-    sound = counts.filter(F.col("clean") >= CLEAN_SHARE * expect * F.col("scanned"))
+    sound = counts.filter((F.col("clean") >= CLEAN_SHARE * expect * F.col("scanned")) & (F.col("clean") * (20 * COMMON) >= (total["c"] or 0)))
     return [r["word"] for r in sound.orderBy(F.desc("clean"), "word").limit(COMMON).select("word").collect()]
 
 
