@@ -46,6 +46,7 @@ _MIXED = re.compile(r"^(?=.*[^\W\d_].*[^\W\d_])(?!\d+(?:st|nd|rd|th)$)[^\W\d_]*[
 _LONE_L = re.compile(r"(?<!\S)l(?=\s|$)")  # a capital I standing alone, read as a small l
 
 _CLASS = {c: k[0] for k in CLASSES for c in k}
+_CLASS_PAIRS = tuple({("".join(_CLASS.get(c, c) for c in pair), _CLASS.get(one, one)) for pair, one in PAIRS.items() if one.isascii()})
 
 
 @lru_cache(maxsize=200_000)
@@ -68,10 +69,10 @@ def differences(word: str) -> list[int]:
     """Hashes of the words that this one may be misread from: no pair, one pair, or two pairs of letters taken for one or the reverse."""
     w = letters(word)
     steps = []
-    for pair, one in PAIRS.items():
-        if one.isascii():
-            change = sum(_value(_CLASS.get(c, c)) for c in pair) - _value(_CLASS.get(one, one))
-            steps += [-change] * min(2, w.count(pair)) + [change] * min(2, w.count(one) + sum(w.count(c) for c in _same(one)))
+    classes = "".join(_CLASS.get(c, c) for c in w)
+    for pair, one in _CLASS_PAIRS:
+        change = sum(map(_value, pair)) - _value(one)
+        steps += [-change] * min(2, classes.count(pair)) + [change] * min(2, classes.count(one))
     for x, y in SINGLES:
         change = _value(_CLASS.get(x, x)) - _value(_CLASS.get(y, y))
         steps += [-change] * (x in w) + [change] * (y in w)
@@ -79,15 +80,11 @@ def differences(word: str) -> list[int]:
     return sorted({base, *(base + a for a in steps), *(base + a + b for a, b in combinations(steps, 2))})
 
 
-@lru_cache(maxsize=64)
-def _same(c: str) -> str:
-    return "".join(x for k in CLASSES if c in k for x in k if x != c)
-
-
 @lru_cache(maxsize=400_000)
 def misread_as(word: str, right: str) -> int | None:
     """Number of misread places if ``word`` can be ``right`` misread, else null."""
     a, b = letters(word), letters(right)
+    x, y = ("".join(_CLASS.get(c, c) for c in w) for w in (a, b))
     best: dict[tuple[int, int], int] = {(0, 0): 0}
     for i in range(len(a) + 1):
         for j in range(max(0, i - 3), min(len(b), i + 3) + 1):
@@ -98,10 +95,11 @@ def misread_as(word: str, right: str) -> int | None:
                 _set(best, (i + 1, j + 1), n + (a[i] != b[j]))
             if i < len(a) and j < len(b) and ((a[i], b[j]) in SINGLES or (b[j], a[i]) in SINGLES):
                 _set(best, (i + 1, j + 1), n + 1)
-            for pair, one in PAIRS.items():
-                if a.startswith(pair, i) and j < len(b) and b[j] == one:
+            # a pair taken for one letter, and each of them perhaps for another of its class
+            for pair, one in _CLASS_PAIRS:
+                if j < len(b) and x[i : i + 2] == pair and y[j] == one:
                     _set(best, (i + 2, j + 1), n + 1)
-                if b.startswith(pair, j) and i < len(a) and a[i] == one:
+                if i < len(a) and y[j : j + 2] == pair and x[i] == one:
                     _set(best, (i + 1, j + 2), n + 1)
     n = best.get((len(a), len(b)))
     if n is None:

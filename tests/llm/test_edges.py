@@ -23,7 +23,7 @@ def nulls(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def long(spark, tmp_path_factory):
     """Very long and empty texts, all rows twice."""
-    text = "Q. " + "word " * 60_000 + "a@b.example (555) 555-0100 Ã© " + "x" * 20_000
+    text = "Q. " + "word " * 30_000 + "a@b.example (555) 555-0100 Ã© " + "x" * 20_000
     rows, lines = transcript(row("d", 1, 0, text, "question", event_kind="question_marker", source="ocr"), row("d", 1, 1, "", "answer", source="ocr"))
     docs = [{"doc_id": 1, "text": text, "source": "s"}, {"doc_id": 2, "text": "", "source": "s"}, {"doc_id": 3, "text": "\n\n\n", "source": "s"}]
     return write(spark, tmp_path_factory.mktemp("long"), canonical_rows=rows * 2, transcript_lines=lines * 2, doc_context=[{"doc_id": "d", "document_type": "interview", "page_count": 1}] * 2, documents=docs * 2, eval_items=[{"item_id": 1, "text": "word " * 40}] * 2, mix_targets=[{"source": "s", "target_share": 1.0, "max_repeats": 2}])
@@ -39,7 +39,7 @@ def test_nulls_and_clashing_columns(spark, nulls, name):
     QUERIES[name](spark, nulls).collect()
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", [n for n in QUERIES if n.endswith("_found") or n in ("p7_paragraphs", "p9_mixture", "p10_statistics")])
 def test_long_and_repeated(spark, long, name):
     found = QUERIES[name](spark, long).collect()
     if name.endswith("_found"):

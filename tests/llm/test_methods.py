@@ -115,6 +115,7 @@ def test_names():
     assert p.parse("PAKICOURT, CASTOR F.")[1:3] == ("pakicourt", ("castor",)) == p.parse("Pakicourt Castor")[1:3] == p.parse("Castor  Pakicourt, tel. 555-0101")[1:3]
     assert p.parse("MS. B. SKAKARIC")[1:4] == ("skakaric", ("b",), "ms") and p.parse("THE COURT") is None and p.parse("[REDACTED]") is None
     assert p.parse("Kuzafeld Grain Stor. Co.")[4] == p.parse("COUNSEL FOR THE KUZAFELD GRAIN STORAGE")[4]
+    assert p.parse("MS. FERUHURST <THEODORE.FERUHURST+WORK@POST.OSTREL.TEST>")[2] == ("theodore",) and p.parse("MR. HELUMERE <helumere_l @ x.example>")[2] == ("l",) and p.parse("MR. ZOD <czod at x dot example>")[2] == ("c",)
     assert names.word_similarity("bill", "william") == 1.0 and names.word_similarity("kit", "christopher") == 1.0 and names.word_similarity("walter", "perrin") < 0.5
     n = names.bands()
     assert 1 - (1 - names.SIMILARITY**names.ROWS) ** n >= names.RECALL > 1 - (1 - names.SIMILARITY**names.ROWS) ** (n - 1)
@@ -131,7 +132,7 @@ def test_banding_recall_on_typos():
     assert found >= 190
 
 
-@pytest.mark.parametrize(("word", "right"), [("tlie", "the"), ("vvas", "was"), ("thc", "the"), ("missmg", "missing"), ("5umrnatv", "summary"), ("fxamination", "examination"), ("purnp", "pump"), ("woulcl", "would")])
+@pytest.mark.parametrize(("word", "right"), [("tlie", "the"), ("vvas", "was"), ("thc", "the"), ("missmg", "missing"), ("5umrnatv", "summary"), ("fxamination", "examination"), ("purnp", "pump"), ("woulcl", "would"), ("vyeigh", "weigh"), ("rootn", "room"), ("sorue", "some"), ("elown", "down"), ("bke", "like")])
 def test_misread_words(word, right):
     assert scans.misread_as(word, right) and scans.anagram(right) in scans.differences(word)
 
