@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -43,3 +44,20 @@ def chunks(texts: list[str], most: int = 1_500_000) -> Iterator[tuple[int, int]]
         size += len(t) + 1
     if first < len(texts):
         yield first, len(texts)
+
+
+_ACROSS = re.compile(r"(?<=\S) {3}(?=\S)")
+
+
+def unmerged(text: str) -> str:
+    """A page whose lines were read across its columns, three blanks between two columns' pieces, as one column after the other.
+
+    Other texts stay as they are: fewer than three in ten lines have two pieces, or the pieces are as short as a table's entries.
+    """
+    if "   " not in text:
+        return text
+    lines = [_ACROSS.split(x) for x in text.split("\n")]
+    pieces = [p for x in lines if len(x) > 1 for p in x]
+    if sum(len(x) > 1 for x in lines) < 0.3 * len(lines) or sorted(sum(c.isalpha() for c in p) for p in pieces)[len(pieces) // 2] < 12:
+        return text
+    return "\n".join(x[k] for k in range(max(map(len, lines))) for x in lines if k < len(x))

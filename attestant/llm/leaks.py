@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestant.llm.common import chunks, per_batch
+from attestant.llm.common import chunks, per_batch, unmerged
 
 #: Letters in a window, consecutive words that make a leak, characters of items looked for in one pass, and pixels between columns.
 WINDOW, LEAST_WORDS, PASS_CHARS, COLUMN_GAP = 16, 18, 20_000_000, 60
@@ -257,7 +257,7 @@ def in_columns(text: str, line_no: list, x: list, y: list) -> str:
 
 def boxed(documents: DataFrame) -> DataFrame:
     """doc_id, text and the lines' numbers, left edges and tops, each an array."""
-    return documents.filter("text is not null").select("doc_id", "text", F.col("line_boxes.line_no").alias("no"), F.col("line_boxes.x_left").alias("x"), F.col("line_boxes.y_top").alias("y"))
+    return documents.select("doc_id", "text", F.col("line_boxes.line_no").alias("no"), F.col("line_boxes.x_left").alias("x"), F.col("line_boxes.y_top").alias("y"))
 
 
 def passages(documents: DataFrame, items: DataFrame) -> DataFrame:
@@ -284,12 +284,7 @@ def _passages(documents: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
         index = Index(sent.value)
 
         def step(b: pa.RecordBatch) -> pa.RecordBatch | None:
-            texts = b.column(1).to_pylist()
-            boxes = [b.column(i) for i in (2, 3, 4)]
-            scattered = _scattered(boxes[1])
-            for k in scattered:
-                if all(c[k].is_valid for c in boxes):
-                    texts[k] = in_columns(texts[k], *(c[k].as_py() for c in boxes))
+            texts = ordered_texts(b)
             for a, z in _LIGATURES.items():  # same length, so that positions hold
                 texts = [t.replace(a, z[0]) if a in t else t for t in texts]
             out = [(k, index.ids[item], n, texts[k], first, after) for lo, up in chunks(texts) for k, item, n, first, after in _in_chunk(index, texts[lo:up], lo)]
@@ -300,7 +295,7 @@ def _passages(documents: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
 
         return step
 
-    return per_batch(boxed(documents), make, "doc_id long, item_id long, words int, text string, first int, after int")
+    return per_batch(boxed(documents.filter("text is not null")), make, "doc_id long, item_id long, words int, text string, first int, after int")
 
 
 def _in_chunk(index: Index, texts: list[str], base: int) -> Iterator[tuple[int, int, int, int, int]]:
@@ -319,7 +314,17 @@ def _in_chunk(index: Index, texts: list[str], base: int) -> Iterator[tuple[int,
             yield base + int(k), item, n, int(where[lo + x] - starts[k]), int(where[min(lo + y, up) - 1] - starts[k]) + 1
 
 
-def _scattered(x: pa.Array) -> np.ndarray:
+def ordered_texts(b: pa.RecordBatch) -> list[str]:
+    """The texts of a batch of ``boxed`` pages in reading order; null ones as empty ones."""
+    texts = [t or "" for t in b.column(1).to_pylist()]
+    boxes = [b.column(i) for i in (2, 3, 4)]
+    for k in scattered(boxes[1]):
+        if all(c[k].is_valid for c in boxes):
+            texts[k] = in_columns(texts[k], *(c[k].as_py() for c in boxes))
+    return [unmerged(t) if "   " in t else t for t in texts]
+
+
+def scattered(x: pa.Array) -> np.ndarray:
     """Rows of a list column of left edges that jump back from column to column."""
     flat = x.flatten().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
     offsets = np.concatenate([[0], np.cumsum(x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))]).astype(np.int64)

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from tables import row, transcript, write
 
-from attestant.llm import encoding, language, leaks, mixing, names, pii, quality, scans, speech
+from attestant.llm import common, encoding, language, leaks, mixing, names, pii, quality, scans, speech
 from attestant.llm import queries as Q
 
 FINDER = pii.Finder(["kestrel", "milica", "bill"])
@@ -185,6 +185,12 @@ def test_reading_order():
     assert leaks.in_columns("a\nc\nb\nd", [0, 1, 2, 3], [10, 300, 12, 301], [5, 6, 20, 21]) == "a\nb\nc\nd"
 
 
+def test_lines_read_across_columns():
+    merged = "THE PAGE TITLE\nthe council met on Monday evening   and it was decided that the\nold bridge should be closed before   winter came to the town."
+    assert common.unmerged(merged) == "THE PAGE TITLE\nthe council met on Monday evening\nold bridge should be closed before\nand it was decided that the\nwinter came to the town."
+    assert common.unmerged(TABLE.replace("  ", "   ")) == TABLE.replace("  ", "   ") and common.unmerged("a\nb") == "a\nb"
+
+
 def test_sainte_lague():
     assert mixing.sainte_lague([53.0, 24.0, 23.0], 7, [99] * 3) == [3, 2, 2]
     assert mixing.sainte_lague([0.5, 0.5, 0.0], 10, [2, 99, 99]) == [2, 8, 0]
