@@ -417,6 +417,13 @@ def reconstruction(spark, folder):
     return layout.reconstruction_confidence(layout.row_texts(pieces, layout.visual_rows(pieces)), rebuilt_pages(spark, folder))
 
 
+def positioned_pages(spark, folder):
+    """Pages put together from their fragments."""
+    from attestant.plans.positioned import pages_of_fragments
+
+    return pages_of_fragments(_pieces(spark, folder), texts=rebuilt_pages(spark, folder).select("doc_id", "physical_page", "text")).drop("warnings")
+
+
 # --- the whole pipeline
 
 

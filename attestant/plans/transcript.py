@@ -16,13 +16,15 @@ class Transcripts:
     """Relations of the documents whose pages are given: doc_id, physical_page, text, and kind ('text', 'pdf').
 
     Sections are worked out where the column is missing. Pages may carry the layout's columns. Documents with a null id are left out.
+    With the pages' ``fragments`` (row_index, x_pos, width, font_size, text, sequence) a bare Q or A counts only before a wide enough gap.
     ``store`` writes the relations that many others read, so that they are made once; without it all is one plan.
     """
 
-    def __init__(self, pages: DataFrame, store: bool = True):
+    def __init__(self, pages: DataFrame, store: bool = True, fragments: DataFrame | None = None):
         pages = pages.filter("doc_id is not null")
         if "kind" not in pages.columns:
             pages = pages.withColumn("kind", F.lit("text"))
+        self._fragments = fragments
         self._pages, self._keep = pages, cut_lineage if store else (lambda df: df)
 
     @cached_property
@@ -75,7 +77,8 @@ class Transcripts:
 
     @cached_property
     def unverified(self) -> DataFrame:
-        return self._keep(classify.completed(self._keep(classify.classified(self.source_rows, self.participants_before, self.primaries, self.rules))))
+        rows = self.source_rows if self._fragments is None else classify.bare_marks_allowed(self.source_rows, self._fragments)
+        return self._keep(classify.completed(self._keep(classify.classified(rows, self.participants_before, self.primaries, self.rules))))
 
     @cached_property
     def participants(self) -> DataFrame:

@@ -68,3 +68,25 @@ def test_file_stream(spark, tmp_path):
     (tmp_path / "in/u.txt").write_bytes(b"\xff\xfex")
     ingest.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out/exchanges").count() == 2 and spark.read.parquet(f"{tmp_path}/out/errors").count() == 1
+
+
+def test_pdf_to_transcript(spark, tmp_path):
+    from attestant.plans.positioned import pages_of_fragments
+    from attestant.plans.transcript import Transcripts
+
+    rows = [(72, 700, "1"), (100, 700, "Q. Where were you?"), (72, 682, "2"), (100, 682, "A. In the yard."), (72, 664, "3"), (100, 664, "Q. With whom?"), (72, 646, "4"), (100, 646, "A. Nobody.")]
+    (tmp_path / "a.pdf").write_bytes(_pdf(_lines(*rows)))
+    pdf.register(spark)
+    pages = pages_of_fragments(spark.read.format("pdf_fragments").load(f"{tmp_path}/*.pdf").filter("error is null"))
+    assert pages.first()["text"].split("\n")[1] == "2 A. In the yard." and pages.first()["column_count"] == 1
+    assert [r["kind"] for r in Transcripts(pages).blocks.orderBy("block_no").collect()] == ["question", "answer", "question", "answer"]
+
+
+def test_bare_mark_needs_a_gap(spark):
+    from attestant.plans.transcript import Transcripts
+
+    pages = spark.createDataFrame([("d", 1, "1 Q. Where?\n2 A. Here.\n3 A product.\n4 A     Yes.", "pdf", "transcript")], "doc_id string, physical_page int, text string, kind string, section string")
+    ddl = "doc_id string, physical_page int, row_index int, sequence long, text string, x_pos double, width double, font_size double"
+    pieces = [("d", 1, 2, 0, "A", 72.0, 7.0, 12.0), ("d", 1, 2, 1, "product.", 82.0, 40.0, 12.0), ("d", 1, 3, 0, "A", 72.0, 7.0, 12.0), ("d", 1, 3, 1, "Yes.", 100.0, 20.0, 12.0)]
+    lines = Transcripts(pages, fragments=spark.createDataFrame(pieces, ddl)).lines.orderBy("row_index").collect()
+    assert [(r["text"], r["starts_new_block"]) for r in lines] == [("Where?", True), ("Here.", True), ("A product.", False), ("Yes.", True)]
