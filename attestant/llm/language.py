@@ -195,11 +195,15 @@ def train(sample: list[tuple[str, str]], common: list[tuple[str, str]], rounds:
         else:
             spliced += [(a, [x] * len(a)), (b, [y] * len(b))]
     vocab: dict[str, int] = {}
-    length = max((len(w) for w, _ in spliced), default=1)
-    ids, gold, there = (np.zeros((len(spliced), length), d) for d in (np.int64, np.int64, bool))
-    for i, (w, x) in enumerate(spliced):
-        ids[i, : len(w)] = [vocab.setdefault(v, len(vocab)) for v in w]
-        gold[i, : len(w)], there[i, : len(w)] = x, True
+    parts = []  # padded sequences, those of about the same length together
+    spliced.sort(key=lambda s: len(s[0]))
+    for first in range(0, len(spliced), 2048):
+        some = spliced[first : first + 2048]
+        ids, gold, there = (np.zeros((len(some), max(len(w) for w, _ in some)), d) for d in (np.int32, np.int32, bool))
+        for i, (w, x) in enumerate(some):
+            ids[i, : len(w)] = [vocab.setdefault(v, len(vocab)) for v in w]
+            gold[i, : len(w)], there[i, : len(w)] = x, True
+        parts.append((ids, gold, there))
     feats = [np.unique(features(w, lexicon)) for w in vocab]
     flat = np.concatenate(feats) if feats else np.zeros(0, np.int64)
     used, flat = np.unique(flat, return_inverse=True)
@@ -207,21 +211,24 @@ def train(sample: list[tuple[str, str]], common: list[tuple[str, str]], rounds:
     owner = np.repeat(np.arange(len(feats)), [len(f) for f in feats])
     k = len(languages)
     weights, trans = np.zeros((len(used), k)), np.zeros((k, k))
-    count_gold = np.zeros((len(vocab), k))
-    np.add.at(count_gold, (ids[there], gold[there]), 1.0)
-    moves_gold = np.zeros((k, k))
-    both = there[:, 1:] & there[:, :-1]
-    np.add.at(moves_gold, (gold[:, :-1][both], gold[:, 1:][both]), 1.0)
+    count_gold, moves_gold = np.zeros((len(vocab), k)), np.zeros((k, k))
+    for ids, gold, there in parts:
+        np.add.at(count_gold, (ids[there], gold[there]), 1.0)
+        both = there[:, 1:] & there[:, :-1]
+        np.add.at(moves_gold, (gold[:, :-1][both], gold[:, 1:][both]), 1.0)
     state = [np.zeros_like(weights), np.zeros_like(weights), np.zeros_like(trans), np.zeros_like(trans)]
-    n_words = max(1, there.sum())
+    n_words = max(1, sum(there.sum() for _, _, there in parts))
     order = np.argsort(flat, kind="stable")
     flat_sorted, owner_sorted = flat[order], owner[order]
     bounds = np.flatnonzero(np.r_[True, flat_sorted[1:] != flat_sorted[:-1]]) if len(flat) else np.zeros(0, np.int64)
     for step in range(1, rounds + 1):
         scores = np.add.reduceat(weights[flat], starts, axis=0)
-        e = scores[ids]
-        m, moves = forward_backward(np.exp(e - e.max(-1, keepdims=True)), np.exp(trans), there)
-        count = np.stack([np.bincount(ids[there], m[there][:, j], len(vocab)) for j in range(k)], 1)
+        factors = np.exp(scores - scores.max(-1, keepdims=True))
+        count, moves = np.zeros((len(vocab), k)), np.zeros((k, k))
+        for ids, _, there in parts:
+            m, own = forward_backward(factors[ids], np.exp(trans), there)
+            moves += own
+            count += np.stack([np.bincount(ids[there], m[there][:, j], len(vocab)) for j in range(k)], 1)
         grad_words = (count_gold - count) / n_words
         grads = [np.add.reduceat(grad_words[owner_sorted], bounds, axis=0) - 1e-7 * weights, (moves_gold - moves) / n_words - 1e-5 * trans]
         for x, g, s, v in ((weights, grads[0], state[0], state[1]), (trans, grads[1], state[2], state[3])):
