@@ -357,8 +357,8 @@ def _split():
 def linked(participants: DataFrame) -> DataFrame:
     """participant_key, matter_id, kind, entity: the entity each named participant is, unique within its matter."""
     rec = cut_lineage(parsed(participants, given_names(participants)))
-    spellings = rec.select("matter_id", "kind", F.explode("mains").alias("main")).groupBy("matter_id", "kind", "main").agg(F.count("*").alias("weight"))
-    star = stars(spellings, spelling_pairs(spellings))
+    spellings = cut_lineage(rec.select("matter_id", "kind", F.explode("mains").alias("main")).groupBy("matter_id", "kind", "main").agg(F.count("*").alias("weight")))
+    star = cut_lineage(stars(spellings, spelling_pairs(spellings)))
     star = star.join(spellings, ["matter_id", "kind", "main"])
     heavy = star.groupBy("matter_id", "kind", "centre").agg(F.sum("weight").alias("size"))
     of_key = (
@@ -378,6 +378,6 @@ def linked(participants: DataFrame) -> DataFrame:
 
 def pairs(participants: DataFrame) -> DataFrame:
     """key_a < key_b of one matter that are one entity. Fewer than two named participants: no rows."""
-    one = linked(participants).select("matter_id", "entity", "participant_key")
+    one = cut_lineage(linked(participants).select("matter_id", "entity", "participant_key"))
     a, b = one.withColumnRenamed("participant_key", "key_a"), one.withColumnRenamed("participant_key", "key_b")
     return a.join(b, ["matter_id", "entity"]).filter("key_a < key_b").select("key_a", "key_b")
