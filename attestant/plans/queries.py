@@ -8,17 +8,16 @@ from pyspark.sql import functions as F
 from attestant.functions import marks, text
 from attestant.operators import classify, inventory, ir, layout, preflight, quality, reconcile, sections, turns
 from attestant.plans.transcript import Transcripts
-from attestant.sources.tables import table
+from attestant.sources.tables import cut_lineage, table
 
 #: Top margin of the transcripts' pages, for repeated furniture.
 TOP_MARGIN = 90.0
 
 
 def rows(spark: SparkSession, folder: str) -> DataFrame:
-    """canonical_rows, each delivered row once: that delivered last."""
+    """canonical_rows, each delivered row once: that delivered last. Column by column, so that columns nobody asks for are not read."""
     given = table(spark, folder, "canonical_rows")
-    rest = [c for c in given.columns if c not in ("doc_id", "id")]
-    return given.groupBy("doc_id", "id").agg(F.max_by(F.struct(*rest), "ingested_at").alias("r")).select("doc_id", "id", "r.*")
+    return given.groupBy("doc_id", "id").agg(*[F.max_by(F.struct(c), "ingested_at")[c].alias(c) for c in given.columns if c not in ("doc_id", "id")])
 
 
 def talk(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,7 +32,8 @@ def talk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, folder: str) -> DataFrame:
-    return turns.blocks(talk(spark, folder))
+    """Blocks of ``talk``; both are written once, as what follows reads them more than once."""
+    return cut_lineage(turns.blocks(cut_lineage(talk(spark, folder))))
 
 
 def rebuilt_pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -443,7 +443,7 @@ def parsed_gate(spark, folder):
     return t.gate.join(t.confidence, "doc_id")
 
 
-_HIDDEN = {"rows", "talk", "blocks", "rebuilt_pages", "corpus_pages", "parsed", "table"}
+_HIDDEN = {"cut_lineage", "rows", "talk", "blocks", "rebuilt_pages", "corpus_pages", "parsed", "table"}
 
 
 def queries() -> dict:
