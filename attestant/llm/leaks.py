@@ -130,7 +130,7 @@ class Index:
         return maybe[self.hashes[np.minimum(at, len(self.hashes) - 1)] == h[maybe]]
 
     def leaks(self, codes: np.ndarray, h: np.ndarray, hits: np.ndarray, least: int = LEAST_WORDS) -> list[tuple[int, int, int, int]]:
-        """(item, words, first token, token after) for each item of which enough consecutive words are there: its longest passage."""
+        """(item, words, first token, token after) for each passage of an item that has enough of its consecutive words."""
         lo, hi = np.searchsorted(self.hashes, h[hits], "left"), np.searchsorted(self.hashes, h[hits], "right")
         count = hi - lo
         doc_at = np.repeat(hits, count)
@@ -144,9 +144,7 @@ class Index:
         for k, a, z, p, q in zip(owner[firsts], firsts, np.r_[firsts[1:], len(owner)], low, high, strict=True):
             if self._within(int(k), int(p), int(q)) < least - 2 * WIDEN:  # whatever lies between the outermost windows, it is too short
                 continue
-            best = self._passage(codes, int(k), doc_at[a:z], place[a:z], least)
-            if best and best[0] >= least:
-                out.append((int(k), *best))
+            out += [(int(k), *p) for p in self._passages(codes, int(k), doc_at[a:z], place[a:z], least)]
         return out
 
     def _within(self, k: int, a: int, b: int) -> int:
@@ -154,7 +152,8 @@ class Index:
         words = self.words[k]
         return max(0, int(np.searchsorted(words[:, 1], b, "right") - np.searchsorted(words[:, 0], a, "left")))
 
-    def _passage(self, codes: np.ndarray, k: int, at: np.ndarray, place: np.ndarray, least: int) -> tuple[int, int, int] | None:
+    def _passages(self, codes: np.ndarray, k: int, at: np.ndarray, place: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+        """(words, first token, token after) of every chained run of at least ``least`` words, each stretch of the page once."""
         item, words = self.codes[k], self.words[k]
         # runs of windows on one diagonal
         diagonal = at - place
@@ -163,7 +162,7 @@ class Index:
         new = np.flatnonzero(np.r_[True, (np.diff(diagonal) != 0) | (np.diff(at) > 3 * WINDOW)])
         ends = np.r_[new[1:], len(at)] - 1
         runs = sorted((int(place[a]), int(at[a]), int(place[b]) + WINDOW, int(at[b]) + WINDOW) for a, b in zip(new, ends, strict=True))
-        best = None
+        found: list[tuple[int, int, int]] = []
         used: set[int] = set()
         for i in range(len(runs)):
             if i in used:
@@ -180,9 +179,16 @@ class Index:
                 continue
             a, x, b, y = self._widened(codes, item, words, a, x, b, y)
             n = self._within(k, a, b)
-            if best is None or n > best[0]:
-                best = (n, x, y)
-        return best
+            if n >= least:
+                found.append((n, x, y))
+        # a passage within a longer one (of words the item has twice) tells nothing more
+        kept: list[tuple[int, int, int]] = []
+        for p in sorted(found, key=lambda p: (p[1], -p[2], -p[0])):
+            if not kept or p[2] > kept[-1][2]:
+                kept.append(p)
+            elif p[0] > kept[-1][0]:
+                kept[-1] = (p[0], *kept[-1][1:])
+        return kept
 
     @staticmethod
     def _alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -261,7 +267,7 @@ def boxed(documents: DataFrame) -> DataFrame:
 
 
 def passages(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, words, text (in reading order), first, after (characters of the passage in it) of each leaked item of each page.
+    """doc_id, item_id, words, text (in reading order), first, after (characters of the passage in it) of each passage of each leaked item in each page.
 
     Null and empty texts leak nothing. Pages scanned again count each. Items are looked for in passes of PASS_CHARS characters, so what is
     sent to the tasks is bounded; each pass reads the corpus once.
@@ -311,7 +317,11 @@ def _in_chunk(index: Index, texts: list[str], base: int) -> Iterator[tuple[int,
     for k in np.unique(doc):
         lo, up = bounds[k], bounds[k + 1]
         for item, n, x, y in index.leaks(codes[lo:up], h[lo:up], hits[doc == k] - lo):
-            yield base + int(k), item, n, int(where[lo + x] - starts[k]), int(where[min(lo + y, up) - 1] - starts[k]) + 1
+            last = min(lo + y, up) - 1
+            after, stop = int(where[last] - starts[k]) + 1, int(where[last + 1] - starts[k]) if last + 1 < up else len(texts[k])
+            while after < stop and _CODE(min(texts[k][after], chr(_TOP - 1))):  # of letters taken for one the last ones have no token
+                after += 1
+            yield base + int(k), item, n, int(where[lo + x] - starts[k]), after
 
 
 def ordered_texts(b: pa.RecordBatch) -> list[str]:
@@ -335,8 +345,8 @@ def scattered(x: pa.Array) -> np.ndarray:
 
 
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, words: pages with enough consecutive words of an item, and how many."""
-    return passages(documents, items).select("doc_id", "item_id", "words")
+    """doc_id, item_id, words: pages with enough consecutive words of an item, and how many at most."""
+    return passages(documents, items).groupBy("doc_id", "item_id").agg(F.max("words").alias("words"))
 
 
 def cleaned(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -181,6 +181,18 @@ def test_leaks_through_scan_noise():
         assert [index.ids[k] for k, *_ in index.leaks(codes, h, index.hits(h))] == [7]
 
 
+def test_every_passage_of_an_item_is_cut_out(spark, tmp_path):
+    rng = random.Random(4)
+    item = rng.sample([f"{a}{b}{c}" for a in ("mar", "tol", "ves", "kin") for b in ("den", "gos", "pir") for c in ("tal", "mek", "rund", "bost")], 44)
+    advert = "Buy the new soap of Messrs Quagg today at every good shop in town".split()
+    pages = {1: [*item, *advert, *item], 2: [*item[:22], *advert, *item[22:]], 3: [*item[:20], *advert, *item[:30]], 4: advert, 5: [*item[:20], *advert, *item[30:40]]}
+    folder = write(spark, tmp_path, documents=[{"doc_id": k, "text": " ".join(w)} for k, w in pages.items()], eval_items=[{"item_id": 1, "text": " ".join(item)}])
+    got = {r["doc_id"]: r["text"].split() for r in Q.p8_cleaned(spark, folder).collect()}
+    assert got == {1: advert, 2: advert, 3: advert, 5: [*advert, *item[30:40]]}  # ten words are no leak
+    tables = [spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "eval_items")]
+    assert sorted(map(tuple, leaks.leaked(*tables).collect())) == [(1, 1, 44), (2, 1, 22), (3, 1, 30), (5, 1, 20)]
+
+
 def test_reading_order():
     assert leaks.in_columns("a\nc\nb\nd", [0, 1, 2, 3], [10, 300, 12, 301], [5, 6, 20, 21]) == "a\nb\nc\nd"
 
