@@ -1,7 +1,8 @@
 """Variant spellings of the names of people and organisations, linked within a matter.
 
 Spellings are parsed into given names, initials and a main name. The main names of a matter are compared where their MinHash signatures
-over padded q-grams collide in a band; the number of bands follows from the collision curve and the recall wanted. Colliding spellings
+over padded q-grams collide in a band; the number of bands follows from the collision curve and the recall wanted. One edit or exchange in
+a short name leaves fewer q-grams than that, so names also collide where they are alike but for a letter or have the same letters. Colliding spellings
 that lie within few edits form the edges of a graph that star clustering covers: the commonest spelling of a neighbourhood is the centre.
 Within a star, the different ways to write the whole name are verified by Monge-Elkan similarity and clustered in stars again.
 """
@@ -89,6 +90,12 @@ def signature(word: str, n_bands: int, rows: int = ROWS) -> list[int]:
     return [int(v) for v in (mins * np.array([1, 1_000_003, 998_244_353], np.uint64)[:rows]).sum(1).astype(np.int64)]
 
 
+def edit_keys(word: str) -> list[int]:
+    """Hashes of which two words share one if they lie one edit, or one exchange of letters, apart: the word, the word without each of its letters, its sorted letters."""
+    keys = {word, *(word[:i] + word[i + 1 :] for i in range(len(word))), " " + "".join(sorted(word))}
+    return sorted(zlib.crc32(k.encode()) << 31 | zlib.crc32(k[::-1].encode()) >> 1 for k in keys)
+
+
 @lru_cache(maxsize=100_000)
 def closeness(a: str, b: str) -> float:
     """1 - edits / length, neighbours exchanged being one edit."""
@@ -245,18 +252,18 @@ def parsed(participants: DataFrame, given: list[str]) -> DataFrame:
 
 
 def spelling_pairs(spellings: DataFrame) -> DataFrame:
-    """Pairs (matter_id, kind, a, b), both ways, of spellings whose bands collide and that lie within few edits of each other."""
+    """Pairs (matter_id, kind, a, b), both ways, of spellings whose bands or edit keys collide and that lie within few edits of each other."""
     n = bands()
 
     def make():
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
-            signs = pa.array([signature(w, n) for w in b.column(2).to_pylist()], pa.list_(pa.int64()))
+            signs = pa.array([signature(w, n) + edit_keys(w) for w in b.column(2).to_pylist()], pa.list_(pa.int64()))
             return pa.RecordBatch.from_arrays([*b.columns[:3], signs], ["matter_id", "kind", "main", "bands"])
 
         return step
 
     signed = per_batch(spellings.select("matter_id", "kind", "main"), make, "matter_id string, kind string, main string, bands array<long>")
-    keyed = signed.select("matter_id", "kind", "main", F.posexplode("bands").alias("band", "hash"))
+    keyed = signed.select("matter_id", "kind", "main", F.posexplode("bands").alias("band", "hash")).withColumn("band", F.least("band", F.lit(n)))
     left, right = keyed.withColumnRenamed("main", "a"), keyed.withColumnRenamed("main", "b")
     edits = F.levenshtein("a", "b")
     longest, shortest = F.greatest(F.length("a"), F.length("b")), F.least(F.length("a"), F.length("b"))

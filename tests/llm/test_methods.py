@@ -132,6 +132,20 @@ def test_banding_recall_on_typos():
     assert found >= 190
 
 
+def test_every_accepted_edit_of_a_short_name_is_a_candidate(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choice("bdfgklmnprst") + rng.choice("aeiou") for _ in range(3))[: rng.choice((4, 5, 6))] for _ in range(150)]
+    said, want = set(), set()
+    for k, w in enumerate(words):
+        i = rng.randrange(1, len(w) - 2) if len(w) > 4 else rng.randrange(1, 3)
+        typo = w[:i] + w[i + 1] + w[i] + w[i + 2 :] if len(w) > 4 and k % 3 else w[:i] + "z" + w[i + 1 :] if k % 2 else w[:i] + w[i] + w[i:]
+        if typo != w:
+            said |= {(f"m{k}", "person", w), (f"m{k}", "person", typo)}
+            want |= {(f"m{k}", "person", w, typo), (f"m{k}", "person", typo, w)}
+    got = names.spelling_pairs(spark.createDataFrame(sorted(said), "matter_id string, kind string, main string"))
+    assert {tuple(r) for r in got.collect()} == want
+
+
 @pytest.mark.parametrize(("word", "right"), [("tlie", "the"), ("vvas", "was"), ("thc", "the"), ("missmg", "missing"), ("5umrnatv", "summary"), ("fxamination", "examination"), ("purnp", "pump"), ("woulcl", "would"), ("vyeigh", "weigh"), ("rootn", "room"), ("sorue", "some"), ("elown", "down"), ("bke", "like")])
 def test_misread_words(word, right):
     assert scans.misread_as(word, right) and scans.anagram(right) in scans.differences(word)
