@@ -54,7 +54,9 @@ ADDRESS = re.compile(
     rf"|\b(?:{WORD}[ \-])*{WORD}?(?i:{'|'.join(STREET_TAIL)}) \d{{1,4}}[a-z]?\b"
 )
 LABEL = re.compile(r"^[\s\[({<]*(?:\d[\d:.,ms]*[\])}>]*\s+(?:-->\s*\S+\s+)?)?(?:(?:BY|By|Q\.|Q:|Q  )\s+)?([^:]{1,60}?)\s*(?::| [-–—])(?=\s|$)")
-TITLED = re.compile(rf"\b(?:(?i:mr|mrs|ms|miss|dr|prof|messrs|herr|frau|mme|señor|señora|sr|sra)\b\.?) (?:[{UP}]\.? ?){{0,2}}({WORD})")
+# Titles that a name follows in running text.
+TITLES = "mr mrs ms miss dr prof messrs herr frau mme señor señora sr sra".split()
+TITLED = re.compile(rf"\b(?:(?i:{'|'.join(TITLES)})\b\.?) (?:[{UP}]\.? ?){{0,2}}({WORD})")
 _TOKEN = re.compile(r"[^\W\d_]+")
 _READ_AS_DIGIT = str.maketrans("OolISB", "001158")
 _NUMERIC = re.compile(r"(?<![A-Za-z])(?=[A-Za-z]{0,2}\d)[\dOolISB]{2,}(?![A-Za-z])|(?<=[\d.\-])[OolISB](?=[\d.\-])")
@@ -108,12 +110,14 @@ class Finder:
         add = lambda word, kind: auto.add_word(word, kind)
         for g in self.given:
             add(g, 16)
-        for h in ("mr", "ms", "dr", "mme", "herr ", "frau ", "sr. ", "sra", "señor", "miss "):
-            add(h, 8 | (16 if h in self.given else 0))
+        for h in TITLES:
+            for end in (" ", ". "):
+                add(h + end, 8)
         for w in ("@", " dot ", " punto ", " point ", " punkt ", "(at)", "[at]"):
             add(w, 1)
-        for w in ("five", "zero", "seven", "three", "cinco", "cero", "fünf", "null", "cinq", "zéro"):
-            add(w, 2)
+        for w in DIGIT_WORDS:  # a number is spoken in six or more, so one of them has another after it
+            for end in " ,-":
+                add(w + end, 2)
         for d in "0123456789":
             add(d, 4)
         for m in (":", " - ", " – ", " — "):

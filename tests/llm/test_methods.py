@@ -31,6 +31,16 @@ def test_personal_information(text, want):
     assert kinds(text) == want
 
 
+@pytest.mark.parametrize("text", ["It is two oh two four one eight nine six.", "Es dos uno ocho cuatro seis nueve.", "Eins, zwei, drei, vier, sechs, sieben.", "un-deux-quatre-six-huit-neuf"])
+def test_every_number_word_is_an_anchor(text):
+    assert kinds(text) == {"phone"}
+
+
+@pytest.mark.parametrize("title", pii.TITLES)
+def test_every_title_is_an_anchor(title):
+    assert kinds(f"I told {title.capitalize()}. Varga so.") == kinds(f"I told {title.capitalize()} Varga so.") == {"name"}
+
+
 def test_placeholders_keep_the_rest():
     text = "A. Call 555-0130 or write to a.b@c.example, please."
     assert pii.replace(text, FINDER.spans(text, FINDER.anchors([text])[0])) == "A. Call [PHONE] or write to [EMAIL], please."
