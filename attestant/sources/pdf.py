@@ -12,12 +12,14 @@ import re
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: Bytes that a stream may inflate to, characters of a page, pages of a document.
 MOST_STREAM, MOST_TEXT, MOST_PAGES = 64 << 20, 16 << 20, 3000
 SCHEMA = "doc_id string, physical_page int, fragment_id string, sequence bigint, text string, x_pos double, y_pos double, width double, height double, font_size double, redaction_masked boolean, error string"
+_TYPES = tuple({"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}[x.split()[1]] for x in SCHEMA.split(", "))
 
 _OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
 _TOKEN = re.compile(rb"\((?:\\.|[^()\\]|\((?:\\.|[^()\\])*\))*\)|<[0-9A-Fa-f\s]*>|\[|\]|/[^\s/\[\]<>()]+|[-+]?\d*\.?\d+|[A-Za-z'\"*]+")
@@ -165,6 +167,53 @@ def metadata(data: bytes) -> dict[str, str]:
     return {k.decode(): v for k, raw in pairs if (v := _string(raw).replace("\0", "").strip())}
 
 
+def _records(path: str, data: bytes) -> Iterator[tuple]:
+    """The rows of SCHEMA of one file."""
+    error = None if data[:1024].find(b"%PDF-") >= 0 else "not_a_pdf"
+    if error is None and re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", data):
+        error = "encrypted"
+    if error:
+        yield (path, None, None, None, None, None, None, None, None, None, None, error)
+        return
+    for number, content in enumerate(pages(data), 1):
+        if number > MOST_PAGES:
+            yield (path, number, None, None, None, None, None, None, None, None, None, "too_many_pages")
+            return
+        size = 0
+        for k, (text, x, y, w, s) in enumerate(fragments(content)):
+            size += len(text)
+            if size > MOST_TEXT:
+                break
+            yield (path, number, f"p{number}_f{k}", k, text, x, y, w, s, s, False, None)
+
+
+def fragments_of(files: DataFrame) -> DataFrame:
+    """SCHEMA of files (doc_id, content). A file without pages, and each page without text, has a row with an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                out = list(_whole(doc, data.as_py()))
+                for k in range(0, len(out), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[k : k + 10_000], strict=True), _TYPES, strict=True)], [x.split()[0] for x in SCHEMA.split(", ")])
+
+    return files.select("doc_id", "content").mapInArrow(run, SCHEMA)
+
+
+def _whole(path: str, data: bytes) -> Iterator[tuple]:
+    """_records, and an error row where a file has no pages or a page no text."""
+    seen, failed = set(), False
+    for r in _records(path, data):
+        seen.add(r[1])
+        failed |= r[-1] is not None
+        yield r
+    if failed:
+        return
+    count = sum(1 for _ in pages(data))
+    for number in [n for n in range(1, count + 1) if n not in seen] or ([None] if not count else []):
+        yield (path, number, *[None] * 9, "no_text_layer" if number else "no_pages")
+
+
 class _File(InputPartition):
     def __init__(self, path: str):
         super().__init__(path)
@@ -183,22 +232,7 @@ class _Reader(DataSourceReader):
             return
         with open(path, "rb") as f:
             data = f.read()
-        error = None if data[:1024].find(b"%PDF-") >= 0 else "not_a_pdf"
-        if error is None and re.search(rb"/Encrypt\s+\d+\s+\d+\s+R", data):
-            error = "encrypted"
-        if error:
-            yield (path, None, None, None, None, None, None, None, None, None, None, error)
-            return
-        for number, content in enumerate(pages(data), 1):
-            if number > MOST_PAGES:
-                yield (path, number, None, None, None, None, None, None, None, None, None, "too_many_pages")
-                return
-            size = 0
-            for k, (text, x, y, w, s) in enumerate(fragments(content)):
-                size += len(text)
-                if size > MOST_TEXT:
-                    break
-                yield (path, number, f"p{number}_f{k}", k, text, x, y, w, s, s, False, None)
+        yield from _records(path, data)
 
 
 class PdfSource(DataSource):

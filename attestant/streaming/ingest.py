@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from attestant.plans.positioned import pages_of_fragments
 from attestant.plans.transcript import Transcripts
+from attestant.sources.pdf import fragments_of
+from attestant.sources.tables import cut_lineage
 from attestant.sources.text import decoded, pages_of
 
 RELATIONS = ("lines", "blocks", "exchanges", "participants", "gate")
@@ -22,12 +25,19 @@ def file_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -
 def write_batch(files: DataFrame, out: str, batch: int) -> None:
     """Parses the documents of a batch and writes each relation under its batch number; writing a batch again replaces it.
 
-    Documents don't depend on each other, so no state goes from batch to batch. Files that can't be decoded go to ``errors``.
+    Documents don't depend on each other, so no state goes from batch to batch. Files that can't be decoded go to ``errors``, and
+    PDF files of which a page, or all, can't be read.
     """
     told = decoded(files)
     target = lambda name: f"{out}/{name}/batch={batch}"
-    told.filter("error is not null").select("doc_id", "filename", "error", "source_sha256").write.mode("overwrite").parquet(target("errors"))
+    pieces = cut_lineage(fragments_of(told.filter("kind = 'pdf' and error is null")))
+    unread = pieces.filter("error is not null").select("doc_id", "error").distinct().join(told.select("doc_id", "filename", "source_sha256"), "doc_id")
+    columns = ("doc_id", "filename", "error", "source_sha256")
+    told.filter("error is not null").select(*columns).unionByName(unread.select(*columns)).write.mode("overwrite").parquet(target("errors"))
     pages = pages_of(told.filter("text is not null")).join(told.select("doc_id", "kind"), "doc_id")
+    shown = pieces.filter("error is null")
+    if not shown.isEmpty():
+        pages = pages.unionByName(pages_of_fragments(shown).select(*pages.columns))
     parsed = Transcripts(pages)
     for name in RELATIONS:
         getattr(parsed, name).write.mode("overwrite").parquet(target(name))

@@ -70,6 +70,19 @@ def test_file_stream(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out/exchanges").count() == 2 and spark.read.parquet(f"{tmp_path}/out/errors").count() == 1
 
 
+def test_pdf_files_in_the_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.pdf").write_bytes(_pdf(_lines((72, 700, "1"), (100, 700, "Q. Where were you?"), (72, 682, "2"), (100, 682, "A. In the yard."))))
+    (tmp_path / "in/b.pdf").write_bytes(_pdf(_lines((72, 700, "1"), (100, 700, "Q. Who was there?"), (72, 682, "2"), (100, 682, "A. Nobody.")), b""))
+    (tmp_path / "in/c.pdf").write_bytes(b"%PDF-1.4 and nothing")
+    (tmp_path / "in/t.txt").write_text("1 Q. When?\n2 A. Then.\n")
+    ingest.start(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    lines = {(r["doc_id"][-5:], r["text"]) for r in spark.read.parquet(f"{tmp_path}/out/lines").collect()}
+    assert lines >= {("a.pdf", "Where were you?"), ("a.pdf", "In the yard."), ("b.pdf", "Who was there?"), ("t.txt", "Then.")}
+    assert {d for d, _ in lines} == {"a.pdf", "b.pdf", "t.txt"}
+    assert {(r["filename"], r["error"]) for r in spark.read.parquet(f"{tmp_path}/out/errors").collect()} == {("b.pdf", "no_text_layer"), ("c.pdf", "no_pages")}
+
+
 def test_pdf_to_transcript(spark, tmp_path):
     from attestant.plans.positioned import pages_of_fragments
     from attestant.plans.transcript import Transcripts
