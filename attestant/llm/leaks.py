@@ -2,16 +2,16 @@
 
 The items' normalised n-grams make a hash set that goes to every task; every window of every page is looked up in it. Scans break words and
 misread letters, so the tokens of the windows are letters: case, punctuation, line and word breaks fall away, and letters that scans take
-for one another are one token. Windows that hit are chained along the item, the gaps between them checked, and the whole words covered
-counted. Pages are read column by column, whatever order their lines are stored in.
+for one another are one token. Every hit is verified: from it the item and the page are compared word by word to both sides, and the
+consecutive words that are the same but for misread letters are counted. Pages are read column by column, whatever order their lines are stored in.
 """
 
 from __future__ import annotations
 
+import bisect
 import re
 import unicodedata
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +21,7 @@ from pyspark.sql import functions as F
 from attestant.llm.common import chunks, per_batch, unmerged
 
 #: Letters in a window, consecutive words that make a leak, characters of items looked for in one pass, and pixels between columns.
-WINDOW, LEAST_WORDS, PASS_CHARS, COLUMN_GAP = 16, 18, 20_000_000, 60
-#: Words that a passage may win at either edge, where misread letters cut windows off.
-WIDEN = 4
+WINDOW, LEAST_WORDS, PASS_CHARS, COLUMN_GAP = 16, 18, 5_000_000, 60
 
 # Letters that scans take for one another (one token each), and pairs taken for one letter.
 CLASSES = ("aoec0", "trf", "li1|!j", "hb8ß6", "un", "yv", "s5", "gq9", "z2", "kx")
@@ -111,9 +109,12 @@ class Index:
             self.words.append(spans[spans[:, 1] > spans[:, 0]])
             h = windows(codes)
             hashes.append(h)
-            owner.append(np.full(len(h), k))
-            place.append(np.arange(len(h)))
+            owner.append(np.full(len(h), k, np.int32))
+            place.append(np.arange(len(h), dtype=np.int32))
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        # tokens of the words and their first tokens; and the words from the right, turned round
+        self.forward = [([c[a:z].tobytes() for a, z in w], w[:, 0].tolist()) for c, w in zip(self.codes, self.words, strict=True)]
+        self.backward = [[x[::-1] for x in reversed(f)] for f, _ in self.forward]
         order = np.argsort(h, kind="stable")
         self.hashes = h[order]
         self.owner = (np.concatenate(owner) if owner else np.zeros(0, np.int64))[order]
@@ -136,51 +137,44 @@ class Index:
         doc_at = np.repeat(hits, count)
         which = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
         owner, place = self.owner[which], self.place[which]
-        out = []
-        order = np.argsort(owner, kind="stable")
-        owner, place, doc_at = owner[order], place[order], doc_at[order]
-        firsts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
-        low, high = np.minimum.reduceat(place, firsts), np.maximum.reduceat(place, firsts) + WINDOW
-        for k, a, z, p, q in zip(owner[firsts], firsts, np.r_[firsts[1:], len(owner)], low, high, strict=True):
-            if self._within(int(k), int(p), int(q)) < least - 2 * WIDEN:  # whatever lies between the outermost windows, it is too short
-                continue
-            out += [(int(k), *p) for p in self._passages(codes, int(k), doc_at[a:z], place[a:z], least)]
-        return out
-
-    def _within(self, k: int, a: int, b: int) -> int:
-        """Whole words of an item between two of its tokens."""
-        words = self.words[k]
-        return max(0, int(np.searchsorted(words[:, 1], b, "right") - np.searchsorted(words[:, 0], a, "left")))
-
-    def _passages(self, codes: np.ndarray, k: int, at: np.ndarray, place: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-        """(words, first token, token after) of every chained run of at least ``least`` words, each stretch of the page once."""
-        item, words = self.codes[k], self.words[k]
-        # runs of windows on one diagonal
-        diagonal = at - place
-        order = np.lexsort((at, diagonal))
-        at, place, diagonal = at[order], place[order], diagonal[order]
-        new = np.flatnonzero(np.r_[True, (np.diff(diagonal) != 0) | (np.diff(at) > 3 * WINDOW)])
-        ends = np.r_[new[1:], len(at)] - 1
-        runs = sorted((int(place[a]), int(at[a]), int(place[b]) + WINDOW, int(at[b]) + WINDOW) for a, b in zip(new, ends, strict=True))
+        # runs of windows of one item on one diagonal are seeds
+        diagonal = doc_at - place
+        order = np.lexsort((doc_at, diagonal, owner))
+        owner, place, doc_at, diagonal = owner[order], place[order], doc_at[order], diagonal[order]
+        firsts = np.flatnonzero(np.concatenate([[True], (np.diff(owner) != 0) | (np.diff(diagonal) != 0) | (np.diff(doc_at) > 1)]))
+        lasts = np.concatenate([firsts[1:], [len(owner)]]) - 1
+        seeds: dict[int, list[tuple[int, int, int]]] = {}
+        for k, a, x, b in zip(owner[firsts].tolist(), place[firsts].tolist(), doc_at[firsts].tolist(), (place[lasts] + WINDOW).tolist(), strict=True):
+            seeds.setdefault(k, []).append((a, x, b))
+        page = codes.tobytes()
+        page_back = page[::-1]
+        return [(k, *p) for k, found in seeds.items() if self.forward[k][0] for p in self._passages(page, page_back, k, sorted(found), least)]
+
+    def _passages(self, page: bytes, page_back: bytes, k: int, seeds: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
+        """(words, first token, token after) of every run of at least ``least`` consecutive words of the item, each stretch of the page once.
+
+        From the first word of each seed (place in the item, in the page, end in the item) on the item and the page are compared word by word,
+        to the right and to the left; the first word that is not the same, but for misread letters, ends the run.
+        """
+        words, starts = self.forward[k]
+        words_back = self.backward[k]
+        total = len(words)
         found: list[tuple[int, int, int]] = []
-        used: set[int] = set()
-        for i in range(len(runs)):
-            if i in used:
-                continue
-            a, x, b, y = runs[i]
-            for j in range(i + 1, len(runs)):
-                c, u, d, v = runs[j]
-                if c > b + 4 * WINDOW:
-                    break
-                if j not in used and d > b and v > y and abs((u - c) - (y - b)) <= 6 and u < y + 4 * WINDOW + 6 and self._alike(item[b:c], codes[y:u]):
-                    b, y = d, v
-                    used.add(j)
-            if self._within(k, a, b) < least - 2 * WIDEN:
+        reached: list[tuple[int, int, int, int]] = []  # words and tokens of the runs so far
+        for a, x, b in seeds:
+            lo = bisect.bisect_left(starts, a)
+            # the first word within the seed, or the one the seed lies in
+            if lo == total or starts[lo] >= b:
+                lo -= 1
+            start = x + starts[lo] - a
+            if lo < 0 or start < 0 or any(f <= lo < z and p <= start < q for f, z, p, q in reached):
                 continue
-            a, x, b, y = self._widened(codes, item, words, a, x, b, y)
-            n = self._within(k, a, b)
-            if n >= least:
-                found.append((n, x, y))
+            after, y = _extended(page, words, lo, start)
+            before, back = _extended(page_back, words_back, total - lo, len(page) - start)
+            first = len(page) - back
+            reached.append((lo - before, lo + after, first, y))
+            if before + after >= least:
+                found.append((before + after, first, y))
         # a passage within a longer one (of words the item has twice) tells nothing more
         kept: list[tuple[int, int, int]] = []
         for p in sorted(found, key=lambda p: (p[1], -p[2], -p[0])):
@@ -190,55 +184,50 @@ class Index:
                 kept[-1] = (p[0], *kept[-1][1:])
         return kept
 
-    @staticmethod
-    def _alike(a: np.ndarray, b: np.ndarray) -> bool:
-        """Whether the tokens between two runs are the same text misread."""
-        if len(a) <= 3 and len(b) <= 6 or len(b) <= 3 and len(a) <= 6:
-            return True
-        return SequenceMatcher(None, a.tobytes(), b.tobytes(), False).ratio() >= 0.6
-
-    @staticmethod
-    def _widened(codes: np.ndarray, item: np.ndarray, words: np.ndarray, a: int, x: int, b: int, y: int) -> tuple[int, int, int, int]:
-        """The passage with the words at its edges that a misread letter cut off."""
-        for _ in range(WIDEN):
-            w = words[(words[:, 0] < b + 1) & (words[:, 1] > b)]
-            if not len(w):
-                break
-            s, e = int(w[0][0]), int(w[0][1])
-            want, n = item[s:e], e - s
-            have = codes[max(0, y - (b - s)) : y - (b - s) + n + 1]
-            if _same_word(want, have[:n]) or n > 3 and (_same_word(want, have[: n + 1]) or _same_word(want, have[: n - 1])):
-                y += e - b
-                b = e
-            else:
-                break
-        for _ in range(WIDEN):
-            w = words[(words[:, 0] < a) & (words[:, 1] > a - 1)]
-            if not len(w):
-                break
-            s, e = int(w[-1][0]), int(w[-1][1])
-            want, n = item[s:e], e - s
-            end = x + (e - a)
-            have = codes[max(0, end - n) : end]
-            if _same_word(want, have) or n > 3 and (_same_word(want, codes[max(0, end - n - 1) : end]) or _same_word(want, codes[max(0, end - n + 1) : end])):
-                x -= a - s
-                a = s
-            else:
-                break
-        return a, max(0, x), b, min(y, len(codes))
-
-
-def _same_word(want: np.ndarray, have: np.ndarray) -> bool:
-    """Whether two words' tokens are the same but for a misread one in five or six; of other lengths, but for one left out or put in."""
+
+def _extended(page: bytes, words: list[bytes], first: int, start: int) -> tuple[int, int]:
+    """How many words of an item from the ``first`` on follow one another in the page from ``start`` on, and the token after the last.
+
+    A word may be a token longer or shorter in the page, so several positions may follow it; all are tried, that with the fewest wrong
+    tokens counts. A word that stands there to the letter, and the next word behind it, leave no choice.
+    """
+    k, last = first, len(words)
+    states = {start: 0}
+    while k < last:
+        want = words[k]
+        n = len(want)
+        after: dict[int, int] = {}
+        for at, cost in states.items():
+            exact = page.startswith(want, at)
+            if exact and k + 1 < last and page.startswith(words[k + 1], at + n):
+                after[at + n] = min(cost, after.get(at + n, cost))
+                continue
+            for m in (n, n + 1, n - 1) if n > 3 else (n,):
+                wrong = _wrong(want, page[at : at + m]) if at + m <= len(page) else None
+                if wrong is not None and cost + wrong < after.get(at + m, 1 << 30):
+                    after[at + m] = cost + wrong
+        if not after:
+            break
+        states, k = after, k + 1
+    return k - first, min(states, key=lambda p: (states[p], p))
+
+
+def _wrong(want: bytes, have: bytes) -> int | None:
+    """How many tokens are wrong where two words are the same but for misread letters, one in five or six; null for different words.
+
+    Of words a token apart all other tokens must be the same.
+    """
+    if want == have:
+        return 0
     n, m = len(want), len(have)
     if n == m:
-        wrong = int((want != have).sum())
-        return wrong == 0 or n > 2 and wrong <= max(1, n // 5)
-    if abs(n - m) != 1:
-        return False
+        wrong = sum(map(int.__ne__, want, have))
+        return wrong if n > 2 and wrong <= max(1, n // 5) else None
     long, short = (want, have) if n > m else (have, want)
-    k = int(np.argmax(np.r_[long[:-1] != short, True]))
-    return bool((long[k + 1 :] == short[k:]).all())
+    if len(long) - len(short) != 1:
+        return None
+    k = next((i for i, c in enumerate(short) if c != long[i]), len(short))
+    return 1 if long[k + 1 :] == short[k:] else None
 
 
 def reading_order(x: np.ndarray, y: np.ndarray) -> np.ndarray:

@@ -205,6 +205,18 @@ def test_leaks_through_scan_noise():
         assert [index.ids[k] for k, *_ in index.leaks(codes, h, index.hits(h))] == [7]
 
 
+def test_items_that_share_a_frame_leak_only_by_their_own_words():
+    frame = "In the tidal calendars of {} and {}, the {} people weighed {} against river stones {}, {} a single lamp from {} settles any quarrel over hay."
+    fills = [("Marden", "Tolgos", "barefoot", "bread", "ninety times", "yet the ledger shows", "Vespir"), ("Kinrund", "Vestal", "stubborn", "chalk", "eighteen nights", "and for that reason", "Tolmek")]
+    items = [(k, frame.format(*f) + " " + frame.format(*f[::-1])) for k, f in enumerate(fills)]
+    index = leaks.Index(items)
+    for k, text in items:
+        noisy = text.replace("people", "peopla").replace("weighed", "weiqhod").replace("quarrel", "quarel")
+        codes, _ = leaks.tokens(noisy)
+        h = leaks.windows(codes)
+        assert {index.ids[x] for x, *_ in index.leaks(codes, h, index.hits(h))} == {k}
+
+
 def test_every_passage_of_an_item_is_cut_out(spark, tmp_path):
     rng = random.Random(4)
     item = rng.sample([f"{a}{b}{c}" for a in ("mar", "tol", "ves", "kin") for b in ("den", "gos", "pir") for c in ("tal", "mek", "rund", "bost")], 44)
