@@ -1,9 +1,10 @@
 """Speech transcripts made into clean, ordered speaker turns.
 
-The segments of a page are put in order by precedence constraints: dialogue order (row numbers), cues (a segment without a label goes on
-with the labelled one before it) and timing (time marks). Constraints are taken by weight, one that closes a cycle is dropped, and the
-rest is sorted topologically. Then spans of time marks, fillers and sounds are taken out, labels become persons, and rows of one person
-are merged. Pages are small; a transcript of any length is chained page by page.
+The segments of a page are put in order by precedence constraints: dialogue order (row numbers), timing (time marks) and cues (a segment that
+goes on with the sentence before it, a mark before the speech it stands for). Constraints are taken by weight, one that closes a cycle is
+dropped, and the rest is sorted topologically: a time outweighs a row number, a cue with the row number outweighs a time. Then spans of time
+marks, fillers and sounds are taken out, labels become persons, and rows of one person are merged. Pages are small; a transcript of any
+length is chained page by page.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attestant.llm.common import TESTIMONY
+from attestant.sources.tables import cut_lineage
 
 # Interjections that are no words, and words that are fillers only when set off by a comma or dash.
 INTERJECTIONS = "uh uhm um erm umm hmm hm mm mmm mhm mm-hmm uh-huh äh ähm öh öhm euh heu ehm uhh"
@@ -37,7 +39,11 @@ _PAUSED = "|".join(re.escape(x) for x in sorted({*SET_OFF.split(), *PHRASES} - {
 FILLER = re.compile(rf"(?i)(?<![\w'’\-])(?:(?<!as )(?<!as  )(?:{_PAUSED})\s?(?:,|--|—|\.\.\.|…)(?:\s?(?:{_ALTERNATIVES})\b,?)?|(?:{_ALTERNATIVES})(?![\w'’\-])\s?(?:,|--|—|\.\.\.|…)|(?:uh|uhm|mm-hmm|hmm|mmm|ähm|äh|euh)(?![\w'’\-])(?!\s*[.?!]?\s*$))\s*")
 LABEL = re.compile(r"^\s*([^:]{1,60}?)\s*(?::| [-–—])(?=\s|$)\s*")
 
-DIALOGUE, CUE, TIMING = 3, 2, 1
+#: Weights of precedence constraints; a cue adds to the dialogue order it agrees with.
+DIALOGUE, TIMING, CUE = 1.0, 2.0, 1.5
+#: Seconds that time marks of unlike forms may differ by where they mean the same moment.
+UNIT = 1.0
+HOUR = 3600
 
 
 def seconds(mark: str) -> float | None:
@@ -61,45 +67,98 @@ def seconds(mark: str) -> float | None:
     return total
 
 
-def order(segments: list[tuple[int | None, float | None, bool]]) -> list[int]:
-    """Positions of the segments (row number, seconds, has label) in order: topologically, the weightier of conflicting constraints kept."""
-    n = len(segments)
+def aligned(times: list[float | None], hourless: list[bool]) -> list[float | None]:
+    """Times with the hour that marks without one leave out: that which brings them nearest to the median of the others."""
+    whole = sorted(t for t, h in zip(times, hourless, strict=True) if t is not None and not h)
+    about = whole[len(whole) // 2] if whole else next((t for t in times if t is not None), 0.0)
+    return [about + (t - about + HOUR / 2) % HOUR - HOUR / 2 if t is not None and h else t for t, h in zip(times, hourless, strict=True)]
+
+
+def constraints(segments: list[tuple]) -> list[tuple[float, int, int]]:
+    """(weight, before, after) between positions of segments (row number, seconds, has label, text).
+
+    Dialogue order links each row number with the next, timing each mark with the next one more than UNIT later.
+    """
     numbered = sorted((s[0], i) for i, s in enumerate(segments) if s[0] is not None)
-    if len(numbered) == n and len({r for r, _ in numbered}) == n:
-        return [i for _, i in numbered]  # dialogue order is whole: every lighter constraint agrees with it or is dropped
-    edges = [(DIALOGUE, a[1], b[1]) for a, b in zip(numbered, numbered[1:], strict=False)]
-    edges += [(CUE, i - 1, i) for i in range(1, n) if not segments[i][2] and segments[i][0] is None]
+    text = lambda i: segments[i][3] if len(segments[i]) > 3 else None
+
+    def goes_on(a: int, b: int) -> bool:
+        if text(a) is None or text(b) is None or segments[b][2]:
+            return False
+        if not text(a):  # nothing but a mark: it stands for what follows
+            return segments[a][1] is not None
+        return text(b)[:1].islower() and text(a)[-1:] not in ".?!"
+
+    edges, head, tail = [], list(range(len(segments))), list(range(len(segments)))
+    for (n, a), (m, b) in zip(numbered, numbered[1:], strict=False):
+        if n < m:
+            cue = goes_on(a, b)
+            edges.append((DIALOGUE + CUE * cue, a, b))
+            if cue:
+                head[b] = head[a]
+    for _, i in reversed(numbered):
+        tail[head[i]] = max(tail[head[i]], i, key=lambda k: -1 if segments[k][0] is None else segments[k][0])
+    edges += [(CUE, i - 1, i) for i in range(1, len(segments)) if not segments[i][2] and segments[i][0] is None]
     timed = sorted((s[1], i) for i, s in enumerate(segments) if s[1] is not None)
-    edges += [(TIMING, a[1], b[1]) for a, b in zip(timed, timed[1:], strict=False)]
+    later = 0
+    for t, i in timed:
+        while later < len(timed) and timed[later][0] <= t + UNIT:
+            later += 1
+        if later < len(timed):
+            j = timed[later][1]
+            # what goes on with a segment shares its time
+            edges.append((TIMING, i, j) if head[i] == head[j] else (TIMING, tail[head[i]], head[j]))
+    return edges
+
+
+def order(segments: list[tuple]) -> list[int]:
+    """Positions of the segments (row number, seconds, has label, text) in order: the weightier of conflicting constraints are kept.
+
+    What the kept constraints leave open goes by row number, then by position. Constraints are added one by one to an order that is kept
+    topological: only the segments between the two ends of one that does not fit are looked at.
+    """
+    n = len(segments)
+    key = sorted(range(n), key=lambda i: (segments[i][0] is None, segments[i][0] or 0, i))
+    at = [0] * n
+    for k, i in enumerate(key):
+        at[i] = k
+    rank = list(at)
+    edges = constraints(segments)
+    if all(at[a] < at[b] for _, a, b in edges):
+        return key  # no constraint speaks against the row numbers
     after: list[list[int]] = [[] for _ in range(n)]
+    before: list[list[int]] = [[] for _ in range(n)]
 
-    def reaches(a: int, b: int) -> bool:
-        seen, todo = {a}, [a]
+    def within(start: int, links: list[list[int]], low: int, high: int) -> list[int]:
+        seen, todo = {start}, [start]
         while todo:
-            x = todo.pop()
-            if x == b:
-                return True
-            for y in after[x]:
-                if y not in seen:
+            for y in links[todo.pop()]:
+                if y not in seen and low <= at[y] <= high:
                     seen.add(y)
                     todo.append(y)
-        return False
-
-    before = [0] * n
-    for _, a, b in sorted(edges, key=lambda e: -e[0]):
-        if a != b and not reaches(b, a):
-            after[a].append(b)
-            before[b] += 1
-    ready = [i for i in range(n) if not before[i]]
+        return sorted(seen, key=at.__getitem__)
+
+    for _, a, b in sorted(edges, key=lambda e: (-e[0], rank[e[1]], rank[e[2]])):
+        if at[a] > at[b]:
+            behind = within(b, after, at[b], at[a])
+            if a in behind:
+                continue  # it would close a cycle of weightier constraints
+            moved = within(a, before, at[b], at[a]) + behind
+            for i, k in zip(moved, sorted(at[i] for i in moved), strict=True):
+                at[i] = k
+        after[a].append(b)
+        before[b].append(a)
+    waits = [len(x) for x in before]
+    ready = [(rank[i], i) for i in range(n) if not waits[i]]
     heapq.heapify(ready)
     out = []
     while ready:
-        a = heapq.heappop(ready)
+        a = heapq.heappop(ready)[1]
         out.append(a)
         for b in after[a]:
-            before[b] -= 1
-            if not before[b]:
-                heapq.heappush(ready, b)
+            waits[b] -= 1
+            if not waits[b]:
+                heapq.heappush(ready, (rank[b], b))
     return out
 
 
@@ -111,8 +170,8 @@ def _sound(span: str) -> bool:
 _PROCEEDINGS = frozenset(PROCEEDINGS.split())
 
 
-def clean(text: str) -> tuple[str, float | None, bool, bool, bool]:
-    """Clean text, seconds of the time mark, and whether the text had a time mark, a filler, a sound."""
+def clean(text: str) -> tuple[str, float | None, bool, bool, bool, bool]:
+    """Clean text, seconds of the time mark, and whether the text had a time mark, a filler, a sound, and a mark of minutes that leaves out the hour."""
     mark = TIME.match(text)
     time = None
     if mark:
@@ -130,7 +189,7 @@ def clean(text: str) -> tuple[str, float | None, bool, bool, bool]:
 
         text = SOUND.sub(cut, text)
     text, fillers = FILLER.subn("", text)
-    return " ".join(text.split()), time, bool(mark), fillers > 0, sound
+    return " ".join(text.split()), time, bool(mark), fillers > 0, sound, bool(mark) and mark["m"][0] == "{"
 
 
 _OUT = pa.schema(
@@ -146,9 +205,11 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> None:
         cleaned = [clean(r[4] or "") for r in held]
-        for place, i in enumerate(order([(r[3], c[1], bool(r[7])) for r, c in zip(held, cleaned, strict=True)])):
+        times = aligned([c[1] for c in cleaned], [c[5] for c in cleaned])
+        for place, i in enumerate(order([(r[3], t, bool(r[7]) or bool(LABEL.match(c[0])), c[0]) for r, c, t in zip(held, cleaned, times, strict=True)])):
             doc, page, rid, _, _, kind, participant, label = held[i]
-            text, time, ts, filler, sound = cleaned[i]
+            text, _, ts, filler, sound, _ = cleaned[i]
+            time = times[i]
             labelled = LABEL.match(text)
             said = text[labelled.end() :] if labelled and label else text
             out.append((doc, page, place, rid, kind is not None and (not sound or bool(said)), kind, participant, label, said, time, ts, filler, sound))
@@ -169,13 +230,14 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def segments(rows: DataFrame, lines: DataFrame, contexts: DataFrame) -> DataFrame:
-    """Ordered, cleaned segments of interviews. Rows delivered twice count once; texts that are null are empty segments."""
+    """Ordered, cleaned segments of interviews. Rows delivered twice count once; texts that are null are empty segments; a row without a number has that of its id."""
     chosen = contexts.filter("document_type = 'interview'").select("doc_id").distinct()
     own = rows.select("doc_id", "id", "physical_page", "row_index", "text", "event_kind", "speaker_anchor_label", "speaker_participant_id", F.coalesce("ingested_at", F.lit(0).cast("timestamp")).alias("at")).join(chosen, "doc_id", "left_semi")
     once = own.groupBy("doc_id", "id").agg(F.max_by(F.struct("physical_page", "row_index", "text", "speaker_anchor_label", "speaker_participant_id"), "at").alias("r"))
     line = lines.filter(F.col("kind").isin(*TESTIMONY, "unknown")).select("doc_id", F.col("source_row_id").alias("id"), "kind", "speaker").dropDuplicates(["doc_id", "id"])
-    both = once.join(line, ["doc_id", "id"], "left").select(
-        "doc_id", F.col("r.physical_page").alias("page"), "id", F.col("r.row_index").alias("row"), F.col("r.text").alias("text"), "kind", F.coalesce("r.speaker_participant_id", "speaker.participant_id").alias("participant"), F.coalesce("r.speaker_anchor_label", "speaker.label").alias("label")
+    # both sides grow with the rows, so neither is broadcast; they are grouped by the key already
+    both = once.join(line.hint("merge"), ["doc_id", "id"], "left").select(
+        "doc_id", F.col("r.physical_page").alias("page"), "id", F.coalesce("r.row_index", F.regexp_extract("id", r"_r(\d{1,9})$", 1).try_cast("int") - 1).alias("row"), F.col("r.text").alias("text"), "kind", F.coalesce("r.speaker_participant_id", "speaker.participant_id").alias("participant"), F.coalesce("r.speaker_anchor_label", "speaker.label").alias("label")
     )
     return both.repartition("doc_id", "page").sortWithinPartitions("doc_id", "page", "row", "id").mapInArrow(_pages, OUT)
 
@@ -185,38 +247,56 @@ def speakers(segmented: DataFrame, participants: DataFrame) -> DataFrame:
     labels = participants.filter("id is not null").select("doc_id", F.col("id").alias("known"), F.explode(F.array_union(F.coalesce("observed_labels", F.array().cast("array<string>")), F.array("display_label"))).alias("label")).filter("label is not null")
     one = labels.groupBy("doc_id", "label").agg(F.min("known").alias("known"))
     letters = F.regexp_replace(F.lower("label"), r"^(mr|mrs|ms|dr|miss)\b\.?|[^\p{L}]", "")
-    return segmented.join(one, ["doc_id", "label"], "left").withColumn("person", F.coalesce("participant", "known", letters)).drop("known")
+    return segmented.join(one.hint("merge"), ["doc_id", "label"], "left").withColumn("person", F.coalesce("participant", "known", letters)).drop("known")
 
 
 def with_turns(spoken: DataFrame) -> DataFrame:
-    """Segments of speech with ``opens``: whether another person than that of the segment before speaks."""
+    """Segments of speech with ``turn_no``, counted from 1, and ``opens``: whether another person than that of the segment before speaks.
+
+    ``spoken`` is read twice: page by page, each page giving its first and last person and the turns that open within it, and again to meet
+    what the pages before it come to.
+    """
+    at = F.when(F.col("person").isNotNull(), F.col("place"))
     page = W.partitionBy("doc_id", "page").orderBy("place").rowsBetween(W.unboundedPreceding, -1)
-    ends = spoken.filter("person is not null").groupBy("doc_id", "page").agg(F.max_by("person", "place").alias("end"))
+    before, person = F.last("person", ignorenulls=True).over(page), F.col("person")
+    # the first person of a page opens a turn unless it is the last one of the pages before
+    placed = spoken.withColumn("before", before).withColumn("n", F.count("*").over(page)).withColumn("inner", F.coalesce(person != F.col("before"), F.lit(False)).cast("int")).withColumn("leads", (person.isNotNull() & F.col("before").isNull()).cast("int"))
+    sums = placed.groupBy("doc_id", "page").agg(F.max_by("person", at).alias("end"), F.min_by("person", at).alias("start"), F.sum("inner").alias("inner"), F.max(((F.col("n") == 0) & person.isNull()).cast("int")).alias("vague"))
     pages = W.partitionBy("doc_id").orderBy("page").rowsBetween(W.unboundedPreceding, -1)
-    first = spoken.groupBy("doc_id", "page").agg(F.min("place").alias("first")).join(ends, ["doc_id", "page"], "left")
-    chained = first.select("doc_id", "page", F.last("end", ignorenulls=True).over(pages).alias("carried"), F.count("*").over(pages).alias("earlier"))
-    joined = spoken.withColumn("last", F.last("person", ignorenulls=True).over(page)).withColumn("n", F.count("*").over(page)).join(chained, ["doc_id", "page"])
-    before = F.coalesce("last", "carried")
-    opening = (F.col("n") + F.col("earlier") == 0) | (F.col("person").isNotNull() & (before.isNull() | (before != F.col("person"))))
-    return joined.withColumn("opens", opening).drop("last", "n", "carried", "earlier")
+    carried = sums.withColumn("carried", F.last("end", ignorenulls=True).over(pages)).withColumn("earlier", F.count("*").over(pages))
+    start = F.col("start")
+    # what a page adds: its inner openings, its first person if new, and the transcript's first segment where that names nobody
+    new = (start.isNotNull() & (F.col("carried").isNull() | (F.col("carried") != start))).cast("int")
+    added = carried.withColumn("new", new).withColumn("base", F.coalesce(F.sum(F.col("inner") + F.col("new") + F.when(F.col("earlier") == 0, F.col("vague")).otherwise(0)).over(pages), F.lit(0)))
+    joined = placed.join(added.select("doc_id", "page", "earlier", "new", "base").hint("merge"), ["doc_id", "page"])
+    first = (F.col("n") == 0) & (F.col("earlier") == 0)
+    opens = first | (F.col("inner") + F.col("leads") * F.col("new") > 0)
+    upto = W.partitionBy("doc_id", "page").orderBy("place").rowsBetween(W.unboundedPreceding, 0)
+    return joined.withColumn("opens", opens).withColumn("turn_no", F.col("base") + F.sum(F.col("opens").cast("int")).over(upto)).drop("before", "n", "inner", "leads", "earlier", "new", "base")
+
+
+def segmented(rows: DataFrame, lines: DataFrame, contexts: DataFrame, participants: DataFrame) -> DataFrame:
+    """The segments with their persons, written once."""
+    return cut_lineage(speakers(segments(rows, lines, contexts), participants))
 
 
 def findings(rows: DataFrame, lines: DataFrame, contexts: DataFrame, participants: DataFrame) -> DataFrame:
     """doc_id, row_id, finding: 'timestamp', 'filler', 'sound' and 'turn'."""
-    segmented = speakers(segments(rows, lines, contexts), participants)
-    marks = segmented.select("doc_id", F.col("id").alias("row_id"), F.explode(F.filter(F.array(*[F.when(F.col(k), k) for k in ("timestamp", "filler", "sound")]), lambda x: x.isNotNull())).alias("finding"))
-    opened = with_turns(segmented.filter("spoken")).filter("opens").select("doc_id", F.col("id").alias("row_id"), F.lit("turn").alias("finding"))
-    return marks.unionByName(opened)
+    all_ = segmented(rows, lines, contexts, participants)
+    marks = all_.select("doc_id", F.col("id").alias("row_id"), F.explode(F.filter(F.array(*[F.when(F.col(k), k) for k in ("timestamp", "filler", "sound")]), lambda x: x.isNotNull())).alias("finding"))
+    spoken = all_.filter("spoken").select("doc_id", "page", "place", "id", "person")
+    return marks.unionByName(with_turns(spoken).filter("opens").select("doc_id", F.col("id").alias("row_id"), F.lit("turn").alias("finding")))
 
 
 def speaker_turns(rows: DataFrame, lines: DataFrame, contexts: DataFrame, participants: DataFrame) -> DataFrame:
     """Clean turns of interviews: doc_id, turn_no, person, label, seconds (of the first mark), text."""
-    opened = with_turns(speakers(segments(rows, lines, contexts), participants).filter("spoken")).withColumn("o", F.col("opens").cast("int"))
-    pages = W.partitionBy("doc_id").orderBy("page").rowsBetween(W.unboundedPreceding, -1)
-    sums = opened.groupBy("doc_id", "page").agg(F.sum("o").alias("s")).select("doc_id", "page", F.coalesce(F.sum("s").over(pages), F.lit(0)).alias("base"))
-    numbered = opened.join(sums, ["doc_id", "page"]).withColumn("turn_no", F.col("base") + F.sum("o").over(W.partitionBy("doc_id", "page").orderBy("place").rowsBetween(W.unboundedPreceding, 0)))
+    spoken = segmented(rows, lines, contexts, participants).filter("spoken").select("doc_id", "page", "place", "person", "label", "seconds", "text")
     at = F.struct("page", "place")
-    return numbered.groupBy("doc_id", "turn_no").agg(
+    # a page's part of a turn first, so that a turn of many pages meets as few rows
+    parts = with_turns(spoken).groupBy("doc_id", "turn_no", "page").agg(
         F.min_by("person", F.when(F.col("person").isNotNull(), at)).alias("person"), F.min_by("label", F.when(F.col("label").isNotNull(), at)).alias("label"), F.min_by("seconds", F.when(F.col("seconds").isNotNull(), at)).alias("seconds"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "place", "text"))), lambda x: x["text"]), " ").alias("text"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), " ").alias("text"),
     )
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("page"))).alias(c)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "text"))), lambda x: x["text"]), " ").alias("text")
+    return parts.groupBy("doc_id", "turn_no").agg(first("person"), first("label"), first("seconds"), whole)

@@ -120,6 +120,65 @@ def test_precedence_constraints():
     assert speech.order([(0, None, True), (None, None, False), (1, None, True)]) in ([0, 1, 2], [0, 2, 1])
 
 
+def test_times_and_cues_outweigh_row_numbers():
+    said = ["Q. Where was it?", "A. At the yard", "by the gate.", "Q. And then?", "A. We left."]
+    times = [10.0, 14.0, None, 20.0, 25.0]
+    rows = [(k, t, x[1:2] == ".", x) for k, (t, x) in enumerate(zip(times, said, strict=True))]
+    assert speech.order(rows) == [0, 1, 2, 3, 4]
+    # an answer numbered last with its second row: its time puts it back, and the cue takes the second row along
+    moved = [(3, *rows[1][1:]), (4, *rows[2][1:]), (0, *rows[0][1:]), (1, *rows[3][1:]), (2, *rows[4][1:])]
+    assert [moved[i][3] for i in speech.order(moved)] == said
+    # without its time the row number stands
+    assert [moved[i][3] for i in speech.order([(n, None, *r) for n, _, *r in moved])] == [said[k] for k in (0, 3, 4, 1, 2)]
+
+
+def test_shuffled_row_numbers_are_put_right_by_time():
+    rng = random.Random(8)
+    for _ in range(30):
+        n = rng.randrange(5, 20)
+        times = [10.0 * k + rng.random() for k in range(n)]
+        numbers = list(range(n))
+        a, b = rng.sample(range(n), 2)
+        numbers[a], numbers[b] = numbers[b], numbers[a]
+        assert speech.order([(numbers[k], times[k], True, f"Mr. {k}: Yes.") for k in range(n)]) == list(range(n))
+
+
+def test_order_is_topological_against_brute_force():
+    rng = random.Random(9)
+    for _ in range(60):
+        n = rng.randrange(1, 7)
+        rows = [(rng.choice([None, *range(4)]), rng.choice([None, float(rng.randrange(6))]), rng.random() < 0.5, rng.choice(["", "and so", "Yes.", "No"])) for _ in range(n)]
+        got = speech.order(rows)
+        assert sorted(got) == list(range(n))
+        # greedy by weight: every constraint kept by brute force holds in the result
+        kept: list = []
+        import itertools
+
+        for _, a, b in sorted(speech.constraints(rows), key=lambda e: (-e[0], *[sorted(range(n), key=lambda i: (rows[i][0] is None, rows[i][0] or 0, i)).index(x) for x in e[1:]])):
+            if any(all(p.index(x) < p.index(y) for x, y in [*kept, (a, b)]) for p in itertools.permutations(range(n))):
+                kept.append((a, b))
+        assert all(got.index(a) < got.index(b) for a, b in kept)
+
+
+def test_marks_without_the_hour():
+    assert speech.aligned([3968.0, 379.0, 3990.0, None], [False, True, False, False]) == [3968.0, 3979.0, 3990.0, None]
+    assert speech.aligned([None, 10.0], [False, True]) == [None, 10.0] and speech.aligned([], []) == []
+
+
+def test_turns_over_pages(spark):
+    rng = random.Random(10)
+    said = [(f"d{d}", p, k, rng.choice([None, "a", "a", "b"])) for d in range(8) for p in range(1, 4) for k in range(rng.randrange(0, 4))]
+    want, state = {}, {}
+    for d, p, k, who in said:
+        turn, last = state.get(d, (0, None))
+        if turn == 0 or who is not None and who != last:
+            turn += 1
+        state[d] = (turn, who or last)
+        want[d, p, k] = turn
+    got = speech.with_turns(spark.createDataFrame(said, "doc_id string, page int, place int, person string")).collect()
+    assert {(r["doc_id"], r["page"], r["place"]): r["turn_no"] for r in got} == want
+
+
 def test_names():
     p = names.Parser(["castor", "milica"])
     assert p.parse("PAKICOURT, CASTOR F.")[1:3] == ("pakicourt", ("castor",)) == p.parse("Pakicourt Castor")[1:3] == p.parse("Castor  Pakicourt, tel. 555-0101")[1:3]
