@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from attestant.llm.common import per_batch
 from attestant.sources.tables import cut_lineage
 
-#: Blocks handed out, and the most shards of all sources together.
-BLOCKS, SHARDS = 20_000, 4096
+#: Blocks handed out, blocks a shard has at least, and parts a shard's documents are put in order by, so that no task sorts a whole shard.
+BLOCKS, BLOCKS_PER_SHARD, PARTS = 20_000, 256, 1024
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.tiktoken") -> str:
@@ -73,7 +73,7 @@ def quotas(shards: list[dict], targets: dict[str, tuple[float, int]], total: int
         if s["tokens"] > 0 and s["source"] in targets:
             by_source.setdefault(s["source"], []).append(s)
     names = sorted(by_source)
-    most = [sum(targets[n][1] * s["tokens"] for s in by_source[n]) // block for n in names]
+    most = [-(-sum(targets[n][1] * s["tokens"] for s in by_source[n]) // block) for n in names]
     seats = sainte_lague([targets[n][0] for n in names], total // block, most)
     out = []
     for name, n in zip(names, seats, strict=True):
@@ -87,7 +87,7 @@ def quotas(shards: list[dict], targets: dict[str, tuple[float, int]], total: int
 def mixture(documents: DataFrame, mix: DataFrame, total: int | None = None, seed: int = 17, vocabulary: str | None = None) -> DataFrame:
     """doc_id, source, tokens, copies: the documents of the mixture. ``total`` tokens, by default as many as the listed sources have.
 
-    Of a source listed twice the first row by share counts; null shares and repeats count as 0. Documents without a source, without tokens
+    A source has a shard for every BLOCKS_PER_SHARD blocks of its tokens, one at least, at every size of the corpus. Of a source listed twice the first row by share counts; null shares and repeats count as 0. Documents without a source, without tokens
     or of sources not listed are left out. What a source can't fill goes to the others by their quotients.
     """
     listed = mix.filter("source is not null").groupBy("source").agg(F.max(F.struct(F.coalesce("target_share", F.lit(0.0)).alias("share"), F.coalesce("max_repeats", F.lit(0)).alias("repeats"))).alias("t"))
@@ -97,16 +97,21 @@ def mixture(documents: DataFrame, mix: DataFrame, total: int | None = None, seed
     everything = sum(have.values())
     total = everything if total is None else total
     block = max(1, -(-total // BLOCKS))
-    parts = {s: max(1, round(SHARDS * n / max(1, everything) / 4)) if everything > 50_000_000 else 1 for s, n in have.items()}
     spark = documents.sparkSession
-    shard_of = spark.createDataFrame([(s, n) for s, n in parts.items()], "source string, parts int")
+    shard_of = spark.createDataFrame([(s, max(1, n // (BLOCKS_PER_SHARD * block))) for s, n in have.items()], "source string, parts long")
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    placed = sized.join(F.broadcast(shard_of), "source").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.col("parts")).cast("int"))
-    shards = [r.asDict() for r in placed.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")).collect()]
+    # the upper bits of the order are a part of its own, so that running sums are taken per part and the parts chained by one row each
+    part = F.shiftrightunsigned(order, 64 - (PARTS - 1).bit_length()).cast("int")
+    part = F.pmod(part + F.lit(PARTS // 2), F.lit(PARTS))
+    placed = sized.join(F.broadcast(shard_of), "source").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.col("parts")).cast("int")).withColumn("part", part)
+    sums = cut_lineage(placed.groupBy("source", "shard", "part").agg(F.sum("tokens").alias("n")))  # at most BLOCKS / BLOCKS_PER_SHARD + sources shards, PARTS of each
+    shards = [r.asDict() for r in sums.groupBy("source", "shard").agg(F.sum("n").alias("tokens")).collect()]
     wanted = [(s["source"], s["shard"], s["tokens"], s["wanted"], s["repeats"]) for s in quotas(shards, targets, total, block)]
     quota = spark.createDataFrame(wanted, "source string, shard int, shard_tokens long, wanted long, repeats int")
-    drawn = placed.join(F.broadcast(quota), ["source", "shard"])
-    before = F.sum("tokens").over(W.partitionBy("source", "shard").orderBy(order, "doc_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("tokens")
+    earlier = F.sum("n").over(W.partitionBy("source", "shard").orderBy("part").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+    chained = sums.withColumn("earlier", earlier).drop("n").join(F.broadcast(quota), ["source", "shard"])
+    drawn = placed.join(chained, ["source", "shard", "part"])
+    before = F.col("earlier") + F.sum("tokens").over(W.partitionBy("source", "shard", "part").orderBy(order, "doc_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("tokens")
     passes = F.floor(F.col("wanted") / F.col("shard_tokens"))
     more = (before < F.col("wanted") - passes * F.col("shard_tokens")).cast("int")
     copies = F.least(F.col("repeats"), passes + more).cast("int")
