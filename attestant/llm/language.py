@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from attestant.llm.common import TESTIMONY, per_batch
 from attestant.llm.encoding import restore
 
-#: Bounds of the training sample: rows and transcripts per language, languages; and the buckets of features.
-ROWS_PER_LANGUAGE, TRANSCRIPTS_PER_LANGUAGE, LANGUAGES, BUCKETS = 1200, 300, 40, 1 << 16
+#: Bounds of the training sample: rows and transcripts per language, languages (there are 184 two-letter codes) and common words of each; and the buckets of features.
+ROWS_PER_LANGUAGE, TRANSCRIPTS_PER_LANGUAGE, LANGUAGES, WORDS_PER_LANGUAGE, BUCKETS = 1200, 300, 200, 2000, 1 << 16
 
 # Two-letter codes with the other spellings of each language, of ISO 639-2 and in English.
 CODES = {
@@ -182,7 +182,7 @@ def train(sample: list[tuple[str, str]], common: list[tuple[str, str]], rounds:
     for lang, word in common:
         if lang and word:
             lexicon.setdefault(word.lower(), []).append(lang)
-    rows = [(WORD.findall(spoken(t))[:24], at[x]) for t, x in sample if t]
+    rows = [(WORD.findall(spoken(t)), at[x]) for t, x in sample if t]
     rows = [(w, x) for w, x in rows if w]
     if not rows:
         return Model(languages, np.zeros((BUCKETS, len(languages)), np.float32), np.zeros((len(languages), len(languages))), lexicon)
@@ -305,7 +305,9 @@ def page_letters(rows: DataFrame, lines: DataFrame, model: Model) -> DataFrame:
 def fit(rows: DataFrame, contexts: DataFrame, common_words: DataFrame) -> Model:
     """Trains on hinted rows; without any on the common words alone, and without these the only language is 'und'."""
     sample = cleaned(sample_rows(rows, contexts))
-    common = [(r["lang"], r["word"]) for r in common_words.select("lang", "word").limit(10_000).collect()]
+    rank = W.partitionBy("lang").orderBy(F.col("freq_rank").asc_nulls_last(), "word")
+    ranked = common_words.filter("lang is not null and word is not null").withColumn("n", F.row_number().over(rank)).filter(F.col("n") <= WORDS_PER_LANGUAGE)
+    common = [(r["lang"], r["word"]) for r in ranked.orderBy("lang", "n").limit(LANGUAGES * WORDS_PER_LANGUAGE).collect()]
     return train(sample or [(w, x) for x, w in common if x and w] or [("", "und")], common)
 
 
@@ -317,7 +319,7 @@ def languages(rows: DataFrame, lines: DataFrame, contexts: DataFrame, common_wor
     letters = page_letters(rows, lines, fit(rows, contexts, common_words))
     levels = letters.select("doc_id", F.explode(F.array(F.lit(0), F.col("physical_page"))).alias("physical_page"), "lang", "letters")
     summed = levels.groupBy("doc_id", "physical_page", "lang").agg(F.sum("letters").alias("letters"))
-    return summed.groupBy("doc_id", "physical_page").agg(F.max_by("lang", F.struct("letters", F.hash("lang"))).alias("lang_code"), (F.max("letters") / F.sum("letters")).alias("confidence"), F.sum("letters").alias("letters"))
+    return summed.groupBy("doc_id", "physical_page").agg(F.min_by("lang", F.struct(-F.col("letters"), F.col("lang"))).alias("lang_code"), (F.max("letters") / F.sum("letters")).alias("confidence"), F.sum("letters").alias("letters"))
 
 
 def corrections(rows: DataFrame, lines: DataFrame, contexts: DataFrame, common_words: DataFrame) -> DataFrame:
