@@ -19,8 +19,8 @@ from attestant.llm.leaks import boxed, ordered_texts
 
 STATES = ("prose", "list", "table", "junk")
 PROSE, LIST, TABLE, JUNK = range(4)
-#: Pages the model is trained on, at most.
-SAMPLE = 3000
+#: Pages the states of the model are fitted to, and common words it knows, at most; letter pairs are counted over all pages.
+SAMPLE, WORDS = 3000, 100_000
 
 _TOP = 0x2100
 LETTER, DIGIT, SPACE, LINE, POINT, MARK, OTHER = 1, 2, 3, 4, 5, 6, 7
@@ -198,13 +198,12 @@ def out_part(scores: np.ndarray, starts: np.ndarray, lengths: np.ndarray, transi
         state = np.where(live, ahead, state)
 
 
-def train(texts: list[str], common: list[str], turns: int = 4) -> Model:
-    """Fits the model: rules label the lines first, then counts and labels follow from one another."""
+def train(texts: list[str], common: list[str], turns: int = 4, counts: np.ndarray | None = None) -> Model:
+    """Fits the model: rules label the lines first, then counts and labels follow from one another. ``counts`` are the letter pairs of the corpus, by default of the texts."""
     hashes = np.unique(np.array([word_hash(w) for w in common if w], np.uint64))
     texts = [unmerged(t) for t in texts if t] or ["a"]
     lines = Lines(texts, hashes)
-    counts = lines.pair_counts() + 0.5
-    rows = counts.reshape(28, 28)
+    rows = (lines.pair_counts() if counts is None else counts).reshape(28, 28) + 0.5
     pair_logs = np.log(rows / rows.sum(1, keepdims=True)).ravel()
     signs = lines.signs(pair_logs)
     labels = lines.by_rule(signs)
@@ -228,13 +227,44 @@ def train(texts: list[str], common: list[str], turns: int = 4) -> Model:
     return model
 
 
+def letter_pairs(texts: list[str]) -> np.ndarray:
+    """How often each letter follows each other one within the words of some texts."""
+    points = np.frombuffer(("\n".join(texts) + "\n").encode("utf-32-le", "replace"), np.uint32)
+    safe = np.minimum(points, _TOP - 1)
+    is_letter = (_KIND[safe] == LETTER) | (points >= _TOP)
+    both = is_letter[:-1] & is_letter[1:]
+    letter = _LETTERS[safe]
+    return np.bincount(letter[:-1][both].astype(np.int32) * 28 + letter[1:][both], minlength=N_PAIRS)
+
+
+def pair_counts(documents: DataFrame) -> np.ndarray:
+    """How often each letter follows each other one in the texts of all pages, added up in each batch before the counts are shuffled."""
+
+    def make():
+        def step(b: pa.RecordBatch) -> pa.RecordBatch | None:
+            texts = [t for t in b.column(0).to_pylist() if t]
+            if not texts:
+                return None
+            n = sum(letter_pairs(texts[a:z]) for a, z in chunks(texts))
+            at = np.flatnonzero(n)
+            return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], ["pair", "n"])
+
+        return step
+
+    out = np.zeros(N_PAIRS)
+    for r in per_batch(documents.select("text").filter("text is not null"), make, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        out[r["pair"]] = r["n"]
+    return out
+
+
 def fit(documents: DataFrame, common_words: DataFrame, sample: int = SAMPLE) -> Model:
     """Trains on at most ``sample`` pages, those with the least hashes; hashes beyond twice the share they need are left out in the scan, so little is sorted."""
     share = min(1.0, 2 * sample / max(1, documents.count()))
     h = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 53) - 1))
     drawn = documents.filter("text is not null").select("text", h.alias("h")).filter(F.col("h") <= int(share * (1 << 53)))
     texts = [r["text"] for r in drawn.orderBy("h", "text").limit(sample).collect()]
-    return train(texts, [r["word"] for r in common_words.filter("word is not null").select("word").distinct().limit(100_000).collect()])
+    words = common_words.filter("word is not null").groupBy("word").agg(F.min("freq_rank").alias("r")).orderBy(F.col("r").asc_nulls_last(), "word").limit(WORDS)
+    return train(texts, [r["word"] for r in words.collect()], counts=pair_counts(documents))
 
 
 _COLUMNS = ("doc_id long", "words long", "mean_word_length double", "symbol_ratio double", "stopped_lines double", "common_words double", "prose double", "list double", "table double", "junk double")
