@@ -153,9 +153,9 @@ def corrections(counts: DataFrame, also: DataFrame | None = None) -> DataFrame:
 
         return make
 
-    rare = per_batch(doubtful.select("word", F.col("scanned").alias("n")).filter("length(word) <= 40"), hashed(True), "word string, n long, hashes array<long>").select("word", "n", F.explode("hashes").alias("h"))
-    known = per_batch(frequent.select("word", "n").filter("length(word) <= 40"), hashed(False), "word string, n long, hashes array<long>").select(F.col("word").alias("right"), F.col("n").alias("m"), F.explode("hashes").alias("h"))
-    met = rare.join(known, "h").filter((F.col("word") != F.col("right")) & (F.col("m") >= TIMES * F.col("n"))).select("word", "right", "m").distinct()
+    rare = per_batch(doubtful.select("word", F.col("scanned").alias("n")), hashed(True), "word string, n long, hashes array<long>").select("word", "n", F.explode("hashes").alias("h"))
+    known = per_batch(frequent.select("word", "n"), hashed(False), "word string, n long, hashes array<long>").select(F.col("word").alias("right"), F.col("n").alias("m"), F.explode("hashes").alias("h"))
+    met = rare.join(known.hint("merge"), "h").filter((F.col("word") != F.col("right")) & (F.col("m") >= TIMES * F.col("n"))).select("word", "right", "m").distinct()
 
     def check():
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -301,8 +301,8 @@ def examined(rows: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame, D
     hyphens = cut_lineage(inner.filter("joined is not null").select("doc_id", "id", "joined", "cut", "next_id").unionByName(over))
     right = cut_lineage(corrections(counts, hyphens.groupBy(F.col("joined").alias("word")).agg(F.count("*").alias("scanned"))))
     # the second half of a word broken over a page break is no word of its own
-    misread = inner.select("doc_id", "id", F.explode("words").alias("word")).join(right, "word").join(heads, ["doc_id", "id", "word"], "left_anti")
-    hyphened = hyphens.join(right.withColumnRenamed("word", "joined"), "joined", "left")
+    misread = inner.select("doc_id", "id", F.explode("words").alias("word")).join(right.hint("merge"), "word").join(heads.hint("merge"), ["doc_id", "id", "word"], "left_anti")
+    hyphened = hyphens.join(right.withColumnRenamed("word", "joined").hint("merge"), "joined", "left")
     noise = inner.select("doc_id", "id", F.explode("noise").alias("noise")).unionByName(over.select("doc_id", "id", F.lit("hyphen").alias("noise")))
     return noise, misread, hyphened
 

@@ -319,6 +319,57 @@ def test_mixture(spark, tmp_path):
     assert shares["none"] == 0 and abs(sum(shares.values()) - 1) < 1e-9 and 0.2 < shares["small"] < 0.4
 
 
+def test_mixture_against_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    docs = [(k, rng.choice(["big"] * 8 + ["mid"] * 3 + ["low"]), " ".join(["word"] * rng.randrange(1, 60))) for k in range(900)]
+    docs += [(1000, "tiny", "one two")]
+    listed = [("big", 0.3, 1), ("mid", 0.4, 3), ("low", 0.2, 2), ("tiny", 0.1, 2)]
+    df, mix = spark.createDataFrame(docs, "doc_id long, source string, text string"), spark.createDataFrame(listed, "source string, target_share double, max_repeats int")
+    got = {r["doc_id"]: r["copies"] for r in mixing.mixture(df, mix).collect()}
+    assert got[1000] == 2  # a source smaller than a block is not left out
+    counted = mixing.counted(df).filter("tokens > 0").select("*", F.xxhash64(F.lit(17), "doc_id").alias("o"), F.xxhash64(F.lit(18), "doc_id").alias("s")).collect()
+    total = sum(r["tokens"] for r in counted)
+    block = max(1, -(-total // mixing.BLOCKS))
+    have = {s: sum(r["tokens"] for r in counted if r["source"] == s) for s, *_ in listed}
+    shards: dict = {}
+    for r in sorted(counted, key=lambda r: (r["o"], r["doc_id"])):
+        shards.setdefault((r["source"], r["s"] % max(1, have[r["source"]] // (mixing.BLOCKS_PER_SHARD * block))), []).append(r)
+    assert sum(s == "big" for s, _ in shards) > 1
+    want = {}
+    for q in mixing.quotas([{"source": s, "shard": k, "tokens": sum(r["tokens"] for r in v)} for (s, k), v in shards.items()], {s: (t, n) for s, t, n in listed}, total, block):
+        left = q["wanted"]
+        for copy in range(1, q["repeats"] + 1):
+            for r in shards[q["source"], q["shard"]]:
+                if left > 0:
+                    want[r["doc_id"]] = copy
+                    left -= r["tokens"]
+    assert got == want
+
+
+def test_more_than_forty_languages(spark, tmp_path):
+    codes = [f"{a}{b}" for a in "qxy" for b in "abcdefghijklmnop"][:45]
+    said = {c: "".join(random.Random(k).choices("bdfgklmnprst", k=2)) for k, c in enumerate(codes)}
+    rows, lines, context = [], [], []
+    for c in codes:
+        for d in range(3):
+            r, x = row(f"{c}{d}", 1, 0, f"{said[c]}a {said[c]}o mi{said[c]}u {said[c]}ek {said[c]}on", "answer")
+            rows, lines = [*rows, r], [*lines, x]
+            context.append({"doc_id": f"{c}{d}", "language_hint": (c, None, None, None)})
+    folder = write(spark, tmp_path, canonical_rows=rows, transcript_lines=lines, doc_context=context)
+    sample = language.sample_rows(spark.read.parquet(f"{folder}/canonical_rows.parquet"), spark.read.parquet(f"{folder}/doc_context.parquet"))
+    assert {x for _, x in sample} == set(codes) and len(sample) == 3 * len(codes)
+
+
+def test_letter_pairs_of_all_pages(spark):
+    texts = ["The cat sat.\nOn a mat", "été à l’eau", "", None, "12 ab-cd", "日本"]
+    some = [t for t in texts if t]
+    lines = quality.Lines(some, np.zeros(0, np.uint64)).pair_counts()
+    assert (quality.letter_pairs(some) == lines).all() and lines.sum() > 10
+    assert (quality.pair_counts(spark.createDataFrame([(t,) for t in texts], "text string")) == lines).all()
+
+
 PROSE = "The council met on Monday evening and it was decided\nthat the old bridge should be closed before the winter,\nthough a few of the members were against the plan.\nNo further business was brought before the meeting.\n"
 LIST = "PRIZE LIST\n" + "\n".join(f"{i}. Barley" for i in range(1, 12))
 TABLE = "Train  dep.  arr.  class\n" + "\n".join(f" {i}  {i}.01  {i}.17  1  3½" for i in range(10, 24))
