@@ -1,12 +1,13 @@
 """Conversations rebuilt from message rows, and what is wrong with them.
 
-Rows become turns. For every reply the question turns before it are candidate parents, scored by time (turns between), mentions of the
-other speaker and shared words; the likeliest parent wins, and the links form one tree per question. Rows, lines and page frames meet
+Rows become turns. For every reply the question turns before it are candidate parents, scored by time (question turns between, and whether
+they are of the same channel), mentions of the other speaker and shared words; the likeliest parent wins, and the links form one tree per question. Rows, lines and page frames meet
 once, page by page; a page is at most a sheet's rows. Pages are chained by running sums, so no task ever holds a whole transcript's rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,10 +20,16 @@ from pyspark.sql import functions as F
 from attestant.llm.common import TESTIMONY
 from attestant.sources.tables import cut_lineage
 
-#: How many question turns back a reply may reach; a reply over one more question costs ``CROSSING``, more than mention and shared words gain together.
-REACH, CROSSING, MENTION, SHARED = 3, 2.0, 0.9, 0.9
+#: What a mention of the other speaker and shared words gain at most, and what a reply over one more question costs: either alone is
+#: no ground to pass over a question of another channel (another speaker's), both together are. A question of the same speaker closes
+#: that speaker's earlier ones, so passing over it, or over one whose speaker is not known, costs more than can be gained.
+MENTION, SHARED, CROSSING, CLOSED = 0.9, 0.9, 1.0, 2.0
+#: Question turns back that a reply may reach. One further back could not win, as the latest question costs nothing.
+REACH = math.ceil((MENTION + SHARED) / CROSSING)
 
 _LONG_WORD = re.compile(r"[^\W_]{4,}")
+# Last words of labels that name a role, not a person.
+_ROLES = frozenset("witness court reporter videographer interpreter interviewer interviewee deponent examiner judge clerk bailiff counsel speaker operator question answer plaintiff defendant defence defense unknown redacted".split())
 _SURNAME = re.compile(r"([^\W\d_]{4,})[.,]?\s*(?:[^\W\d_]\.)?\s*$")
 _TURN = pa.struct([("local", pa.int32()), ("questions", pa.int32()), ("kind", pa.string()), ("forced", pa.bool_()), ("row", pa.int32()), ("label", pa.string()), ("participant", pa.string()), ("role", pa.string()), ("name", pa.int32()), ("words", pa.list_(pa.int32())), ("text", pa.string())])
 _PAGE = pa.schema([("doc_id", pa.string()), ("page", pa.int32()), ("delivered", pa.bool_()), ("holes", pa.bool_()), ("absent", pa.bool_()), ("said", pa.bool_()), ("framed", pa.bool_()), ("runs_in", pa.string()), ("runs_out", pa.string()), ("turns", pa.list_(_TURN))])
@@ -76,6 +83,7 @@ def _page(doc: str, number: int, records: list[tuple], with_text: bool) -> tuple
         t[10].append(text)
     for t in turns:
         m = _SURNAME.search((t[5] or "").lower())
+        m = m if m and m[1] not in _ROLES else None
         t[8], t[9], t[10] = _hash(m[1]) if m else None, sorted(t[9]), " ".join(t[10]) if with_text else None
     names = _TURN.names
     return (doc, number, bool(rows), holes, absent, said, frame is not None, frame[11] if frame else None, frame[12] if frame else None, [dict(zip(names, t, strict=True)) for t in turns])
@@ -164,17 +172,24 @@ def turns(paged: DataFrame) -> DataFrame:
 def reply_links(turned: DataFrame) -> DataFrame:
     """doc_id, turn_no, kind, parent (turn_no of the likeliest question turn), score: of every turn that isn't a question and has one before it.
 
-    Of equally likely parents the latest counts.
+    Of equally likely parents the latest counts. A question turn is passed over where the reply is that to an earlier one by both signs: it
+    mentions that speaker, or is mentioned there, and has its words.
     """
-    questions = turned.filter("kind = 'question'").select("doc_id", "question_no", F.col("turn_no").alias("parent"), F.col("words").alias("asked"), F.col("name").alias("asker"))
+    questions = turned.filter("kind = 'question'").select("doc_id", "question_no", F.col("turn_no").alias("parent"), F.col("words").alias("asked"), F.col("name").alias("asker"), F.col("participant").alias("channel"))
     first = F.greatest(F.lit(1).cast("long"), F.col("question_no") - (REACH - 1))
-    replies = turned.filter("kind <> 'question' and question_no > 0").select("doc_id", "turn_no", "kind", "words", F.col("name").alias("replier"), F.explode(F.sequence(first, F.col("question_no"))).alias("question_no"), F.col("question_no").alias("latest"))
+    replies = turned.filter("kind <> 'question' and question_no > 0").select("doc_id", "turn_no", "kind", "words", F.col("name").alias("replier"), F.explode(F.sequence(first, F.col("question_no"))).alias("question_no"))
     pairs = replies.join(questions, ["doc_id", "question_no"])
     mention = F.coalesce(F.array_contains("words", F.col("asker")), F.lit(False)) | F.coalesce(F.array_contains("asked", F.col("replier")), F.lit(False))
     shared = F.size(F.array_intersect("words", "asked")) / F.greatest(F.lit(1), F.least(F.size("words"), F.size("asked")))
-    score = MENTION * mention.cast("double") + SHARED * shared - CROSSING * (F.col("latest") - F.col("question_no"))
-    scored = pairs.select("doc_id", "turn_no", "kind", F.struct(score.alias("score"), F.col("parent")).alias("best"))
-    return scored.groupBy("doc_id", "turn_no", "kind").agg(F.max("best").alias("best")).select("doc_id", "turn_no", "kind", "best.parent", "best.score")
+    gain = MENTION * mention.cast("double") + SHARED * shared
+    # of each reply the REACH candidates at most, the latest first
+    met = pairs.groupBy("doc_id", "turn_no", "kind").agg(F.reverse(F.array_sort(F.collect_list(F.struct("question_no", "channel", "parent", gain.alias("gain"))))).alias("c"))
+
+    def scored(x, i):
+        closed = F.exists(F.slice("c", F.lit(1), i), lambda y: F.coalesce(y["channel"] == x["channel"], F.lit(True)))
+        return F.struct((x["gain"] - CROSSING * i - F.when(closed, CLOSED).otherwise(0.0)).alias("score"), x["parent"].alias("parent"))
+
+    return met.select("doc_id", "turn_no", "kind", F.array_max(F.transform("c", scored)).alias("best")).select("doc_id", "turn_no", "kind", "best.parent", "best.score")
 
 
 def broken(paged: DataFrame, contexts: DataFrame) -> DataFrame:

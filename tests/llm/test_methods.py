@@ -413,6 +413,33 @@ def test_conversation_defects_and_links(spark, tmp_path):
     assert [(t["turn_no"], t["parent"]) for t in turns] == [(1, None), (2, 1), (3, None), (4, 3), (5, 3)]
 
 
+def test_interleaved_channels(spark, tmp_path):
+    def ask(k, who, label, text):
+        return row("two", 1, k, f"{label}: {text}", "question", event_kind="question_marker", pid=who, label=label)
+
+    def say(k, text):
+        return row("two", 1, k, text, "answer", event_kind="answer_marker", pid="w", label="MS. ADLER")
+
+    told = [
+        ask(0, "a", "MR. BRANDT", "When did the harbour crane fail?"), ask(1, "b", "MS. CORVIN", "Who kept the purchase ledger?"),
+        say(2, "Mr. Brandt, the harbour crane did fail in March."),  # to the question before the latest: by name and words
+        ask(4, "a", "MR. BRANDT", "Was the crane inspected?"), ask(5, "b", "MS. CORVIN", "Which pages were missing?"),
+        say(6, "The crane was inspected."),  # words alone are no ground to pass over a question
+        ask(7, "a", "MR. BRANDT", "Did you sign the crane manual?"), ask(8, "a", "MR. BRANDT", "And where were you?"),
+        say(9, "Mr. Brandt, I did sign the crane manual."),  # the same speaker's later question closed the earlier one
+    ]
+    rows, lines = transcript(*told)
+    folder = write(spark, tmp_path, canonical_rows=rows, transcript_lines=lines, doc_context=[{"doc_id": "two", "page_count": 1}])
+    from attestant.llm import conversations as C
+
+    turned = C.turns(C.pages(*(spark.read.parquet(f"{folder}/{t}.parquet") for t in ("canonical_rows", "transcript_lines", "page_frames")), with_text=True))
+    text = {r["turn_no"]: r["text"] for r in turned.collect()}
+    got = {text[r["turn_no"]][:20]: text[r["parent"]][:12] for r in C.reply_links(turned).collect()}
+    assert len(got) == 3
+    parent = {r["turn_no"]: r["parent"] for r in C.reply_links(turned).collect()}
+    assert sorted(parent.values()) == [1, 5, 8]
+
+
 def test_interview_turns(spark, tmp_path):
     rows, lines = transcript(row("iv", 1, 0, "MR. KEFUNE: What was um, new", "question", label="MR. KEFUNE", pid="p1", anchor=True, event_kind="speaker_anchor"), row("iv", 1, 1, "[00:10:05] about it?", "question"), row("iv", 1, 2, "(door slams)", "parenthetical"), row("iv", 1, 3, "Witness: Nothing.", "answer", label="Witness", anchor=True, event_kind="speaker_anchor"), row("iv", 2, 0, "THE WITNESS: At all.", "answer", label="THE WITNESS", pid="p2", anchor=True, event_kind="speaker_anchor"))
     people = [{"doc_id": "iv", "id": "p1", "observed_labels": ["MR. KEFUNE"]}, {"doc_id": "iv", "id": "p2", "observed_labels": ["Witness", "THE WITNESS"]}]
