@@ -71,6 +71,21 @@ def test_one_byte_encodings_of_other_scripts():
     assert encoding.spans("the crew�s words") == [(8, 9, "�")]
 
 
+@pytest.mark.parametrize(("text", "right", "wrong"), [("le café fermé du château", "mac_roman", "cp1252"), ("der schöne Garten über dem Fluß und Müller", "cp850", "cp1252"), ("la señora está mañana", "cp437", "latin-1"), ("le garçon répète", "cp1252", "mac_roman"), ("über schöne Gärten", "cp1252", "cp850")])
+def test_one_byte_encodings_of_latin_script(text, right, wrong):
+    garbled = "".join(encoding._bytes(wrong)[b] if b > 127 else chr(b) for b in text.encode(right))
+    found = encoding.spans(garbled)
+    assert found and all(text[a:b] == c or c == encoding.LOST for a, b, c in found)
+    # what is strange where it stands is put right
+    assert sum(c != encoding.LOST for *_, c in found) >= max(1, len(found) - 1)
+
+
+@pytest.mark.parametrize(("right", "wrong"), [("koi8-r", "cp1251"), ("cp1251", "koi8-r"), ("cp866", "cp1252"), ("iso8859-5", "latin-1")])
+def test_one_byte_encodings_of_cyrillic(right, wrong):
+    text = "Наша контора видела старого крановщика"
+    assert encoding.restore(text.encode(right).decode(wrong, "replace")).count("\ufffd") or encoding.restore(text.encode(right).decode(wrong)) == text
+
+
 def test_mixed_text_keeps_its_right_part():
     assert encoding.restore("naïve rÃ©union ’ok’") == "naïve réunion ’ok’"
 
