@@ -221,6 +221,31 @@ def source_continuity(spark, folder):
     return inventory.continuity(rows(spark, folder)).select("doc_id", "id", "source_continuity", "suspicious")
 
 
+# --- classification of the rows as delivered
+
+
+def _classified(spark, folder):
+    own = cut_lineage(rows(spark, folder))
+    people = table(spark, folder, "participants").dropDuplicates(["doc_id", "id"]).withColumn("first_seen", F.col("id"))
+    rules = preflight.marker_rules(own.select("doc_id", F.lit("transcript").alias("section"), F.col("text").alias("body")), own)
+    return classify.classified(own, people, preflight.primaries(people, rules), rules)
+
+
+def _evidence():
+    return F.array_join(F.transform("evidence.items", lambda e: F.concat(e["source"], F.lit(":"), F.round(e["weight"] * 100).cast("int").cast("string"))), " ").alias("evidence")
+
+
+def classified_lines(spark, folder):
+    """The delivered rows' lines, with the delivered participants and the marks learned from all rows."""
+    scores = [F.col(f"evidence.{k}_score").alias(f"{k}_score") for k in ("question", "answer", "objection", "statement")]
+    return _classified(spark, folder).select("doc_id", "source_row_id", "kind", "participant_id", F.col("speaker.label").alias("label"), F.col("speaker.speaker_role").alias("speaker_role"), F.coalesce("speaker.redacted", F.lit(False)).alias("redacted"), "confidence", "source_continuity", "starts_new_block", "text", _evidence(), *scores)
+
+
+def completed_turns(spark, folder):
+    """Those lines after their turns are complete."""
+    return classify.completed(cut_lineage(_classified(spark, folder))).select("doc_id", "source_row_id", "kind", "confidence", _evidence())
+
+
 # --- turns
 
 
