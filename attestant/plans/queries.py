@@ -221,13 +221,72 @@ def source_continuity(spark, folder):
     return inventory.continuity(rows(spark, folder)).select("doc_id", "id", "source_continuity", "suspicious")
 
 
+# --- pages with the sections they were delivered in
+
+
+def _sectioned(spark, folder):
+    told = table(spark, folder, "page_frames", "doc_id", "physical_page", "section").distinct()
+    return cut_lineage(rebuilt_pages(spark, folder).join(told, ["doc_id", "physical_page"], "left").withColumn("section", F.coalesce("section", F.lit("unknown"))))
+
+
+def page_lines(spark, folder):
+    """F02, F03."""
+    return inventory.source_lines(_sectioned(spark, folder)).select("doc_id", F.col("physical_page").cast("long").alias("physical_page"), F.col("line_index").cast("long").alias("line_index"), F.col("row_index").cast("long").alias("row_index"), "raw", "has_numbers", F.col("number").cast("long").alias("number"), "body")
+
+
+def page_labels(spark, folder):
+    """F05, P01."""
+    pages = _sectioned(spark, folder)
+    return inventory.page_contexts(pages, inventory.source_lines(pages)).select("doc_id", F.col("physical_page").cast("long").alias("physical_page"), "section", "transcript_page")
+
+
+def inventory_rows(spark, folder):
+    """The inventory of the pages' lines."""
+    pages = _sectioned(spark, folder)
+    lines = cut_lineage(inventory.source_lines(pages))
+    made = inventory.canonical_rows(lines, cut_lineage(inventory.page_contexts(pages, lines)))
+    return made.select("doc_id", "id", "transcript_page", F.col("line_number").cast("long").alias("line_number"), "text", "event_kind", "disposition", "source", "anchor")
+
+
+def named_subjects(spark, folder):
+    """P09."""
+    return preflight.named_subject(_sectioned(spark, folder))
+
+
+def _people(spark, folder):
+    return table(spark, folder, "participants").dropDuplicates(["doc_id", "id"]).withColumn("first_seen", F.col("id"))
+
+
+def front_names(spark, folder):
+    """P10."""
+    return preflight.front_names(_sectioned(spark, folder), _people(spark, folder))
+
+
+def front_roles(spark, folder):
+    """F23."""
+    return preflight.front_roles(_sectioned(spark, folder), _people(spark, folder))
+
+
+def _rules(own):
+    return preflight.marker_rules(own.select("doc_id", F.lit("transcript").alias("section"), F.col("text").alias("body")), own)
+
+
+def document_types(spark, folder):
+    """P22."""
+    return preflight.document_types(_sectioned(spark, folder), _rules(rows(spark, folder)), _people(spark, folder))
+
+
+def titled_style(spark, folder):
+    """P20."""
+    return preflight.titled_style(rows(spark, folder).select("doc_id", F.lit("transcript").alias("section"), F.col("text").alias("body")))
+
+
 # --- classification of the rows as delivered
 
 
 def _classified(spark, folder):
     own = cut_lineage(rows(spark, folder))
-    people = table(spark, folder, "participants").dropDuplicates(["doc_id", "id"]).withColumn("first_seen", F.col("id"))
-    rules = preflight.marker_rules(own.select("doc_id", F.lit("transcript").alias("section"), F.col("text").alias("body")), own)
+    people, rules = _people(spark, folder), _rules(own)
     return classify.classified(own, people, preflight.primaries(people, rules), rules)
 
 
