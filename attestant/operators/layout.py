@@ -42,9 +42,9 @@ def is_dark(components: Column, black: float = 0.75, colour: float = 0.35) -> Co
 
 
 def rectangle_signals(rectangles: DataFrame, most: int = 250) -> DataFrame:
-    """Filled rectangles (rect x, y, w, h; color_components; place) of at least 4 by 4, at most ``most`` a page, with is_dark and possible_redaction."""
+    """Filled rectangles (rect x, y, w, h; color_components; place) of at least 2 by 2, at most ``most`` a page, with is_dark and possible_redaction."""
     w, h = F.col("rect")[2], F.col("rect")[3]
-    kept = rectangles.filter((w >= 4) & (h >= 4)).withColumn("n", F.row_number().over(W.partitionBy(*PAGE).orderBy("place"))).filter(F.col("n") <= most).drop("n")
+    kept = rectangles.filter((w >= 2) & (h >= 2)).withColumn("n", F.row_number().over(W.partitionBy(*PAGE).orderBy("place"))).filter(F.col("n") <= most).drop("n")
     return kept.withColumn("is_dark", is_dark(F.col("color_components"))).withColumn("possible_redaction", F.col("is_dark") & w.between(18, 520) & h.between(4, 36))
 
 

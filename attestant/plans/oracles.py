@@ -135,6 +135,18 @@ v4 AS (SELECT *, CASE WHEN top = 0 THEN 'unknown' ELSE list_extract(['attorney',
 
 
 def oracle_sql() -> dict[str, str]:
+    from attestant.plans import fold_oracle, source_oracles, stage_oracles
+
+    return _whole(_single() | fold_oracle.oracle_sql() | stage_oracles.oracle_sql() | source_oracles.oracle_sql())
+
+
+def _whole(parts: dict[str, str]) -> dict[str, str]:
+    from attestant.plans import joined_oracles
+
+    return parts | joined_oracles.oracle_sql(parts)
+
+
+def _single() -> dict[str, str]:
     flags = [("redacted", has(trim("text"), M.REDACTED)), ("has_redaction", has("text", M.REDACTION)), ("pure_redaction", has(trim(f"regexp_replace({trim('text')}, '^:+|:+$', '', 'g')"), M.PURE_REDACTION)), ("objection", has(trim("text"), M.OBJECTION))]
     flags += [("opens", f"starts_with({trim('text')}, '(') OR (starts_with({trim('text')}, '[') AND NOT {flags[2][1]}) OR starts_with({trim('text')}, '---')"), ("closes", f"starts_with({trim('text')}, '---') OR ends_with({trim('text')}, ')') OR ends_with({trim('text')}, ']')")]
     flags += [("exhibit", f"{has('text', M.EXHIBIT)} AND {has('text', M.EXHIBIT_ACT)}"), ("examination", f"{upper(trim('text'))} IN {M.EXAMINATION}"), ("heading", f"{upper(trim('text'))} IN {M.HEADINGS}")]
@@ -149,9 +161,7 @@ def oracle_sql() -> dict[str, str]:
     low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     hits = " + ".join(f"CASE WHEN contains({low.replace('text', 's')}, ' {w} ') THEN 1 ELSE 0 END" for w in ("the", "and", "you", "of", "to", "that"))
     count = lambda p: f"len(regexp_extract_all(s, {q(p)}))"
-    from attestant.plans import fold_oracle, stage_oracles
-
-    return fold_oracle.oracle_sql() | stage_oracles.oracle_sql() | {
+    return {
         "numbered_lines": f"WITH {R}, x AS (SELECT doc_id, id, {trim('raw_text')} AS t FROM r), y AS (SELECT *, CASE WHEN {has('t', M.NUMBERED)} THEN try_cast(regexp_extract(t, {q(M.NUMBERED)}, 1) AS BIGINT) END AS n FROM x) SELECT doc_id, id, CASE WHEN n BETWEEN 1 AND 100 THEN n END AS number, CASE WHEN n BETWEEN 1 AND 100 THEN regexp_replace(t, {q(M.NUMBERED_BODY)}, '') ELSE t END AS body FROM y",
         "page_numbers": f"WITH {R}, x AS (SELECT doc_id, id, try_cast(nullif(regexp_extract({upper(trim('text'))}, {q(M.PAGE_MARK)}, 1), '') AS BIGINT) AS page_mark, CASE WHEN regexp_matches({trim('text')}, '^[0-9]{{1,7}}$') THEN CAST({trim('text')} AS BIGINT) END AS pure_number FROM r) SELECT * FROM x WHERE page_mark IS NOT NULL OR pure_number IS NOT NULL",
         "marker_candidates": rf"WITH {R}, x AS (SELECT doc_id, id, {marker_sql('text')} AS i, regexp_replace(regexp_replace(text, '^[\s\p{{Z}}]+', ''), {q(M.MARKER_STRIP)}, '') AS rest FROM r) SELECT doc_id, id, {case_marker('i', 0)} AS kind, {case_marker('i', 1)} AS style, {case_marker('i', 2)} AS pattern, CAST({case_marker('i', 3)} AS BIGINT) AS priority, rest FROM x WHERE i IS NOT NULL",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from attestant.functions import marks, text
@@ -281,6 +282,40 @@ def titled_style(spark, folder):
     return preflight.titled_style(rows(spark, folder).select("doc_id", F.lit("transcript").alias("section"), F.col("text").alias("body")))
 
 
+def participant_functions(spark, folder):
+    """Roles, functions and names as front matter and subject set them, by the delivered document types."""
+    people = _people(spark, folder).drop("participant_function", "function_confidence")
+    types = table(spark, folder, "doc_context", "doc_id", "document_type").dropDuplicates(["doc_id"])
+    return preflight.functions_of(people, _sectioned(spark, folder), types).select("doc_id", "id", "canonical_name", "speaker_role", F.round("role_confidence", 6).alias("role_confidence"), "participant_function", F.round("function_confidence", 6).alias("function_confidence"))
+
+
+def _prints(spark, folder):
+    own = rows(spark, folder)
+    lines = own.select("doc_id", F.lit("transcript").alias("section"), F.col("text").alias("body"))
+    return preflight.fingerprint(lines, _rules(own), _labels(spark, folder).distinct())
+
+
+def format_prints(spark, folder):
+    """P18."""
+    return _prints(spark, folder)
+
+
+def router_flags(spark, folder):
+    """Confidences of the learned format, and whether a document should be looked at by other means."""
+    pages, people, own = rebuilt_pages(spark, folder), _people(spark, folder), rows(spark, folder)
+    sure = cut_lineage(preflight.confidences(people, _rules(own), _prints(spark, folder), _labels(spark, folder).distinct()))
+    types = table(spark, folder, "doc_context", "doc_id", "document_type").dropDuplicates(["doc_id"])
+    flags = preflight.router_flags(sure, preflight.language_hint(pages), types, preflight.layout_summary(_labels(spark, folder).distinct()), preflight.redaction_summary(pages))
+    return sure.join(flags, "doc_id").select("doc_id", *[F.round(c, 6).alias(c) for c in ("participant_confidence", "marker_confidence", "page_confidence", "format_confidence")], "router_recommended")
+
+
+def page_issues(spark, folder):
+    """Q04: pages as their rows' sources and panels describe them."""
+    told = rows(spark, folder).groupBy("doc_id", "physical_page").agg(F.max(F.col("source") == "ocr").alias("ocr_performed"), F.coalesce(F.min("ocr_confidence") < 0.7, F.lit(False)).alias("requires_ocr"), F.when(F.max(F.col("source") == "fallback_text"), "lopdf_fallback").otherwise("positioned").alias("extraction_engine"), F.coalesce(F.max("panel") > 1, F.lit(False)).alias("reading_order_uncertain"), F.lit(1).alias("column_count"), F.filter(F.array(F.when(F.count("*") == 1, "one row"), F.when(F.max("row_index") >= F.count("*"), "absent rows")), lambda w: w.isNotNull()).alias("warnings"))
+    pages = rebuilt_pages(spark, folder).join(told, ["doc_id", "physical_page"])
+    return quality.page_issues(pages).select("doc_id", "code", F.col("physical_page").cast("long").alias("physical_page"))
+
+
 # --- classification of the rows as delivered
 
 
@@ -300,6 +335,25 @@ def classified_lines(spark, folder):
     return _classified(spark, folder).select("doc_id", "source_row_id", "kind", "participant_id", F.col("speaker.label").alias("label"), F.col("speaker.speaker_role").alias("speaker_role"), F.coalesce("speaker.redacted", F.lit(False)).alias("redacted"), "confidence", "source_continuity", "starts_new_block", "text", _evidence(), *scores)
 
 
+def _registered(spark, folder):
+    """The delivered participants, every third one under another role, so that roles disagree."""
+    return _people(spark, folder).withColumn("speaker_role", F.when(F.col("participant_key") % 3 == 0, "judge").otherwise(F.col("speaker_role")))
+
+
+def line_verification(spark, folder):
+    """The lines' verification against their own text and the registered roles."""
+    lines = cut_lineage(_classified(spark, folder))
+    return reconcile.verified(lines, _registered(spark, folder)).select("doc_id", "source_row_id", "verification")
+
+
+def passed_on_issues(spark, folder):
+    """Conflicts, gaps and languages that the checks pass on."""
+    lines = cut_lineage(_classified(spark, folder))
+    found = preflight.gaps(_said(spark, folder).withColumn("transcript_page", F.lit(None).cast("string")), _labels(spark, folder))
+    told = quality.passed_on(found, reconcile.issues(lines, _registered(spark, folder)), preflight.language_hint(rebuilt_pages(spark, folder)), rows(spark, folder).filter("section = 'transcript'"))
+    return told.groupBy("doc_id", "code").agg(F.count("*").alias("issues"))
+
+
 def completed_turns(spark, folder):
     """Those lines after their turns are complete."""
     return classify.completed(cut_lineage(_classified(spark, folder))).select("doc_id", "source_row_id", "kind", "confidence", _evidence())
@@ -439,6 +493,132 @@ def quality_gate(spark, folder):
     return quality.gate(table(spark, folder, "doc_context", "doc_id"), _issues(spark, folder))
 
 
+# --- sources, over files and pages made of the tables' texts and numbers
+
+
+def decoded_files(spark, folder):
+    """Texts written in six ways under five endings, decoded."""
+    from attestant.sources.text import decoded
+
+    n = F.col("doc_id") % 6
+    wide = lambda e: F.encode("text", e)
+    plain = F.encode("text", "UTF-8")
+    joined = lambda head, body: F.unhex(F.concat(F.lit(head), F.hex(body)))
+    content = F.when(n == 0, plain).when(n == 1, joined("EFBBBF", plain)).when(n == 2, joined("FFFE", wide("UTF-16LE"))).when(n == 3, joined("FEFF", wide("UTF-16BE"))).when(n == 4, F.unhex(F.concat(F.lit("FFFE41"), F.hex(wide("UTF-16LE"))))).otherwise(joined("FF20", plain))
+    ending = F.element_at(F.array(*[F.lit(e) for e in (".txt", ".TXT", ".pdf", ".doc", "")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    files = table(spark, folder, "documents").filter("text is not null").select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit("page."), F.col("doc_id").cast("string"), ending).alias("filename"), content.alias("content"))
+    utf8 = F.col("doc_id").cast("long") % 6
+    return decoded(files).select("doc_id", "kind", "error", "text", F.when(utf8.isin(0, 1, 5), F.sha2("content", 256)).alias("source_sha256"))
+
+
+def split_pages(spark, folder):
+    """Texts with form feeds, with PAGE lines, and with neither, as pages."""
+    from attestant.sources.text import pages_of
+
+    n = F.col("doc_id") % 3
+    made = F.when(n == 0, F.replace(F.col("text"), F.lit(".\n"), F.lit(".\f"))).when(n == 1, F.concat(F.lit("\n \n"), F.replace(F.col("text"), F.lit(".\n"), F.lit(".\n page  12 \n\n")))).otherwise(F.col("text"))
+    return pages_of(table(spark, folder, "documents").select("doc_id", made.alias("text"))).withColumn("physical_page", F.col("physical_page").cast("long"))
+
+
+def joined_lines(spark, folder):
+    """Pages whose printed numbers stand on lines of their own."""
+    from attestant.sources.text import joined_numbers
+
+    own = rows(spark, folder).select("doc_id", "physical_page", "row_index", F.filter(F.array(F.col("line_number").cast("string"), F.when(F.col("row_index") % 7 == 3, F.lit(" 9 ")), F.coalesce("text", F.lit("")), F.when(F.col("row_index") % 5 == 2, F.lit("13A. Yes."))), lambda x: x.isNotNull()).alias("ls"))
+    pages = own.groupBy("doc_id", "physical_page").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "ls"))), lambda x: x["ls"])).alias("ls"))
+    return pages.select("doc_id", F.col("physical_page").cast("long").alias("physical_page"), F.array_join(joined_numbers(F.col("ls")), "\n").alias("lines"))
+
+
+def dark_colours(spark, folder):
+    """Greys, RGB and CMYK colours made of the line items' rates."""
+    n, d, t = F.col("l_linenumber") % 4, F.col("l_discount").cast("double"), F.col("l_tax").cast("double")
+    colour = F.when(n == 0, F.array(d + t)).when(n == 1, F.array(d, t, d + t)).when(n == 2, F.array(d, t * 5, d * 4, 0.6 + 2 * d)).otherwise(F.array(d, t))
+    return table(spark, folder, "lineitem").select(F.col("l_orderkey").cast("long").alias("l_orderkey"), F.col("l_linenumber").cast("long").alias("l_linenumber"), layout.is_dark(colour).alias("is_dark"))
+
+
+def rectangle_signals(spark, folder):
+    """The fragments' boxes as filled rectangles."""
+    f = _pieces(spark, folder)
+    grey = F.pmod(F.col("sequence"), F.lit(4)) * 0.05
+    boxes = f.select("doc_id", "physical_page", "fragment_id", F.array("x_pos", "y_pos", "width", F.col("height") * (F.pmod(F.col("sequence"), F.lit(3)) + 1) / 4).alias("rect"), F.array(grey).alias("color_components"), F.struct("row_index", "sequence", "fragment_id").alias("place"))
+    return layout.rectangle_signals(boxes, most=40).select("doc_id", "fragment_id", "is_dark", "possible_redaction")
+
+
+def annotation_signals(spark, folder):
+    """Annotations of eight kinds in colours made of the participants' confidences."""
+    kinds = F.array(*[F.lit(k) for k in ("Redact", "Square", "highlight", "Polygon", "Link", "text", "REDACT", "Ink")])
+    colour = F.array(F.coalesce("role_confidence", F.lit(0.0)) / 8, F.coalesce("function_confidence", F.lit(0.0)) / 8, F.lit(0.05))
+    marks_ = table(spark, folder, "participants").select("participant_key", F.element_at(kinds, (F.col("participant_key") % 8 + 1).cast("int")).alias("subtype"), colour.alias("color_components")).distinct()
+    return layout.annotation_signals(marks_).select("participant_key", "subtype", "is_explicit_redaction", "is_dark_overlay_candidate")
+
+
+def affine_points(spark, folder):
+    """The fragments' corners under two matrices, one after the other and combined."""
+    f = _pieces(spark, folder).filter("x_pos is not null and y_pos is not null and font_size is not null")
+    m, n = F.array(F.lit(2.0), F.lit(0.5), F.lit(-1.0), F.lit(1.5), F.col("font_size"), F.lit(3.0)), F.array(F.lit(0.25), F.lit(0.0), F.lit(0.5), F.lit(4.0), F.lit(-7.0), F.col("font_size"))
+    once = layout.affine(m, F.col("x_pos"), F.col("y_pos"))
+    told = f.select("doc_id", "fragment_id", layout.affine(layout.combined(m, n), F.col("x_pos"), F.col("y_pos")).alias("c"), layout.affine(n, once["x"], once["y"]).alias("s"))
+    return told.select("doc_id", "fragment_id", F.round("c.x", 4).alias("x"), F.round("c.y", 4).alias("y"), (F.abs(F.col("c.x") - F.col("s.x")) + F.abs(F.col("c.y") - F.col("s.y")) < 1e-6).alias("same"))
+
+
+def ocr_need(spark, folder):
+    """Pages as the line items' numbers describe them."""
+    q, p = F.col("l_quantity").cast("double"), F.col("l_extendedprice").cast("double")
+    need = layout.needs_ocr(q * 12, F.col("l_linenumber") % 2 == 0, q / 4, F.col("l_discount").cast("double") * 5, F.col("l_tax").cast("double") * 300, p / 100)
+    return table(spark, folder, "lineitem").select(F.col("l_orderkey").cast("long").alias("l_orderkey"), F.col("l_linenumber").cast("long").alias("l_linenumber"), need.alias("needs_ocr"))
+
+
+def box_overlaps(spark, folder):
+    """Each row's box over the fragments' boxes, and how much of each fragment lies in the box of the row before its own."""
+    f = _pieces(spark, folder).filter("x_pos is not null and y_pos is not null").withColumn("box", F.array("x_pos", "y_pos", F.col("x_pos") + F.col("width"), F.col("y_pos") + 3 * F.col("height")))
+    around = f.groupBy("doc_id", "physical_page", "row_index").agg(layout.union_boxes(F.col("box")).alias("row_box"))
+    before = around.select("doc_id", "physical_page", (F.col("row_index") + 1).alias("row_index"), F.col("row_box").alias("above"))
+    both = f.join(around, ["doc_id", "physical_page", "row_index"]).join(before, ["doc_id", "physical_page", "row_index"])
+    return both.select("doc_id", "fragment_id", F.round(layout.overlap_share(F.col("box"), F.col("above")), 6).alias("share"), F.round(F.col("row_box")[0], 4).alias("left_x"), F.round(F.col("row_box")[2], 4).alias("right_x"))
+
+
+# --- layout of the fragments' rows as delivered
+
+
+def _given_rows(spark, folder):
+    return _pieces(spark, folder).select("doc_id", "physical_page", "fragment_id", F.col("row_index").alias("row_no"), F.row_number().over(W.partitionBy("doc_id", "physical_page", "row_index").orderBy("x_pos", "sequence")).alias("place"))
+
+
+def _given_texts(spark, folder):
+    return layout.row_texts(_pieces(spark, folder), _given_rows(spark, folder))
+
+
+def given_row_texts(spark, folder):
+    """The delivered rows' texts, put together from their fragments."""
+    return _given_texts(spark, folder).select("doc_id", F.col("physical_page").cast("long").alias("physical_page"), F.col("row_no").cast("long").alias("row_no"), "text", "left_x", F.col("line_number").cast("long").alias("line_number"))
+
+
+def given_gutters(spark, folder):
+    """L14-L16."""
+    return layout.gutters(_given_texts(spark, folder)).select("doc_id", F.col("physical_page").cast("long").alias("physical_page"), "gutter_x", "likely_x", F.round("tolerant_sequence", 6).alias("tolerant_sequence"), F.col("numbered_rows").cast("long").alias("numbered_rows"))
+
+
+def inherited_gutters(spark, folder):
+    """Pages with few numbers take the gutter of their neighbours."""
+    texts = _given_texts(spark, folder)
+    firsts = texts.groupBy("doc_id", "physical_page").agg(F.min_by("left_x", "row_no").alias("first_x"), F.min_by(F.col("line_number").isNotNull(), "row_no").alias("first_is_number"))
+    g = layout.gutters(texts).select("doc_id", "physical_page", "numbered_rows", F.coalesce("gutter_x", "likely_x").alias("gutter_x"))
+    return layout.inherited_gutters(firsts.join(g, ["doc_id", "physical_page"], "left").withColumn("column_count", F.lit(1))).select("doc_id", F.col("physical_page").cast("long").alias("physical_page"), "gutter_x")
+
+
+def given_reconstruction(spark, folder):
+    """L17."""
+    return layout.reconstruction_confidence(_given_texts(spark, folder), rebuilt_pages(spark, folder)).select("doc_id", F.col("physical_page").cast("long").alias("physical_page"), F.round("reconstruction_confidence", 6).alias("reconstruction_confidence"))
+
+
+def column_splits(spark, folder):
+    """Pages of two columns and the order their rows are read in."""
+    pieces, given = _pieces(spark, folder), _given_rows(spark, folder)
+    shifted = pieces.withColumn("x_pos", F.col("x_pos") + F.when(F.col("sequence") % 2 == 1, 260.0).otherwise(0.0))  # every second fragment in a second column
+    read = layout.reading_order(layout.row_texts(shifted, given), layout.two_columns(shifted, shifted, given))
+    return read.select("doc_id", F.col("physical_page").cast("long").alias("physical_page"), F.col("row_no").cast("long").alias("row_no"), F.col("pane").cast("long").alias("pane"), F.col("reading_no").cast("long").alias("reading_no"))
+
+
 # --- layout
 
 
@@ -527,7 +707,7 @@ def parsed_gate(spark, folder):
     return t.gate.join(t.confidence, "doc_id")
 
 
-_HIDDEN = {"cut_lineage", "rows", "talk", "blocks", "rebuilt_pages", "corpus_pages", "parsed", "table"}
+_HIDDEN = {"W", "cut_lineage", "rows", "talk", "blocks", "rebuilt_pages", "corpus_pages", "parsed", "table"}
 
 
 def queries() -> dict:

@@ -10,18 +10,24 @@ from attestant.functions.marks import leading_number
 from attestant.functions.text import lines_of, trimmed
 
 PAGE_LINE = r"(?i)^PAGE [\s\p{Z}]*\+?[0-9]+$"
+BLANK = r"(?:[^\S\n]|\p{Z})*"
 #: Largest file taken, as a guard of the reader.
 MAX_BYTES = 50 * 1024 * 1024
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id (the path), filename, content, source_sha256 of each file; files over MAX_BYTES are left out by the scan."""
-    files = spark.read.format("binaryFile").load(path).filter(F.col("length") <= MAX_BYTES)
-    return files.select(F.col("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), "content", F.sha2("content", 256).alias("source_sha256"))
+    """doc_id (the path), filename, length, content, source_sha256 of each file; of a file over MAX_BYTES the content is not read, and null.
+
+    Content is taken in a scan of its own, whose filter on the length spares reading what is too large.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    named = lambda df: df.select(F.col("path").alias("doc_id"), F.element_at(F.split("path", "/"), -1).alias("filename"), "length", "content", F.sha2("content", 256).alias("source_sha256"))
+    large = files.filter(F.col("length") > MAX_BYTES).select("path", "length").withColumn("content", F.lit(None).cast("binary"))
+    return named(files.filter(F.col("length") <= MAX_BYTES)).unionByName(named(large))
 
 
 def decoded(files: DataFrame) -> DataFrame:
-    """Adds kind, text and error. UTF-16 by its byte order mark, else UTF-8, checked; an odd or invalid file has an error and no text."""
+    """Adds kind, text and error. UTF-16 by its byte order mark, else UTF-8, checked; an odd, invalid or too large file (null content) has an error and no text."""
     head2, head3 = F.hex(F.substring("content", 1, 2)), F.hex(F.substring("content", 1, 3))
     odd = F.octet_length("content") % 2 == 1
     utf16 = head2.isin("FFFE", "FEFF")
@@ -30,25 +36,19 @@ def decoded(files: DataFrame) -> DataFrame:
     ending = F.lower(F.regexp_extract("filename", r"\.([^.]*)$", 1))
     kind = F.when(ending == "txt", "text").when(ending == "pdf", "pdf")
     is_pdf = F.hex(F.substring("content", 1, 5)) == "255044462D"
-    error = F.when(kind.isNull(), "unsupported_file_type").when((kind == "text") & text.isNull(), "invalid_encoding").when((kind == "pdf") & ~is_pdf, "not_a_pdf")
+    error = F.when(F.col("content").isNull(), "file_too_large").when(kind.isNull(), "unsupported_file_type").when((kind == "text") & text.isNull(), "invalid_encoding").when((kind == "pdf") & ~is_pdf, "not_a_pdf")
     return files.withColumn("kind", kind).withColumn("error", error).withColumn("text", F.when((kind == "text") & error.isNull(), text))
 
 
 def joined_numbers(lines: Column) -> Column:
-    """A line that is only a number 1..50 joins the line after it, which then joins nothing; 12Q. becomes 12 Q."""
-    spaced = F.transform(lines, lambda x: F.regexp_replace(x, r"^([0-9]{1,2})([QA][.:])", "$1 $2"))
-    lone = lambda x: trimmed(x).rlike(r"^(?:[1-9]|[1-4][0-9]|50)$")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("held"))
+    """A line that is only a number 1..50 joins the line after it, which then joins nothing; 12Q. becomes 12 Q.
 
-    def step(acc: Column, x: Column) -> Column:
-        joined = F.concat(trimmed(acc["held"]), F.lit(" "), trimmed(x))
-        return (
-            F.when(acc["held"].isNotNull(), F.struct(F.array_append(acc["done"], joined).alias("done"), F.lit(None).cast("string").alias("held")))
-            .when(lone(x), F.struct(acc["done"].alias("done"), x.alias("held")))
-            .otherwise(F.struct(F.array_append(acc["done"], x).alias("done"), F.lit(None).cast("string").alias("held")))
-        )
-
-    return F.aggregate(spaced, start, step, lambda acc: F.when(acc["held"].isNotNull(), F.array_append(acc["done"], acc["held"])).otherwise(acc["done"]))
+    One pass of replacements from the left over the lines as one text, so the work grows with the text only.
+    """
+    spaced = F.transform(lines, lambda x: F.regexp_replace(x, r"^([0-9]{1,2})([QA][.:])", "$1 $2"))
+    blank = r"(?:[^\S\n]|\p{Z})*"
+    joined = F.regexp_replace(F.array_join(spaced, "\n"), rf"(?md)^{blank}([1-9]|[1-4][0-9]|50){blank}\n{blank}([^\n]*?){blank}$", "$1 $2")
+    return F.when(F.size(lines) == 0, lines).otherwise(F.split(joined, "\n"))
 
 
 def pages_of(documents: DataFrame) -> DataFrame:
@@ -60,14 +60,16 @@ def pages_of(documents: DataFrame) -> DataFrame:
     fed = documents.filter(F.col("text").contains("\f")).select("doc_id", F.split("text", "\f").alias("parts"))
     fed = fed.withColumn("parts", F.when(trimmed(F.element_at("parts", -1)) == "", F.slice("parts", 1, F.size("parts") - 1)).otherwise(F.col("parts")))
     by_feed = fed.select("doc_id", F.posexplode("parts").alias("i", "text")).select("doc_id", (F.col("i") + 1).alias("physical_page"), "text")
-    plain = documents.filter(F.col("text").isNotNull() & ~F.col("text").contains("\f")).select("doc_id", F.posexplode(lines_of(F.col("text"))).alias("i", "line"))
-    order = W.partitionBy("doc_id").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
-    marked = plain.withColumn("mark", trimmed(F.col("line")).rlike(PAGE_LINE).cast("int")).withColumn("full", (trimmed(F.col("line")) != "").cast("int"))
-    run = marked.withColumn("n", F.sum("mark").over(order)).withColumn("seen", F.max("full").over(order)).withColumn("first_mark", F.min(F.when(F.col("mark") == 1, F.col("i"))).over(W.partitionBy("doc_id"))).withColumn("lead", F.max(F.when(F.col("mark") == 0, F.col("full"))).over(W.partitionBy("doc_id", "n")))
-    # a first run without a PAGE line is a page of its own only where something stands in it
-    kept = run.filter("seen = 1").withColumn("intro", F.max(F.when(F.col("n") == 0, F.col("full"))).over(W.partitionBy("doc_id")))
-    numbered = kept.withColumn("physical_page", F.when(F.coalesce("intro", F.lit(0)) == 1, F.col("n") + 1).otherwise(F.greatest(F.col("n"), F.lit(1)))).filter("not (n = 0 and coalesce(intro, 0) = 0)")
-    by_mark = numbered.groupBy("doc_id", F.col("physical_page").cast("int").alias("physical_page")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    # a page's text is cut out of the document's: where the PAGE lines stand is told by the parts between them, so no line is a row of its own
+    plain = documents.filter(F.col("text").isNotNull() & ~F.col("text").contains("\f")).select("doc_id", F.array_join(lines_of(F.col("text")), "\n").alias("t"), (F.size(lines_of(F.col("text"))) > 0).alias("any"))
+    cut = F.regexp_replace("t", rf"(?imd)(^{BLANK}PAGE [\s\p{{Z}}&&[^\n]]*\+?[0-9]+{BLANK}$)", "\f$1")
+    pieces = F.split(cut, "\f")
+    inner = F.transform(pieces, lambda x, i: F.when(i < F.size(pieces) - 1, F.regexp_replace(x, r"\n\z", "")).otherwise(x))
+    parts = F.transform(inner, lambda x, i: F.when(i == 0, F.regexp_replace(x, rf"\A(?:{BLANK}\n)+", "")).otherwise(x))
+    whole = plain.select("doc_id", "any", F.split(cut, "\f")[0].alias("lead"), parts.alias("parts"))
+    # what stands before the first PAGE line is a page only where it is not blank
+    kept = F.filter("parts", lambda x, i: (i > 0) | (trimmed(F.col("lead")) != ""))
+    by_mark = whole.filter("any").select("doc_id", F.posexplode(kept).alias("i", "text")).select("doc_id", (F.col("i") + 1).cast("int").alias("physical_page"), "text")
     return by_feed.unionByName(by_mark)
 
 
