@@ -1,8 +1,9 @@
 """Personal information in free text: found by anchor expansion, replaced by typed placeholders.
 
-An Aho-Corasick automaton runs once over the joined texts of an Arrow batch and finds anchors: at-signs, spoken "dot", digits, number
-words, street words, honorifics, label marks and given names. Only texts with an anchor are looked at again, by the deterministic parsers
-of the anchor's kind, which expand the span to both sides and check its boundaries.
+An Aho-Corasick automaton runs once over the joined texts of an Arrow batch and finds anchors with their places: at-signs, spoken "dot",
+digits, number words, titles, label marks and given names. From each anchor a deterministic parser of its kind expands the span to both
+sides, within the words the kind can reach, and checks its boundaries, and of account numbers the check digits. What no anchor lies in is
+never parsed.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ HONORIFICS = "mr mrs ms miss dr prof sir judge hon messrs herr frau m mme mlle s
 
 UP = "A-ZÀ-ÖØ-ÞŁŚŠŽĆČĐ"
 WORD = rf"[{UP}][^\W\d_]*(?:['’\-][^\W\d_]+)*"
-EMAIL = re.compile(r"[\w.+\-]+ ?@ ?[\w\-]+(?: ?\. ?[\w\-]{2,})+|[\w.+\-]+ at [\w\-]+(?: (?:dot|punto|point|punkt) [\w\-]+)+|[\w.+\-]+ ?[(\[](?:at|AT)[)\]] ?[\w\-]+(?:\.[\w\-]{2,})+")
+EMAIL = re.compile(r"[\w.+\-]+ ?@ ?[\w\-]+(?:(?:\.[\w\-])*(?: ?\. ?[\w\-]{2,}))+|[\w.+\-]+ at [\w\-]+(?: (?:dot|punto|point|punkt) [\w\-]+)+|[\w.+\-]+ ?[(\[](?:at|AT)[)\]] ?[\w\-]+(?:\.[\w\-]{2,})+")
 _D = "(?:" + "|".join(DIGIT_WORDS) + ")"
 SPOKEN = re.compile(rf"(?i)\b{_D}(?:[ ,\-]+{_D}){{5,}}\b")
 PHONE = re.compile(
@@ -101,83 +102,160 @@ def is_person_label(label: str) -> bool:
     return any(len(w) > 2 for w in words)
 
 
+# Kinds of anchors, as bits, and the words a span of a kind may reach to the left and right of its anchor.
+AT, SAID, DIGIT, TITLE, GIVEN, LABELLED = 1, 2, 4, 8, 16, 32
+REACH = {AT: (6, 6), SAID: (8, 8), DIGIT: (12, 9), TITLE: (1, 5), GIVEN: (3, 4)}
+Anchor = tuple[int, int, int]
+
+
+def luhn(digits: str) -> bool:
+    """Whether a card number's check digit is right."""
+    return sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(digits))) % 10 == 0
+
+
+def mod97(account: str) -> bool:
+    """Whether an international account number's check digits are right."""
+    return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
+
+
+# Account numbers, which only their check digits tell from other long numbers.
+CARD = re.compile(r"(?<![\w\-./@+])\d(?:[ \-]?\d){12,18}(?![\w\-@])")
+IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?(?!\w)")
+
+
+def _is_account(m: re.Match) -> bool:
+    text = re.sub(r"[ \-]", "", m.group())
+    return luhn(text) and len(set(text)) > 1 if m.re is CARD else mod97(text)
+
+
+def windows(text: str, anchors: list[Anchor], kind: int) -> list[tuple[int, int, list[int]]]:
+    """Stretches of text that spans of a kind can lie in: around each of its anchors as many words as the kind reaches; overlapping ones are one."""
+    left, right = REACH[kind]
+    out: list[tuple[int, int, list[int]]] = []
+    for a, b, bits in anchors:
+        if not bits & kind:
+            continue
+        if out and b <= out[-1][1] and a - out[-1][2][-1] <= 2:
+            out[-1][2].append(a)  # within a run of anchors only its ends are expanded
+            lo = out[-1][0]
+        else:
+            lo = a
+            for _ in range(left):
+                lo = text.rfind(" ", 0, max(0, lo))
+                if lo < 0:
+                    break
+            lo += 1
+        hi = b
+        for _ in range(right):
+            hi = text.find(" ", hi + 1)
+            if hi < 0:
+                hi = len(text)
+                break
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]), out[-1][2] if out[-1][2][-1] == a else [*out[-1][2], a])
+        else:
+            out.append((lo, hi, [a]))
+    return out
+
+
+def _holds(at: list[int], start: int, end: int) -> bool:
+    """Whether an anchor lies in a span."""
+    k = bisect.bisect_left(at, start)
+    return k < len(at) and at[k] < end or any(start - 12 < x < end for x in at[max(0, k - 2) : k])
+
+
+def _any_bits(anchors: list[Anchor]) -> int:
+    bits = 0
+    for *_, b in anchors:
+        bits |= b
+    return bits
+
+
 class Finder:
     """Finds the spans of personal information in texts. ``given``: given names in lower case."""
 
     def __init__(self, given: list[str]):
         self.given = frozenset(given)
-        auto = ahocorasick.Automaton()
-        add = lambda word, kind: auto.add_word(word, kind)
+        words: dict[str, int] = {}
+        add = lambda word, kind: words.update({word: words.get(word, 0) | kind})
         for g in self.given:
-            add(g, 16)
+            add(g, GIVEN)
         for h in TITLES:
             for end in (" ", ". "):
-                add(h + end, 8)
+                add(h + end, TITLE)
         for w in ("@", " dot ", " punto ", " point ", " punkt ", "(at)", "[at]"):
-            add(w, 1)
+            add(w, AT)
         for w in DIGIT_WORDS:  # a number is spoken in six or more, so one of them has another after it
             for end in " ,-":
-                add(w + end, 2)
+                add(w + end, SAID)
         for d in "0123456789":
-            add(d, 4)
+            add(d, DIGIT)
         for m in (":", " - ", " – ", " — "):
-            add(m, 32)
-        auto.make_automaton()
-        self.auto = auto
-
-    def anchors(self, texts: list[str]) -> dict[int, int]:
-        """The kinds of anchors, as bits, of each text that has any."""
+            add(m, LABELLED)
+        self.auto = ahocorasick.Automaton()
+        for w, bits in words.items():
+            self.auto.add_word(w, (len(w), bits))
+        self.auto.make_automaton()
+
+    def anchors(self, texts: list[str]) -> dict[int, list[Anchor]]:
+        """The anchors (start, end, kinds) of each text that has any, in order."""
         starts, at = [], 0
         for t in texts:
             starts.append(at)
             at += len(t) + 1
-        found: dict[int, int] = {}
-        where, k, last = bisect.bisect_right, -1, -1
-        for end, bits in self.auto.iter("\n".join(texts).lower() if all(len(t) == len(t.lower()) for t in texts) else "\n".join(t if len(t) != len(t.lower()) else t.lower() for t in texts)):
+        found: dict[int, list[Anchor]] = {}
+        where, k, first, last = bisect.bisect_right, -1, 0, -1
+        # small letters of the same length keep the places
+        for end, (n, bits) in self.auto.iter("\n".join(texts).lower() if all(len(t) == len(t.lower()) for t in texts) else "\n".join(t if len(t) != len(t.lower()) else t.lower() for t in texts)):
             if end >= last:
                 k = where(starts, end) - 1
-                last = starts[k + 1] if k + 1 < len(starts) else at
-            found[k] = found.get(k, 0) | bits
+                first, last = starts[k], starts[k + 1] if k + 1 < len(starts) else at
+            found.setdefault(k, []).append((end + 1 - n - first, end + 1 - first, bits))
+        for own in found.values():
+            own.sort()
         return found
 
-    def spans(self, text: str, bits: int = 63) -> list[tuple[int, int, str]]:
+    def spans(self, text: str, anchors: list[Anchor], kinds: int = 63) -> list[tuple[int, int, str]]:
         """Spans (start, end, kind), in order, of one text whose anchors are known."""
         out: list[tuple[int, int, str]] = []
         work = text
+        bits = kinds & _any_bits(anchors)
 
-        def take(m: re.Match, kind: str, group: int = 0) -> None:
+        def take(a: int, b: int, kind: str) -> None:
             nonlocal work
-            a, b = m.span(group)
             out.append((a, b, kind))
             work = work[:a] + "\x00" * (b - a) + work[b:]
 
-        if bits & 1:
-            for m in EMAIL.finditer(work):
-                take(m, "email")
-        if bits & 2:
-            for m in SPOKEN.finditer(work):
-                take(m, "phone")
-        if bits & 4:
-            numbers = _NUMERIC.sub(lambda m: m.group().translate(_READ_AS_DIGIT), work)
-            for pattern, kind in ((ADDRESS, "address"), (ID, "id_number"), (PHONE, "phone")):
-                for m in pattern.finditer(numbers):
-                    if kind == "address" or not NEAR_OTHER.search(numbers[: m.start()]):
-                        out.append((*m.span(), kind))
+        for pattern, bit, kind in ((EMAIL, AT, "email"), (SPOKEN, SAID, "phone")):
+            if bits & bit:
+                for lo, hi, at in windows(text, anchors, bit):
+                    for m in pattern.finditer(work, lo, hi):
+                        if _holds(at, m.start(), m.end()):
+                            take(*m.span(), kind)
+        if bits & DIGIT:
+            for lo, hi, at in windows(text, anchors, DIGIT):
+                numbers = _NUMERIC.sub(lambda m: m.group().translate(_READ_AS_DIGIT), work[lo:hi])
+                for pattern, kind in ((ADDRESS, "address"), (IBAN, "id_number"), (CARD, "id_number"), (ID, "id_number"), (PHONE, "phone")):
+                    for m in pattern.finditer(numbers):
                         a, b = m.span()
-                        numbers = numbers[:a] + "\x00" * (b - a) + numbers[b:]
-                        work = work[:a] + "\x00" * (b - a) + work[b:]
+                        if not _holds(at, lo + a, lo + b) or pattern in (CARD, IBAN) and not _is_account(m):
+                            continue
+                        if kind == "address" or not NEAR_OTHER.search(numbers[:a]):
+                            take(lo + a, lo + b, kind)
+                            numbers = numbers[:a] + "\x00" * (b - a) + numbers[b:]
         label_end = 0
-        if bits & 32 and (m := LABEL.match(work)) and is_person_label(m.group(1)) and self._label_like(m.group(1), text[m.end(1) :].strip()):
-            take(m, "name", 1)
+        if bits & LABELLED and (m := LABEL.match(work)) and is_person_label(m.group(1)) and self._label_like(m.group(1), text[m.end(1) : m.end(1) + 200].strip()):
+            take(*m.span(1), "name")
             label_end = m.end()
-        if bits & 8:
-            for m in TITLED.finditer(work):
-                if m.start() >= label_end and m.group(1).lower() not in ORG_END:
-                    take(m, "name")
-        if bits & 16:
-            for m in self._named(work):
-                out.append((m[0], m[1], "name"))
-        return sorted(out)
+        if bits & TITLE:
+            for lo, hi, _ in windows(text, anchors, TITLE):
+                for m in TITLED.finditer(work, lo, hi):
+                    if m.start() >= label_end and m.group(1).lower() not in ORG_END:
+                        take(*m.span(), "name")
+        if bits & GIVEN:
+            for lo, hi, _ in windows(text, anchors, GIVEN):
+                out += [(lo + a, lo + b, "name") for a, b in self._named(work[lo:hi])]
+        return sorted(set(out))
 
     def _label_like(self, label: str, rest: str) -> bool:
         """Whether what stands before a colon or dash is written like a label; before a dash, which headings and asides have as well, only names of few words are."""
@@ -269,8 +347,8 @@ def find_in_rows(rows: DataFrame, given: list[str]) -> DataFrame:
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in b.column(2).to_pylist()]
             keep, spans, redacted = [], [], []
-            for k, bits in finder.anchors(texts).items():
-                found = finder.spans(texts[k], bits)
+            for k, own in finder.anchors(texts).items():
+                found = finder.spans(texts[k], own)
                 if found:
                     keep.append(k)
                     spans.append([{"first": a, "after": z, "pii_type": kind} for a, z, kind in found])
@@ -305,9 +383,10 @@ def find_in_names(names: DataFrame) -> DataFrame:
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
             texts = [t or "" for t in b.column(2).to_pylist()]
             keep, spans, redacted = [], [], []
+            anchors = finder.anchors(texts)
             for k, t in enumerate(texts):
-                found = [s for s in finder.spans(t, 7 if any(c.isdigit() or c == "@" for c in t) or " " in t else 0) if s[2] != "name"]
-                if name_in_field(t):
+                found = finder.spans(t, anchors.get(k, []), AT | SAID | DIGIT)
+                if name_in_field(t):  # the field itself is the cue of a name
                     m = re.match(r".*?(?=\s*(?:<|\(|,? tel\.? | of \d|$))", t)
                     if m and m.group().strip():
                         found = sorted([(0, m.end(), "name"), *[s for s in found if s[0] >= m.end()]])

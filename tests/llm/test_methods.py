@@ -13,7 +13,7 @@ FINDER = pii.Finder(["kestrel", "milica", "bill"])
 
 
 def kinds(text):
-    return {k for _, _, k in FINDER.spans(text, FINDER.anchors([text]).get(0, 0))}
+    return {k for _, _, k in FINDER.spans(text, FINDER.anchors([text]).get(0, []))}
 
 
 @pytest.mark.parametrize(
@@ -36,6 +36,21 @@ def test_every_number_word_is_an_anchor(text):
     assert kinds(text) == {"phone"}
 
 
+@pytest.mark.parametrize(("text", "want"), [("My card is 4111 1111 1111 1111.", {"id_number"}), ("My card is 4111 1111 1111 1112.", set()), ("Pay to GB82 WEST 1234 5698 7654 32 by noon.", {"id_number"}), ("Pay to GB83 WEST 1234 5698 7654 32 by noon.", set()), ("Write to a.b@x.y.example, please.", {"email"})])
+def test_accounts_by_their_check_digits(text, want):
+    assert kinds(text) == want
+
+
+def test_spans_are_expanded_from_anchors_in_long_texts():
+    word = "the clerk wrote it all down and nobody read it "
+    pieces = {"email": "a.b@c.example", "phone": "(555) 555-0109", "address": "9282 Tollhouse Row"}
+    text = (word * 400).join(["", *(f"{v} " for v in pieces.values()), ""])
+    found = FINDER.spans(text, FINDER.anchors([text])[0])
+    assert [(text[a:b], k) for a, b, k in found] == [(v, k) for k, v in pieces.items()]
+    own = FINDER.anchors([text])[0]
+    assert all(hi - lo < 400 for lo, hi, _ in pii.windows(text, own, pii.DIGIT)) and pii.windows(text, own, pii.TITLE) == []
+
+
 @pytest.mark.parametrize("title", pii.TITLES)
 def test_every_title_is_an_anchor(title):
     assert kinds(f"I told {title.capitalize()}. Varga so.") == kinds(f"I told {title.capitalize()} Varga so.") == {"name"}
