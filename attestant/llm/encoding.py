@@ -128,9 +128,9 @@ def _hits(text: str) -> tuple[list[tuple[int, int, str, bool]], dict[int, dict[t
 _LONE = re.compile(r"[\x80-\x9f]")
 # A lone lead byte whose continuation was a space or a control character that has been dropped.
 _HALF = re.compile(r"[ÃÂĂ](?=[\s.,;:?!]|$)|(?<=[a-zà-ÿ])[ÃÂĂ√├┬](?=[a-z ]|$)|â(?=[A-Z€™œ])")
-# Signs that may follow a word rightly, and break signs of scans.
+# Signs that may follow a word rightly, and break signs and ligatures of scans.
 _AFTER_WORD = "’‘”“»«›‹…–—®™©ªº°²³¹´§†‡•·‰€¢£¥\xa0\xad¬"
-_BREAKS = "\xad¬"
+_BREAKS = "\xad¬ﬀﬁﬂﬃﬄ"
 
 
 def _strange(text: str, k: int) -> bool:

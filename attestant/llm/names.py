@@ -3,7 +3,7 @@
 Spellings are parsed into given names, initials and a main name. The main names of a matter are compared where their MinHash signatures
 over padded q-grams collide in a band; the number of bands follows from the collision curve and the recall wanted. One edit or exchange in
 a short name leaves fewer q-grams than that, so names also collide where they are alike but for a letter or have the same letters. Colliding spellings
-that lie within few edits form the edges of a graph that star clustering covers: the commonest spelling of a neighbourhood is the centre.
+that Monge-Elkan similarity finds the same form the edges of a graph that star clustering covers: the commonest spelling of a neighbourhood is the centre.
 Within a star, the different ways to write the whole name are verified by Monge-Elkan similarity and clustered in stars again.
 """
 
@@ -251,9 +251,21 @@ def parsed(participants: DataFrame, given: list[str]) -> DataFrame:
     return per_batch(once, make, _PARSED)
 
 
+def same_spelling(a: str, b: str) -> bool:
+    """Whether two spellings are one main name: Monge-Elkan similarity of their words, one edit or exchange apart at most. Short names must be equal but for one edit."""
+    x, y = tuple(a.split()), tuple(b.split())
+    longest, shortest = max(len(a), len(b)), min(len(a), len(b))
+    if shortest < 4 or sorted(a) == sorted(b) and shortest < 5:
+        return False
+    return min(monge_elkan(x, y), monge_elkan(y, x)) > 1 - 1.5 / longest
+
+
 def spelling_pairs(spellings: DataFrame) -> DataFrame:
-    """Pairs (matter_id, kind, a, b), both ways, of spellings whose bands or edit keys collide and that lie within few edits of each other."""
+    """Pairs (matter_id, kind, a, b), both ways, of spellings whose bands or edit keys collide and whose Monge-Elkan similarity says that they are one name."""
     n = bands()
+    spark = spellings.sparkSession
+    # a written table of spellings is one small file: its signatures are worked out by all tasks, each spelling always by the same one
+    spread = spellings.select("matter_id", "kind", "main").repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "matter_id", "main")
 
     def make():
         def step(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -262,15 +274,20 @@ def spelling_pairs(spellings: DataFrame) -> DataFrame:
 
         return step
 
-    signed = per_batch(spellings.select("matter_id", "kind", "main"), make, "matter_id string, kind string, main string, bands array<long>")
+    signed = per_batch(spread, make, "matter_id string, kind string, main string, bands array<long>")
     keyed = signed.select("matter_id", "kind", "main", F.posexplode("bands").alias("band", "hash")).withColumn("band", F.least("band", F.lit(n)))
     left, right = keyed.withColumnRenamed("main", "a"), keyed.withColumnRenamed("main", "b")
-    edits = F.levenshtein("a", "b")
-    longest, shortest = F.greatest(F.length("a"), F.length("b")), F.least(F.length("a"), F.length("b"))
-    letters = lambda c: F.array_sort(F.split(c, ""))
-    # one edit, or two letters exchanged: two edits also part different names
-    near = (edits <= 1) & (shortest >= 4) | (edits == 2) & (shortest >= 5) & (letters("a") == letters("b"))
-    pairs = left.join(right, ["matter_id", "kind", "band", "hash"]).filter((F.col("a") < F.col("b")) & (longest - shortest <= 2)).filter(near).select("matter_id", "kind", "a", "b").distinct()
+    # lengths two apart are more than one edit apart
+    met = left.join(right, ["matter_id", "kind", "band", "hash"]).filter((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1)).select("matter_id", "kind", "a", "b").distinct()
+
+    def check():
+        def step(b: pa.RecordBatch) -> pa.RecordBatch | None:
+            keep = pa.array([same_spelling(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)], pa.bool_())
+            return b.filter(keep)
+
+        return step
+
+    pairs = cut_lineage(per_batch(met, check, "matter_id string, kind string, a string, b string"))
     return pairs.unionByName(pairs.select("matter_id", "kind", F.col("b").alias("a"), F.col("a").alias("b")))
 
 
