@@ -328,5 +328,3 @@ def bare_marks_allowed(rows: DataFrame, fragments: DataFrame) -> DataFrame:
     wide = ~trimmed(F.col("text")).isin("Q", "A") | F.col("next_x").isNull() | (F.col("next_x") - (F.col("x_pos") + F.col("width")) > 0.65 * F.coalesce("font_size", F.lit(10.0)))
     return rows.join(firsts.select("doc_id", "physical_page", "row_index", F.coalesce(wide, F.lit(True)).alias("allow_bare")), ["doc_id", "physical_page", "row_index"], "left").withColumn("allow_bare", F.coalesce("allow_bare", F.lit(True)))
 
-
-__all__ = ["MARKER_STRIP", "bare_marks_allowed", "classified", "completed", "label_id", "signals"]

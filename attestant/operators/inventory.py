@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,6 +15,10 @@ from attestant.operators.scan import running
 from attestant.operators.sections import FAMILY, REFERENCE
 
 
+#: Sections whose printed numbers go on from page to page.
+KEEPS = (*FAMILY, "unknown")
+
+
 def source_lines(pages: DataFrame, most: int = MAX_LINE) -> DataFrame:
     """every line of a page: doc_id, physical_page, section, kind, line_index, row_index (null for blank lines), raw, number, body.
 
@@ -30,8 +37,8 @@ def source_lines(pages: DataFrame, most: int = MAX_LINE) -> DataFrame:
 def page_contexts(pages: DataFrame, lines: DataFrame) -> DataFrame:
     """doc_id, physical_page, section, transcript_page: the printed label of each page.
 
-    Candidates of a page are scored without the page before it; what hangs on that page's number is resolved by an ordered fold over the
-    document's labelled pages, an array that holds one entry for each page.
+    Candidates of a page are scored without the page before it; what hangs on that page's number is resolved by a pass over the document's
+    pages, which come sorted, one row each; it holds only the number before.
     """
     rows = lines.filter("row_index < 10")
     mark, number = page_mark(F.col("body")), pure_number(F.col("body"))
@@ -43,19 +50,29 @@ def page_contexts(pages: DataFrame, lines: DataFrame) -> DataFrame:
         + F.when(early, 10).otherwise(0)
     )
     found = rows.filter(mark.isNotNull() | number.isNotNull()).select("doc_id", "physical_page", F.struct("row_index", mark.alias("mark"), F.coalesce(mark, number).alias("number"), base.alias("score"), early.alias("early")).alias("c"))
-    per_page = pages.select("doc_id", "physical_page", "section").join(found.groupBy("doc_id", "physical_page").agg(F.array_sort(F.collect_list("c")).alias("cs")), ["doc_id", "physical_page"], "left")
-    whole = per_page.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("physical_page", "section", F.coalesce("cs", F.array().cast("array<struct<row_index:int,mark:int,number:int,score:int,early:boolean>>")).alias("cs")))).alias("ps"))
-    start = F.struct(F.lit(None).cast("int").alias("previous"), F.array().cast("array<struct<physical_page:int,section:string,transcript_page:string>>").alias("done"))
-
-    def step(acc: Column, p: Column) -> Column:
-        scored = F.transform(p["cs"], lambda c: F.struct(F.when(c["mark"].isNotNull(), F.lit(1000)).otherwise(c["score"] + F.when(c["early"] & (c["number"] == acc["previous"] + 1), 80).otherwise(0)).alias("s"), (-c["row_index"]).alias("r"), c["number"].alias("n")))
-        best = F.array_max(scored)
-        label = F.when(~p["section"].isin(*REFERENCE) & (best["s"] >= 80), best["n"])
-        keeps = p["section"].isin(*FAMILY, "unknown") & label.isNotNull()
-        entry = F.struct(p["physical_page"].alias("physical_page"), p["section"].alias("section"), label.cast("string").alias("transcript_page"))
-        return F.struct(F.when(keeps, label).otherwise(acc["previous"]).alias("previous"), F.array_append(acc["done"], entry).alias("done"))
-
-    return whole.select("doc_id", F.inline(F.aggregate("ps", start, step, lambda acc: acc["done"])))
+    cs = found.groupBy("doc_id", "physical_page").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    per_page = pages.select("doc_id", "physical_page", "section").join(cs, ["doc_id", "physical_page"], "left")
+    held = per_page.withColumn("may", ~F.coalesce(F.col("section").isin(*REFERENCE), F.lit(True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, previous = None, None
+        for b in batches:
+            out = []
+            for r in b.to_pylist():
+                if r["doc_id"] != doc:
+                    doc, previous = r["doc_id"], None
+                label = None
+                if r["may"] and r["cs"]:
+                    best = max((1000 if c["mark"] is not None else c["score"] + 80 * (c["early"] and previous is not None and c["number"] == previous + 1), -c["row_index"], c["number"]) for c in r["cs"])
+                    label = best[2] if best[0] >= 80 else None
+                if label is not None and r["section"] in KEEPS:
+                    previous = label
+                out.append((doc, r["physical_page"], r["section"], None if label is None else str(label)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], ["doc_id", "physical_page", "section", "transcript_page"])
+
+    told = held.select("doc_id", "physical_page", "section", "cs", "may").repartition("doc_id").sortWithinPartitions("doc_id", "physical_page")
+    return told.mapInArrow(run, "doc_id string, physical_page int, section string, transcript_page string")
 
 
 def is_header(body: Column, label: Column, line_index: Column) -> Column:

@@ -15,15 +15,17 @@ from attestant.sources.tables import cut_lineage, table
 TOP_MARGIN = 90.0
 
 
-def rows(spark: SparkSession, folder: str) -> DataFrame:
-    """canonical_rows, each delivered row once: that delivered last. Column by column, so that columns nobody asks for are not read."""
+def rows(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
+    """canonical_rows, each delivered row once: that delivered last; only the named columns if any are named, as one value of a row."""
     given = table(spark, folder, "canonical_rows")
-    return given.groupBy("doc_id", "id").agg(*[F.max_by(F.struct(c), "ingested_at")[c].alias(c) for c in given.columns if c not in ("doc_id", "id")])
+    wanted = [c for c in columns or given.columns if c not in ("doc_id", "id")]
+    last = given.groupBy("doc_id", "id").agg(F.max_by(F.struct(*wanted), "ingested_at").alias("r"))
+    return last.select("doc_id", "id", *[F.col("r")[c].alias(c) for c in wanted])
 
 
 def talk(spark: SparkSession, folder: str) -> DataFrame:
     """Testimony lines in the shape classification gives: kinds and speakers as delivered, a block begins at every row that isn't plain text."""
-    own = inventory.continuity(rows(spark, folder).filter("line_number is not null or event_kind <> 'page_header'"))
+    own = inventory.continuity(rows(spark, folder, "physical_page", "row_index", "transcript_page", "line_number", "event_kind", "text", "raw_text").filter("line_number is not null or event_kind <> 'page_header'"))
     lines = table(spark, folder, "transcript_lines").select("doc_id", "source_row_id", "kind", "speaker", "confidence").dropDuplicates(["doc_id", "source_row_id"])
     both = own.join(lines, (own.doc_id == lines.doc_id) & (own.id == lines.source_row_id)).drop(lines.doc_id)
     return both.select(
@@ -39,7 +41,7 @@ def blocks(spark: SparkSession, folder: str) -> DataFrame:
 
 def rebuilt_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Pages as texts, put together from their rows."""
-    own = rows(spark, folder).groupBy("doc_id", "physical_page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_index", F.coalesce("raw_text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+    own = rows(spark, folder, "physical_page", "row_index", "raw_text").groupBy("doc_id", "physical_page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row_index", F.coalesce("raw_text", F.lit("")).alias("t")))), lambda x: x["t"]), "\n").alias("text"))
     return own.join(table(spark, folder, "doc_context", "doc_id", "kind").dropDuplicates(["doc_id"]), "doc_id", "left")
 
 
@@ -57,23 +59,23 @@ def parsed(spark: SparkSession, folder: str) -> Transcripts:
 
 def numbered_lines(spark, folder):
     """F01."""
-    return rows(spark, folder).select("doc_id", "id", marks.numbered(text.trimmed(F.col("raw_text"))).alias("n")).select("doc_id", "id", F.col("n.number").cast("long").alias("number"), "n.body")
+    return rows(spark, folder, "raw_text").select("doc_id", "id", marks.numbered(text.trimmed(F.col("raw_text"))).alias("n")).select("doc_id", "id", F.col("n.number").cast("long").alias("number"), "n.body")
 
 
 def page_numbers(spark, folder):
     """F04."""
-    return rows(spark, folder).select("doc_id", "id", marks.page_mark(F.col("text")).cast("long").alias("page_mark"), marks.pure_number(F.col("text")).cast("long").alias("pure_number")).filter("page_mark is not null or pure_number is not null")
+    return rows(spark, folder, "text").select("doc_id", "id", marks.page_mark(F.col("text")).cast("long").alias("page_mark"), marks.pure_number(F.col("text")).cast("long").alias("pure_number")).filter("page_mark is not null or pure_number is not null")
 
 
 def marker_candidates(spark, folder):
     """F08."""
-    return rows(spark, folder).select("doc_id", "id", marks.marker(F.col("text")).alias("m")).filter("m is not null").select("doc_id", "id", "m.kind", "m.style", "m.pattern", F.col("m.priority").cast("long").alias("priority"), "m.rest")
+    return rows(spark, folder, "text").select("doc_id", "id", marks.marker(F.col("text")).alias("m")).filter("m is not null").select("doc_id", "id", "m.kind", "m.style", "m.pattern", F.col("m.priority").cast("long").alias("priority"), "m.rest")
 
 
 def line_flags(spark, folder):
     """F10, F17-F19."""
     c = F.col("text")
-    return rows(spark, folder).select("doc_id", "id", marks.is_redacted(c).alias("redacted"), marks.has_redaction(c).alias("has_redaction"), marks.is_redaction(c).alias("pure_redaction"), marks.is_objection(c).alias("objection"), marks.opens_parenthetical(c).alias("opens"), marks.closes_parenthetical(c).alias("closes"), marks.is_exhibit(c).alias("exhibit"), marks.is_examination(c).alias("examination"), marks.is_heading(c).alias("heading"))
+    return rows(spark, folder, "text").select("doc_id", "id", marks.is_redacted(c).alias("redacted"), marks.has_redaction(c).alias("has_redaction"), marks.is_redaction(c).alias("pure_redaction"), marks.is_objection(c).alias("objection"), marks.opens_parenthetical(c).alias("opens"), marks.closes_parenthetical(c).alias("closes"), marks.is_exhibit(c).alias("exhibit"), marks.is_examination(c).alias("examination"), marks.is_heading(c).alias("heading"))
 
 
 def label_roles(spark, folder):
@@ -84,17 +86,17 @@ def label_roles(spark, folder):
 
 def colon_labels(spark, folder):
     """F13."""
-    return rows(spark, folder).select("doc_id", "id", marks.colon_label(F.col("text")).alias("l")).filter("l is not null").select("doc_id", "id", "l.label", "l.rest")
+    return rows(spark, folder, "text").select("doc_id", "id", marks.colon_label(F.col("text")).alias("l")).filter("l is not null").select("doc_id", "id", "l.label", "l.rest")
 
 
 def titled_labels(spark, folder):
     """F14."""
-    return rows(spark, folder).select("doc_id", "id", marks.titled_label(F.col("text")).alias("l")).filter("l is not null").select("doc_id", "id", "l.label", "l.rest")
+    return rows(spark, folder, "text").select("doc_id", "id", marks.titled_label(F.col("text")).alias("l")).filter("l is not null").select("doc_id", "id", "l.label", "l.rest")
 
 
 def introductions(spark, folder):
     """F15, F16."""
-    return rows(spark, folder).select("doc_id", "id", marks.introduced(F.col("text")).alias("introduced"), marks.by_label(F.col("text")).alias("by_label")).filter("introduced is not null or by_label is not null")
+    return rows(spark, folder, "text").select("doc_id", "id", marks.introduced(F.col("text")).alias("introduced"), marks.by_label(F.col("text")).alias("by_label")).filter("introduced is not null or by_label is not null")
 
 
 def label_matches(spark, folder):
@@ -107,18 +109,18 @@ def label_matches(spark, folder):
 
 def marker_rules(spark, folder):
     """F07, P03."""
-    own = rows(spark, folder)
+    own = rows(spark, folder, "text")
     return preflight.marker_rules(own.select("doc_id", F.lit("transcript").alias("section"), F.col("text").alias("body")), own).select("doc_id", "kind", "style", "pattern", F.col("priority").cast("long").alias("priority"), "observations")
 
 
 def dominant_markers(spark, folder):
     """P19."""
-    own = rows(spark, folder)
+    own = rows(spark, folder, "text")
     return preflight.dominant_markers(preflight.marker_rules(own.select("doc_id", F.lit("transcript").alias("section"), F.col("text").alias("body")), own))
 
 
 def _said(spark, folder):
-    return rows(spark, folder).select("doc_id", "physical_page", "transcript_page", F.col("line_number").alias("number"), F.lit(False).alias("header"))
+    return rows(spark, folder, "physical_page", "transcript_page", "line_number").select("doc_id", "physical_page", "transcript_page", F.col("line_number").alias("number"), F.lit(False).alias("header"))
 
 
 def _labels(spark, folder):
@@ -192,7 +194,7 @@ def page_sections(spark, folder):
 
 def sequence_scores(spark, folder):
     """Over the printed numbers of each page of the transcripts."""
-    n = rows(spark, folder).filter("line_number is not null").groupBy("doc_id", "physical_page").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "line_number"))), lambda x: x["line_number"]).alias("n"))
+    n = rows(spark, folder, "physical_page", "row_index", "line_number").filter("line_number is not null").groupBy("doc_id", "physical_page").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "line_number"))), lambda x: x["line_number"]).alias("n"))
     return n.select("doc_id", F.col("physical_page").cast("long").alias("physical_page"), F.round(sections.share_of_successors(F.col("n")), 6).alias("sequence"), F.round(sections.share_of_successors(F.col("n"), 4), 6).alias("tolerant"))
 
 
@@ -214,12 +216,12 @@ def document_sha256(spark, folder):
 
 def repeated_furniture(spark, folder):
     """R05."""
-    return inventory.repeated_furniture(rows(spark, folder), top=TOP_MARGIN).distinct()
+    return inventory.repeated_furniture(rows(spark, folder, "physical_page", "line_number", "text", "bbox"), top=TOP_MARGIN).distinct()
 
 
 def source_continuity(spark, folder):
     """K03, K04."""
-    return inventory.continuity(rows(spark, folder)).select("doc_id", "id", "source_continuity", "suspicious")
+    return inventory.continuity(rows(spark, folder, "physical_page", "row_index", "transcript_page", "line_number")).select("doc_id", "id", "source_continuity", "suspicious")
 
 
 # --- pages with the sections they were delivered in
@@ -274,12 +276,12 @@ def _rules(own):
 
 def document_types(spark, folder):
     """P22."""
-    return preflight.document_types(_sectioned(spark, folder), _rules(rows(spark, folder)), _people(spark, folder))
+    return preflight.document_types(_sectioned(spark, folder), _rules(rows(spark, folder, "text")), _people(spark, folder))
 
 
 def titled_style(spark, folder):
     """P20."""
-    return preflight.titled_style(rows(spark, folder).select("doc_id", F.lit("transcript").alias("section"), F.col("text").alias("body")))
+    return preflight.titled_style(rows(spark, folder, "text").select("doc_id", F.lit("transcript").alias("section"), F.col("text").alias("body")))
 
 
 def participant_functions(spark, folder):
@@ -290,7 +292,7 @@ def participant_functions(spark, folder):
 
 
 def _prints(spark, folder):
-    own = rows(spark, folder)
+    own = rows(spark, folder, "text")
     lines = own.select("doc_id", F.lit("transcript").alias("section"), F.col("text").alias("body"))
     return preflight.fingerprint(lines, _rules(own), _labels(spark, folder).distinct())
 
@@ -302,7 +304,7 @@ def format_prints(spark, folder):
 
 def router_flags(spark, folder):
     """Confidences of the learned format, and whether a document should be looked at by other means."""
-    pages, people, own = rebuilt_pages(spark, folder), _people(spark, folder), rows(spark, folder)
+    pages, people, own = rebuilt_pages(spark, folder), _people(spark, folder), rows(spark, folder, "text")
     sure = cut_lineage(preflight.confidences(people, _rules(own), _prints(spark, folder), _labels(spark, folder).distinct()))
     types = table(spark, folder, "doc_context", "doc_id", "document_type").dropDuplicates(["doc_id"])
     flags = preflight.router_flags(sure, preflight.language_hint(pages), types, preflight.layout_summary(_labels(spark, folder).distinct()), preflight.redaction_summary(pages))
@@ -311,7 +313,7 @@ def router_flags(spark, folder):
 
 def page_issues(spark, folder):
     """Q04: pages as their rows' sources and panels describe them."""
-    told = rows(spark, folder).groupBy("doc_id", "physical_page").agg(F.max(F.col("source") == "ocr").alias("ocr_performed"), F.coalesce(F.min("ocr_confidence") < 0.7, F.lit(False)).alias("requires_ocr"), F.when(F.max(F.col("source") == "fallback_text"), "lopdf_fallback").otherwise("positioned").alias("extraction_engine"), F.coalesce(F.max("panel") > 1, F.lit(False)).alias("reading_order_uncertain"), F.lit(1).alias("column_count"), F.filter(F.array(F.when(F.count("*") == 1, "one row"), F.when(F.max("row_index") >= F.count("*"), "absent rows")), lambda w: w.isNotNull()).alias("warnings"))
+    told = rows(spark, folder, "physical_page", "row_index", "source", "ocr_confidence", "panel").groupBy("doc_id", "physical_page").agg(F.max(F.col("source") == "ocr").alias("ocr_performed"), F.coalesce(F.min("ocr_confidence") < 0.7, F.lit(False)).alias("requires_ocr"), F.when(F.max(F.col("source") == "fallback_text"), "lopdf_fallback").otherwise("positioned").alias("extraction_engine"), F.coalesce(F.max("panel") > 1, F.lit(False)).alias("reading_order_uncertain"), F.lit(1).alias("column_count"), F.filter(F.array(F.when(F.count("*") == 1, "one row"), F.when(F.max("row_index") >= F.count("*"), "absent rows")), lambda w: w.isNotNull()).alias("warnings"))
     pages = rebuilt_pages(spark, folder).join(told, ["doc_id", "physical_page"])
     return quality.page_issues(pages).select("doc_id", "code", F.col("physical_page").cast("long").alias("physical_page"))
 
@@ -320,7 +322,7 @@ def page_issues(spark, folder):
 
 
 def _classified(spark, folder):
-    own = cut_lineage(rows(spark, folder))
+    own = cut_lineage(rows(spark, folder, "physical_page", "row_index", "transcript_page", "line_number", "text", "raw_text", "disposition", "section"))
     people, rules = _people(spark, folder), _rules(own)
     return classify.classified(own, people, preflight.primaries(people, rules), rules)
 
@@ -350,7 +352,7 @@ def passed_on_issues(spark, folder):
     """Conflicts, gaps and languages that the checks pass on."""
     lines = cut_lineage(_classified(spark, folder))
     found = preflight.gaps(_said(spark, folder).withColumn("transcript_page", F.lit(None).cast("string")), _labels(spark, folder))
-    told = quality.passed_on(found, reconcile.issues(lines, _registered(spark, folder)), preflight.language_hint(rebuilt_pages(spark, folder)), rows(spark, folder).filter("section = 'transcript'"))
+    told = quality.passed_on(found, reconcile.issues(lines, _registered(spark, folder)), preflight.language_hint(rebuilt_pages(spark, folder)), rows(spark, folder, "physical_page", "disposition", "section").filter("section = 'transcript'"))
     return told.groupBy("doc_id", "code").agg(F.count("*").alias("issues"))
 
 
@@ -413,18 +415,18 @@ def format_regions(spark, folder):
 
 def row_regions(spark, folder):
     """O04."""
-    return ir.row_regions(rows(spark, folder), ir.page_signals(talk(spark, folder)))
+    return ir.row_regions(rows(spark, folder, "physical_page", "disposition"), ir.page_signals(talk(spark, folder)))
 
 
 def utterances(spark, folder):
     """O05."""
-    pages = rows(spark, folder).groupBy("doc_id", "physical_page").agg(F.coalesce(F.min("ocr_confidence"), F.lit(1.0)).alias("reconstruction_confidence"))
+    pages = rows(spark, folder, "physical_page", "ocr_confidence").groupBy("doc_id", "physical_page").agg(F.coalesce(F.min("ocr_confidence"), F.lit(1.0)).alias("reconstruction_confidence"))
     return ir.utterances(blocks(spark, folder), pages).select("doc_id", "utterance_id", "participant_id", "discourse_role", "verification", "speaker_confidence", "boundary_confidence", "role_confidence", F.round("source_confidence", 6).alias("source_confidence"))
 
 
 def source_spans(spark, folder):
     """O06."""
-    return ir.source_spans(blocks(spark, folder), rows(spark, folder)).select("doc_id", "block_no", F.col("span_no").cast("long").alias("span_no"), F.col("physical_page").cast("long").alias("physical_page"), F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"), F.array_join("row_ids", " ").alias("row_ids"))
+    return ir.source_spans(blocks(spark, folder), rows(spark, folder, "physical_page", "row_index", "transcript_page", "line_number")).select("doc_id", "block_no", F.col("span_no").cast("long").alias("span_no"), F.col("physical_page").cast("long").alias("physical_page"), F.col("line_start").cast("long").alias("line_start"), F.col("line_end").cast("long").alias("line_end"), F.array_join("row_ids", " ").alias("row_ids"))
 
 
 def entities(spark, folder):
@@ -434,7 +436,7 @@ def entities(spark, folder):
 
 def page_frames(spark, folder):
     """O09."""
-    own, made = rows(spark, folder), blocks(spark, folder)
+    own, made = rows(spark, folder, "physical_page", "row_index", "transcript_page", "line_number", "disposition"), blocks(spark, folder)
     spans = ir.source_spans(made, own)
     said = made.select("doc_id", "block_no", F.concat(F.lit("utterance_"), "block_id").alias("utterance_id"), "participant_id")
     f = ir.page_frames(own, spans, said, ir.row_regions(own, ir.page_signals(talk(spark, folder))))
@@ -443,7 +445,7 @@ def page_frames(spark, folder):
 
 def ir_diagnostics(spark, folder):
     """O10, O11."""
-    own, lines, made = rows(spark, folder), talk(spark, folder), blocks(spark, folder)
+    own, lines, made = rows(spark, folder, "physical_page", "row_index", "transcript_page", "line_number", "disposition", "ocr_confidence"), talk(spark, folder), blocks(spark, folder)
     said = ir.utterances(made, own.groupBy("doc_id", "physical_page").agg(F.coalesce(F.min("ocr_confidence"), F.lit(1.0)).alias("reconstruction_confidence")))
     d = ir.diagnostics(own, lines, made, said, ir.source_spans(made, own), ir.page_signals(lines))
     return d.select("doc_id", "canonical_rows", "transcript_rows", "rows_assigned", "utterances", "format_regions", "cross_page_utterances", "unresolved_speaker_rows", F.round("source_row_coverage", 6).alias("source_row_coverage"), F.round("conversation_confidence", 10).alias("conversation_confidence"))
@@ -470,16 +472,16 @@ def line_diagnostics(spark, folder):
 def row_inventory(spark, folder):
     """Q01: rows the source lists against rows delivered."""
     expected = table(spark, folder, "page_frames").groupBy("doc_id").agg(F.sum(F.size("row_ids")).alias("expected"))
-    return quality.inventory(expected, rows(spark, folder))
+    return quality.inventory(expected, rows(spark, folder, "physical_page"))
 
 
 def row_ownership(spark, folder):
     """Q02: testimony rows that aren't in exactly one block."""
-    return quality.row_ownership(rows(spark, folder), blocks(spark, folder)).filter("owners <> 1").select("doc_id", "id", "owners")
+    return quality.row_ownership(rows(spark, folder, "physical_page", "disposition"), blocks(spark, folder)).filter("owners <> 1").select("doc_id", "id", "owners")
 
 
 def _issues(spark, folder):
-    own, people, lines = rows(spark, folder), table(spark, folder, "participants"), talk(spark, folder)
+    own, people, lines = rows(spark, folder, "physical_page", "disposition", "ocr_confidence"), table(spark, folder, "participants"), talk(spark, folder)
     return quality.row_issues(own).unionByName(quality.line_issues(lines, people)).unionByName(quality.inventory_issues(row_inventory(spark, folder)))
 
 
@@ -524,7 +526,7 @@ def joined_lines(spark, folder):
     """Pages whose printed numbers stand on lines of their own."""
     from attestant.sources.text import joined_numbers
 
-    own = rows(spark, folder).select("doc_id", "physical_page", "row_index", F.filter(F.array(F.col("line_number").cast("string"), F.when(F.col("row_index") % 7 == 3, F.lit(" 9 ")), F.coalesce("text", F.lit("")), F.when(F.col("row_index") % 5 == 2, F.lit("13A. Yes."))), lambda x: x.isNotNull()).alias("ls"))
+    own = rows(spark, folder, "physical_page", "row_index", "line_number", "text").select("doc_id", "physical_page", "row_index", F.filter(F.array(F.col("line_number").cast("string"), F.when(F.col("row_index") % 7 == 3, F.lit(" 9 ")), F.coalesce("text", F.lit("")), F.when(F.col("row_index") % 5 == 2, F.lit("13A. Yes."))), lambda x: x.isNotNull()).alias("ls"))
     pages = own.groupBy("doc_id", "physical_page").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row_index", "ls"))), lambda x: x["ls"])).alias("ls"))
     return pages.select("doc_id", F.col("physical_page").cast("long").alias("physical_page"), F.array_join(joined_numbers(F.col("ls")), "\n").alias("lines"))
 
@@ -638,7 +640,7 @@ def text_widths(spark, folder):
 
 def masked_fragments(spark, folder):
     """Fragments under the boxes of rows that hold a redaction, on their page."""
-    masks = rows(spark, folder).filter("bbox is not null").filter(marks.has_redaction(F.col("text"))).select("doc_id", "physical_page", F.array(F.col("bbox")[0], -F.col("bbox")[3], F.col("bbox")[2], -F.col("bbox")[1]).alias("rect"))
+    masks = rows(spark, folder, "physical_page", "bbox", "text").filter("bbox is not null").filter(marks.has_redaction(F.col("text"))).select("doc_id", "physical_page", F.array(F.col("bbox")[0], -F.col("bbox")[3], F.col("bbox")[2], -F.col("bbox")[1]).alias("rect"))
     return layout.masked(_pieces(spark, folder), masks).filter("redaction_masked").select("doc_id", "fragment_id")
 
 

@@ -15,13 +15,15 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session; only where that is unset (tests, one machine) one of its own."""
+    """The folder all executors share: spark.checkpoint.dir of the session. Only a session of one machine may leave it unset; then a temporary one is made."""
     sc = spark.sparkContext
     folder = sc._jsc.sc().getCheckpointDir()
     if folder.isDefined():
         return folder.get()
-    own = sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="attestant-")
-    sc.setCheckpointDir(own)
+    own = sc.getConf().get("spark.checkpoint.dir")
+    if not own and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="attestant-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
