@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from attestant.plans.fold_oracle import fold
-from attestant.plans.oracles import R, has, q, trim, upper
+from attestant.plans.oracles import BLOCKS, R, TALK, has, q, trim, upper
 from attestant.plans.stage_oracles import _HIDDEN, _MARK, _NUMBERED, _TITLED, _labelled
 
 _PEOPLE = "pp AS (SELECT DISTINCT ON (doc_id, id) * FROM participants)"
@@ -47,7 +47,11 @@ def oracle_sql(parts: dict[str, str]) -> dict[str, str]:
     pure = r"(?i)^(?:\[REDACTED\]|\[NAME REDACTED\]|\[REDACTED NAME\]|\[NAME WITHHELD\]|\[SEALED\]|REDACTED|SEALED|NAME WITHHELD)$|^[█■▇Xx*_]{3,}$"
     marked = r"(?i)\[REDACTED\]|\[NAME REDACTED\]|\[REDACTED NAME\]|NAME REDACTED|NAME WITHHELD|DOJ REDACTION|\[SEALED\]|[█■▇].*[█■▇].*[█■▇]"
     red = f"(coalesce({has(trim(f'regexp_replace({trim(chr(115) + chr(97) + chr(105) + chr(100))}, ' + q('^:+|:+$') + ', ' + q('') + ', ' + q('g') + ')'), pure)}, false) OR coalesce({has('raw_text', marked)}, false))"
+    titled = f"(SELECT DISTINCT participant_key, list_extract(['Mr. ', 'DR ', 'The Witness ', 'JUDGE ', 'Captain '], participant_key % 5 + 1) || canonical_name || '. ' || coalesce(display_label, '') AS line FROM participants WHERE canonical_name IS NOT NULL)"
     return {
+        "titled_lines": f"WITH z AS (SELECT 1 AS one){_labelled(titled, 'w', 'line')} SELECT participant_key, d AS label, {trim(f'regexp_extract(t, {q(_TITLED)}, 2)')} AS rest FROM w WHERE titled",
+        "unlisted_speakers": f"WITH {TALK} SELECT DISTINCT doc_id, participant_id AS id FROM t WHERE participant_id IS NOT NULL AND NOT EXISTS (SELECT 1 FROM participants p WHERE p.doc_id = t.doc_id AND p.id = t.participant_id AND p.participant_key % 4 <> 0)",
+        "disputed_rows": f"WITH {BLOCKS}, w AS (SELECT doc_id, source_row_id AS id, sum(CASE WHEN block_no % 9 <> 0 THEN 1 ELSE 0 END + CASE WHEN block_no % 11 = 0 THEN 1 ELSE 0 END) AS o FROM n GROUP BY ALL) SELECT r.doc_id, r.id, CAST(coalesce(o, 0) AS BIGINT) AS owners FROM r LEFT JOIN w USING (doc_id, id) WHERE disposition = 'dialogue' AND coalesce(o, 0) <> 1",
         "participant_functions": functions,
         "format_prints": prints,
         "router_flags": router,

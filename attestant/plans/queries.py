@@ -94,6 +94,13 @@ def titled_labels(spark, folder):
     return rows(spark, folder, "text").select("doc_id", "id", marks.titled_label(F.col("text")).alias("l")).filter("l is not null").select("doc_id", "id", "l.label", "l.rest")
 
 
+def titled_lines(spark, folder):
+    """lines made of a title, a participant's name and its label."""
+    title = F.element_at(F.array(*[F.lit(t) for t in ("Mr. ", "DR ", "The Witness ", "JUDGE ", "Captain ")]), (F.col("participant_key") % 5 + 1).cast("int"))
+    people = table(spark, folder, "participants").filter("canonical_name is not null").select("participant_key", F.concat(title, F.col("canonical_name"), F.lit(". "), F.coalesce("display_label", F.lit(""))).alias("line")).distinct()
+    return people.select("participant_key", marks.titled_label(F.col("line")).alias("l")).filter("l is not null").select("participant_key", "l.label", "l.rest")
+
+
 def introductions(spark, folder):
     """F15, F16."""
     return rows(spark, folder, "text").select("doc_id", "id", marks.introduced(F.col("text")).alias("introduced"), marks.by_label(F.col("text")).alias("by_label")).filter("introduced is not null or by_label is not null")
@@ -459,6 +466,18 @@ def unregistered_speakers(spark, folder):
     return reconcile.unregistered(talk(spark, folder), table(spark, folder, "participants"))
 
 
+def unlisted_speakers(spark, folder):
+    """Speakers missing from a registry that lacks every fourth participant."""
+    return reconcile.unregistered(talk(spark, folder), table(spark, folder, "participants").filter("participant_key % 4 <> 0"))
+
+
+def disputed_rows(spark, folder):
+    """Q02: rows with no block or two, where some blocks are left out and some come twice."""
+    made = blocks(spark, folder)
+    some = made.filter("block_no % 9 <> 0").unionByName(made.filter("block_no % 11 = 0"))
+    return quality.row_ownership(rows(spark, folder, "physical_page", "disposition"), some).filter("owners <> 1").select("doc_id", "id", "owners")
+
+
 def line_confidence(spark, folder):
     """K14."""
     return reconcile.parse_confidence(talk(spark, folder)).select("doc_id", F.round("line_confidence", 10).alias("line_confidence"))
@@ -646,12 +665,12 @@ def masked_fragments(spark, folder):
 
 def visual_rows(spark, folder):
     """Rows by moving means."""
-    return layout.visual_rows(_pieces(spark, folder))
+    return layout.visual_rows(_pieces(spark, folder)).select("doc_id", F.col("physical_page").cast("long").alias("physical_page"), "fragment_id", F.col("row_no").cast("long").alias("row_no"), F.col("place").cast("long").alias("place"))
 
 
 def anchored_rows(spark, folder):
     """Rows by anchors."""
-    return layout.anchored_rows(_pieces(spark, folder))
+    return layout.anchored_rows(_pieces(spark, folder)).select("doc_id", F.col("physical_page").cast("long").alias("physical_page"), "fragment_id", F.col("row_no").cast("long").alias("row_no"))
 
 
 def row_texts(spark, folder):
@@ -674,7 +693,8 @@ def number_columns(spark, folder):
 
 def glyph_words(spark, folder):
     """The fragments' pieces as words."""
-    return layout.words(_pieces(spark, folder).filter("text is not null"))
+    w = layout.words(_pieces(spark, folder).filter("text is not null"))
+    return w.select("doc_id", F.col("physical_page").cast("long").alias("physical_page"), "line_no", "word_no", "text", F.round("x_pos", 4).alias("x_pos"), F.round("right", 4).alias("right_x"), F.round("y_pos", 4).alias("y_pos"))
 
 
 def reconstruction(spark, folder):

@@ -30,7 +30,22 @@ def oracle_sql() -> dict[str, str]:
     page_line = r"(?i)^PAGE [\s\p{Z}]*\+?[0-9]+$"
     lines = "CASE WHEN t = '' THEN [] WHEN ends_with(t, chr(10)) THEN string_split(left(t, length(t) - 1), chr(10)) ELSE string_split(t, chr(10)) END"
     texts = _texts()
+    seats = "row_number() OVER (PARTITION BY doc_id, physical_page ORDER BY y_pos DESC, coalesce(x_pos, 0), coalesce(sequence, 0))"
     return {
+        # groups of a page as sums and counts; each fragment goes to the nearest mean within the tolerance, the first of equally near ones
+        "visual_rows": "WITH RECURSIVE t AS (SELECT doc_id, physical_page, coalesce(greatest(0.65e0, least(3.0e0, 0.18e0 * l[len(l) // 2 + 1])), 1.5e0) AS tol FROM (SELECT doc_id, physical_page, list_sort(list(font_size) FILTER (font_size > 0.1)) AS l FROM fragments GROUP BY ALL)), "
+        f"o AS (SELECT doc_id, physical_page, fragment_id, x_pos, y_pos, sequence, tol, {seats} AS k FROM fragments JOIN t USING (doc_id, physical_page) WHERE y_pos IS NOT NULL), "
+        "s AS (SELECT DISTINCT doc_id, physical_page, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS fragment_id, CAST(NULL AS BIGINT) AS g, CAST([] AS STRUCT(s DOUBLE, c BIGINT)[]) AS gs FROM o UNION ALL "
+        "SELECT doc_id, physical_page, k, fragment_id, coalesce(g, len(gs) + 1), CASE WHEN g IS NULL THEN list_append(gs, {'s': y_pos, 'c': CAST(1 AS BIGINT)}) ELSE list_transform(gs, lambda x, i: CASE WHEN i = g THEN {'s': x.s + y_pos, 'c': x.c + 1} ELSE x END) END FROM "
+        "(SELECT *, CASE WHEN near <= tol THEN CAST(list_position(ds, near) AS BIGINT) END AS g FROM (SELECT *, list_min(ds) AS near FROM (SELECT o.*, s.gs, list_transform(s.gs, lambda x: abs(x.s / x.c - o.y_pos)) AS ds FROM s JOIN o ON o.doc_id = s.doc_id AND o.physical_page = s.physical_page AND o.k = s.k + 1)))), "
+        "e AS (SELECT doc_id, physical_page, arg_max(gs, k) AS gs FROM s GROUP BY ALL), m AS (SELECT doc_id, physical_page, generate_subscripts(gs, 1) AS g, unnest(list_transform(gs, lambda x: x.s / x.c)) AS mean FROM e), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id, physical_page ORDER BY mean DESC, g) - 1 AS row_no FROM m) "
+        "SELECT s.doc_id, CAST(s.physical_page AS BIGINT) AS physical_page, s.fragment_id, row_no, row_number() OVER (PARTITION BY s.doc_id, s.physical_page, row_no ORDER BY coalesce(o.x_pos, 0), coalesce(o.sequence, 0), s.k) - 1 AS place FROM s JOIN n ON n.doc_id = s.doc_id AND n.physical_page = s.physical_page AND n.g = s.g JOIN o ON o.doc_id = s.doc_id AND o.physical_page = s.physical_page AND o.k = s.k WHERE s.k > 0",
+        "anchored_rows": "WITH RECURSIVE t AS (SELECT doc_id, physical_page, greatest(1.0e0, least(3.5e0, 0.3e0 * median(font_size))) AS tol FROM fragments GROUP BY ALL), o AS (SELECT doc_id, physical_page, fragment_id, -(y_pos + height / 2) AS m, tol, row_number() OVER (PARTITION BY doc_id, physical_page ORDER BY -(y_pos + height / 2), x_pos, sequence, fragment_id) AS k FROM fragments JOIN t USING (doc_id, physical_page)), "
+        "s AS (SELECT DISTINCT doc_id, physical_page, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS fragment_id, CAST(NULL AS DOUBLE) AS anchor, CAST(0 AS BIGINT) AS n FROM o UNION ALL SELECT o.doc_id, o.physical_page, o.k, o.fragment_id, CASE WHEN coalesce(abs(o.m - s.anchor) <= o.tol, false) THEN s.anchor ELSE o.m END, CASE WHEN coalesce(abs(o.m - s.anchor) <= o.tol, false) THEN s.n ELSE s.n + 1 END FROM s JOIN o ON o.doc_id = s.doc_id AND o.physical_page = s.physical_page AND o.k = s.k + 1) "
+        "SELECT doc_id, CAST(physical_page AS BIGINT) AS physical_page, fragment_id, n AS row_no FROM s WHERE k > 0",
+        "glyph_words": f"WITH t AS (SELECT doc_id, physical_page, greatest(0.8e0, least(3.0e0, 0.24e0 * median(height))) AS tol FROM fragments WHERE text IS NOT NULL GROUP BY ALL), o AS (SELECT DISTINCT ON (doc_id, physical_page, text, x_pos, y_pos) f.*, tol FROM fragments f JOIN t USING (doc_id, physical_page) WHERE text IS NOT NULL), a AS (SELECT *, coalesce(lag(y_pos) OVER w - y_pos > tol, true) AS new FROM o WINDOW w AS (PARTITION BY doc_id, physical_page ORDER BY y_pos DESC, x_pos, sequence)), "
+        f"b AS (SELECT *, CAST(count_if(new) OVER (PARTITION BY doc_id, physical_page ORDER BY y_pos DESC, x_pos, sequence ROWS UNBOUNDED PRECEDING) AS BIGINT) AS line_no, {trim('text')} = '' AS blank FROM a), c AS (SELECT *, coalesce(x_pos - lag(x_pos + width) OVER w > greatest(0.7e0, 0.22e0 * coalesce(font_size, 10.0)), true) OR blank OR coalesce(lag(blank) OVER w, false) AS cut FROM b WINDOW w AS (PARTITION BY doc_id, physical_page, line_no ORDER BY x_pos, sequence)), "
+        "d AS (SELECT *, CAST(count_if(cut) OVER (PARTITION BY doc_id, physical_page, line_no ORDER BY x_pos, sequence ROWS UNBOUNDED PRECEDING) AS BIGINT) AS word_no FROM c) SELECT doc_id, CAST(physical_page AS BIGINT) AS physical_page, line_no, word_no, string_agg(text, '' ORDER BY x_pos, sequence, text) AS text, round(min(x_pos), 4) AS x_pos, round(max(x_pos + width), 4) AS right_x, round(avg(y_pos), 4) AS y_pos FROM d WHERE NOT blank GROUP BY ALL",
         "decoded_files": "WITH d AS (SELECT doc_id, text, doc_id % 6 AS n, doc_id % 5 AS e FROM documents WHERE text IS NOT NULL), x AS (SELECT *, CASE WHEN e IN (0, 1) THEN 'text' WHEN e = 2 THEN 'pdf' END AS kind, n >= 4 AS bad FROM d), y AS (SELECT *, CASE WHEN kind IS NULL THEN 'unsupported_file_type' WHEN kind = 'pdf' THEN 'not_a_pdf' WHEN bad THEN 'invalid_encoding' END AS error FROM x) "
         "SELECT CAST(doc_id AS VARCHAR) AS doc_id, kind, error, CASE WHEN error IS NULL THEN text END AS text, CASE n WHEN 0 THEN sha256(text) WHEN 1 THEN sha256(unhex('EFBBBF') || encode(text)) WHEN 5 THEN sha256(unhex('FF20') || encode(text)) ELSE NULL END AS source_sha256 FROM y",
         "split_pages": f"WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN replace(text, '.' || chr(10), '.' || chr(12)) WHEN 1 THEN chr(10) || ' ' || chr(10) || replace(text, '.' || chr(10), '.' || chr(10) || ' page  12 ' || chr(10) || chr(10)) ELSE text END AS t FROM documents WHERE text IS NOT NULL), "
