@@ -95,22 +95,126 @@ def masked(fragments: DataFrame, masks: DataFrame, margin: float = 1.5) -> DataF
     return both.withColumn("redaction_masked", F.coalesce("hidden", "redaction_masked", F.lit(False))).withColumn("text", F.when(F.col("hidden"), "[REDACTED]").otherwise(F.col("text"))).drop("hidden")
 
 
+def by_page(frame: DataFrame, columns: list[str], fold, schema: str) -> DataFrame:
+    """Maps each page's rows (of ``columns`` after the page's key) by ``fold``, which gives tuples; pages come one after another, each whole."""
+    types = [f.dataType for f in _schema_of(schema).fields]
+    arrow = [_ARROW[t.simpleString()] for t in types]
+    names = [f.name for f in _schema_of(schema).fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, out = None, [], []
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow, strict=True)], names)
+
+        for b in batches:
+            for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if r[:2] != key:
+                    if held:
+                        out += [(*key, *x) for x in fold(held)]
+                    key, held = r[:2], []
+                held.append(r[2:])
+            if len(out) > 5000:
+                yield made()
+                out = []
+        if held:
+            out += [(*key, *x) for x in fold(held)]
+        if out:
+            yield made()
+
+    return frame.select(*PAGE, *columns).repartition(*PAGE).sortWithinPartitions(*PAGE).mapInArrow(run, schema)
+
+
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64()}
+
+
+def _schema_of(ddl: str):
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(ddl)
+
+
+def _words(glyphs: list[tuple]) -> list[tuple]:
+    """L02 for one page's glyphs (text, x, y, width, height, size, sequence): (line_no, word_no, text, x_pos, right_x, y_pos)."""
+    full = sorted(g[4] for g in glyphs if g[0] and g[0].strip() and g[4] is not None)
+    middle = (full[(len(full) - 1) // 2] + full[len(full) // 2]) / 2 if full else 0.0
+    tolerance = max(0.8, min(3.0, 0.24 * middle))
+    lines: list[tuple[float, list]] = []
+    for g in sorted((g for g in glyphs if g[0] and g[1] is not None and g[2] is not None), key=lambda g: (-g[2], g[1], g[6] or 0)):
+        near = [(abs(g[2] - y), k) for k, (y, _) in enumerate(lines[-5:], max(0, len(lines) - 5)) if abs(g[2] - y) <= tolerance]
+        if near:
+            lines[min(near)[1]][1].append(g)
+        else:
+            lines.append((g[2], [g]))
+    out = []
+    for n, (y, own) in enumerate(lines, 1):
+        found: list[list[tuple]] = [[]]
+        for g in sorted(own, key=lambda g: g[1]):
+            last = found[-1][-1] if found[-1] else None
+            if g[0].isspace():
+                found.append([])
+            elif last is None:
+                found[-1].append(g)
+            elif g[1] - (last[1] + (last[3] or 0.0)) > max(0.7, 0.22 * (10.0 if g[5] is None else g[5])):
+                found.append([g])
+            elif not (g[0] == last[0] and abs(g[1] - last[1]) < 0.15 and abs(g[2] - last[2]) < 0.15):
+                found[-1].append(g)
+        for k, w in enumerate((w for w in found if w), 1):
+            out.append((n, k, "".join(g[0] for g in w), min(g[1] for g in w), max(g[1] + (g[3] or 0.0) for g in w), y))
+    return out
+
+
 def words(glyphs: DataFrame) -> DataFrame:
-    """Glyphs (text, x_pos, y_pos, width, height, font_size, sequence) into words: doc_id, physical_page, line_no, word_no, text, x_pos, right, y_pos.
+    """Glyphs (text, x_pos, y_pos, width, height, font_size, sequence) into words: doc_id, physical_page, line_no, word_no, text, x_pos, right_x, y_pos.
+
+    A glyph goes to the nearest of the last five base lines within 0.24 of the page's median height (0.8 to 3), else it begins one; blanks
+    and gaps of more than 0.22 of the size (0.7 at least) part words; a glyph printed twice on a spot counts once. Glyphs without a place are left out.
+    """
+    return by_page(glyphs, ["text", "x_pos", "y_pos", "width", "height", "font_size", "sequence"], _words, "doc_id string, physical_page int, line_no int, word_no int, text string, x_pos double, right_x double, y_pos double")
+
+
+def _columns(pieces: list[tuple]) -> list[tuple]:
+    """L04 for one page's numbers (number, right edge, height on the page, fragment_id): (column_no, fragment_id)."""
+    columns: list[list[tuple]] = []
+    for p in sorted(pieces, key=lambda p: (p[1], -p[2], p[3])):
+        if columns:
+            edges = [x[1] for x in columns[-1]]  # in order, as they were added
+            if abs(p[1] - (edges[(len(edges) - 1) // 2] + edges[len(edges) // 2]) / 2) <= 7:
+                columns[-1].append(p)
+                continue
+        columns.append([p])
+    out = []
+    for k, own in enumerate(columns, 1):
+        own.sort(key=lambda p: -p[2])
+        numbers = [p[0] for p in own]
+        steps = sum(0 < b - a <= 3 or b <= 3 and a >= 8 for a, b in zip(numbers, numbers[1:], strict=False))
+        if len(set(numbers)) >= 4 and steps / max(1, len(numbers) - 1) >= 0.65 and max(numbers) - min(numbers) >= 3:
+            out += [(k, p[3]) for p in own]
+    return out
+
+
+def gutter_columns(pieces: DataFrame) -> DataFrame:
+    """doc_id, physical_page, column_no, fragment_id of the numbers 1..100 that stand in a column of printed line numbers.
+
+    Numbers are clustered by right edges at most 7 from a cluster's median; a column has four different ones over three apart, of which 65 %
+    grow by at most three or begin anew.
+    """
+    number = trimmed(F.col("text"))
+    numbers = pieces.filter(number.rlike("^[0-9]{1,3}$") & F.col("x_pos").isNotNull() & F.col("y_pos").isNotNull()).withColumn("number", number.cast("int")).withColumn("edge", F.col("x_pos") + F.coalesce("width", F.lit(0.0))).filter("number between 1 and 100")
+    return by_page(numbers, ["number", "edge", "y_pos", "fragment_id"], _columns, "doc_id string, physical_page int, column_no int, fragment_id string")
+
+
+def masked_by_overlap(pieces: DataFrame, masks: DataFrame, least: float = 0.25) -> DataFrame:
+    """Pieces of whose box more than ``least`` lies in a mask are left out, and each mask is a word [REDACTED]: doc_id, physical_page, text, x_pos, y_pos, width, height, masked.
 
-    Glyphs are on one base line if they differ by at most 0.24 of the page's median height (0.8 to 3); a blank or a gap of more than 0.22 of
-    the size (0.7 at least) parts words. Glyphs printed twice on the same spot count once.
+    masks: doc_id, physical_page, rect [left, low, right, high]. An equal join on the page; a page's masks are few.
     """
-    tolerance = glyphs.groupBy(*PAGE).agg(F.greatest(F.lit(0.8), F.least(F.lit(3.0), 0.24 * F.median("height"))).alias("tol"))
-    once = glyphs.dropDuplicates([*PAGE, "text", "x_pos", "y_pos"]).join(tolerance, list(PAGE))
-    by_y = W.partitionBy(*PAGE).orderBy(F.desc("y_pos"), "x_pos", "sequence")
-    lined = once.withColumn("new", F.coalesce(F.lag("y_pos").over(by_y) - F.col("y_pos") > F.col("tol"), F.lit(True)).cast("int")).withColumn("line_no", F.sum("new").over(by_y.rowsBetween(W.unboundedPreceding, 0)))
-    by_x = W.partitionBy(*PAGE, "line_no").orderBy("x_pos", "sequence")
-    gap = F.col("x_pos") - F.lag(F.col("x_pos") + F.col("width")).over(by_x)
-    blank = trimmed(F.col("text")) == ""
-    parted = lined.withColumn("cut", (F.coalesce(gap > F.greatest(F.lit(0.7), 0.22 * F.coalesce("font_size", F.lit(10.0))), F.lit(True)) | blank | F.coalesce(F.lag(blank).over(by_x), F.lit(False))).cast("int")).withColumn("word_no", F.sum("cut").over(by_x.rowsBetween(W.unboundedPreceding, 0)))
-    ordered = F.array_sort(F.collect_list(F.struct("x_pos", "sequence", "text")))
-    return parted.filter(~blank).groupBy(*PAGE, "line_no", "word_no").agg(F.array_join(F.transform(ordered, lambda g: g["text"]), "").alias("text"), F.min("x_pos").alias("x_pos"), F.max(F.col("x_pos") + F.col("width")).alias("right"), F.avg("y_pos").alias("y_pos"))
+    box = F.array("x_pos", "y_pos", F.col("x_pos") + F.col("width"), F.col("y_pos") + F.col("height"))
+    given = masks.groupBy(*PAGE).agg(F.collect_set("rect").alias("rects"))
+    kept = pieces.join(given, list(PAGE), "left").filter(~F.coalesce(F.exists("rects", lambda m: overlap_share(box, m) > least), F.lit(False))).select(*PAGE, "text", "x_pos", "y_pos", "width", "height", F.lit(False).alias("masked"))
+    r = F.col("rect")
+    hidden = masks.select(*PAGE, "rect").distinct().select(*PAGE, F.lit("[REDACTED]").alias("text"), r[0].alias("x_pos"), r[1].alias("y_pos"), (r[2] - r[0]).alias("width"), (r[3] - r[1]).alias("height"), F.lit(True).alias("masked"))
+    return kept.unionByName(hidden)
 
 
 def anchored_rows(pieces: DataFrame) -> DataFrame:

@@ -676,31 +676,49 @@ def anchored_rows(spark, folder):
 def row_texts(spark, folder):
     """The visual rows' texts and numbers."""
     pieces = _pieces(spark, folder)
-    return layout.row_texts(pieces, layout.visual_rows(pieces))
+    return layout.row_texts(pieces, layout.visual_rows(pieces)).select("doc_id", F.col("physical_page").cast("long").alias("physical_page"), F.col("row_no").cast("long").alias("row_no"), "text", "left_x", F.col("line_number").cast("long").alias("line_number"))
 
 
 def printed_gutters(spark, folder):
     """L14-L16."""
     pieces = _pieces(spark, folder)
-    return layout.gutters(layout.row_texts(pieces, layout.visual_rows(pieces)))
+    g = layout.gutters(layout.row_texts(pieces, layout.visual_rows(pieces)))
+    return g.select("doc_id", F.col("physical_page").cast("long").alias("physical_page"), "gutter_x", "likely_x", F.round("tolerant_sequence", 6).alias("tolerant_sequence"), F.col("numbered_rows").cast("long").alias("numbered_rows"))
 
 
 def number_columns(spark, folder):
-    """L04, L14."""
+    """The likeliest column of lone numbers of each page."""
     pieces = _pieces(spark, folder)
-    return layout.number_columns(pieces, layout.visual_rows(pieces))
+    return layout.number_columns(pieces, layout.visual_rows(pieces)).select("doc_id", F.col("physical_page").cast("long").alias("physical_page"), "x", F.round("score", 6).alias("score"))
 
 
 def glyph_words(spark, folder):
-    """The fragments' pieces as words."""
-    w = layout.words(_pieces(spark, folder).filter("text is not null"))
-    return w.select("doc_id", F.col("physical_page").cast("long").alias("physical_page"), "line_no", "word_no", "text", F.round("x_pos", 4).alias("x_pos"), F.round("right", 4).alias("right_x"), F.round("y_pos", 4).alias("y_pos"))
+    """The fragments' letters, some printed twice, as words."""
+    f = _pieces(spark, folder).filter("text is not null and text <> ''").withColumn("n", F.char_length("text"))
+    letters = f.select("doc_id", "physical_page", "y_pos", "height", "font_size", F.col("x_pos").alias("x0"), (F.col("width") / F.col("n")).alias("width"), "sequence", F.posexplode(F.split("text", "")).alias("i", "text")).filter("text <> ''")
+    twice = F.explode(F.when((F.col("sequence") % 13 == 0) & (F.col("i") == 2), F.array(F.lit(0.0), F.lit(0.05))).otherwise(F.array(F.lit(0.0))))
+    glyphs = letters.withColumn("shift", twice).select("doc_id", "physical_page", "text", (F.col("x0") + F.col("i") * F.col("width") + F.col("shift")).alias("x_pos"), "y_pos", "width", "height", "font_size", (F.col("sequence") * 1000 + F.col("i")).alias("sequence"))
+    w = layout.words(glyphs)
+    return w.select("doc_id", F.col("physical_page").cast("long").alias("physical_page"), F.col("line_no").cast("long").alias("line_no"), F.col("word_no").cast("long").alias("word_no"), "text", F.round("x_pos", 3).alias("x_pos"), F.round("right_x", 3).alias("right_x"), "y_pos")
+
+
+def gutter_columns(spark, folder):
+    """L04."""
+    return layout.gutter_columns(_pieces(spark, folder)).select("doc_id", F.col("physical_page").cast("long").alias("physical_page"), F.col("column_no").cast("long").alias("column_no"), "fragment_id")
+
+
+def masked_words(spark, folder):
+    """Every tenth row's box, moved by a third of its height, hides what it covers."""
+    f = _pieces(spark, folder)
+    masks = f.filter("row_index % 10 = 3").groupBy("doc_id", "physical_page", "row_index").agg(F.array(F.min("x_pos") + 20, F.min("y_pos") + 4, F.max(F.col("x_pos") + F.col("width")), F.max(F.col("y_pos") + F.col("height")) + 4).alias("rect"))
+    return layout.masked_by_overlap(f, masks).select("doc_id", F.col("physical_page").cast("long").alias("physical_page"), "text", *[F.round(c, 4).alias(c) for c in ("x_pos", "y_pos", "width", "height")], "masked")
 
 
 def reconstruction(spark, folder):
     """L17."""
     pieces = _pieces(spark, folder)
-    return layout.reconstruction_confidence(layout.row_texts(pieces, layout.visual_rows(pieces)), rebuilt_pages(spark, folder))
+    sure = layout.reconstruction_confidence(layout.row_texts(pieces, layout.visual_rows(pieces)), rebuilt_pages(spark, folder))
+    return sure.select("doc_id", F.col("physical_page").cast("long").alias("physical_page"), F.round("reconstruction_confidence", 6).alias("reconstruction_confidence"))
 
 
 def positioned_pages(spark, folder):

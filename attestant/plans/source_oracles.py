@@ -31,7 +31,7 @@ def oracle_sql() -> dict[str, str]:
     lines = "CASE WHEN t = '' THEN [] WHEN ends_with(t, chr(10)) THEN string_split(left(t, length(t) - 1), chr(10)) ELSE string_split(t, chr(10)) END"
     texts = _texts()
     seats = "row_number() OVER (PARTITION BY doc_id, physical_page ORDER BY y_pos DESC, coalesce(x_pos, 0), coalesce(sequence, 0))"
-    return {
+    parts = {
         # groups of a page as sums and counts; each fragment goes to the nearest mean within the tolerance, the first of equally near ones
         "visual_rows": "WITH RECURSIVE t AS (SELECT doc_id, physical_page, coalesce(greatest(0.65e0, least(3.0e0, 0.18e0 * l[len(l) // 2 + 1])), 1.5e0) AS tol FROM (SELECT doc_id, physical_page, list_sort(list(font_size) FILTER (font_size > 0.1)) AS l FROM fragments GROUP BY ALL)), "
         f"o AS (SELECT doc_id, physical_page, fragment_id, x_pos, y_pos, sequence, tol, {seats} AS k FROM fragments JOIN t USING (doc_id, physical_page) WHERE y_pos IS NOT NULL), "
@@ -43,9 +43,18 @@ def oracle_sql() -> dict[str, str]:
         "anchored_rows": "WITH RECURSIVE t AS (SELECT doc_id, physical_page, greatest(1.0e0, least(3.5e0, 0.3e0 * median(font_size))) AS tol FROM fragments GROUP BY ALL), o AS (SELECT doc_id, physical_page, fragment_id, -(y_pos + height / 2) AS m, tol, row_number() OVER (PARTITION BY doc_id, physical_page ORDER BY -(y_pos + height / 2), x_pos, sequence, fragment_id) AS k FROM fragments JOIN t USING (doc_id, physical_page)), "
         "s AS (SELECT DISTINCT doc_id, physical_page, CAST(0 AS BIGINT) AS k, CAST(NULL AS VARCHAR) AS fragment_id, CAST(NULL AS DOUBLE) AS anchor, CAST(0 AS BIGINT) AS n FROM o UNION ALL SELECT o.doc_id, o.physical_page, o.k, o.fragment_id, CASE WHEN coalesce(abs(o.m - s.anchor) <= o.tol, false) THEN s.anchor ELSE o.m END, CASE WHEN coalesce(abs(o.m - s.anchor) <= o.tol, false) THEN s.n ELSE s.n + 1 END FROM s JOIN o ON o.doc_id = s.doc_id AND o.physical_page = s.physical_page AND o.k = s.k + 1) "
         "SELECT doc_id, CAST(physical_page AS BIGINT) AS physical_page, fragment_id, n AS row_no FROM s WHERE k > 0",
-        "glyph_words": f"WITH t AS (SELECT doc_id, physical_page, greatest(0.8e0, least(3.0e0, 0.24e0 * median(height))) AS tol FROM fragments WHERE text IS NOT NULL GROUP BY ALL), o AS (SELECT DISTINCT ON (doc_id, physical_page, text, x_pos, y_pos) f.*, tol FROM fragments f JOIN t USING (doc_id, physical_page) WHERE text IS NOT NULL), a AS (SELECT *, coalesce(lag(y_pos) OVER w - y_pos > tol, true) AS new FROM o WINDOW w AS (PARTITION BY doc_id, physical_page ORDER BY y_pos DESC, x_pos, sequence)), "
-        f"b AS (SELECT *, CAST(count_if(new) OVER (PARTITION BY doc_id, physical_page ORDER BY y_pos DESC, x_pos, sequence ROWS UNBOUNDED PRECEDING) AS BIGINT) AS line_no, {trim('text')} = '' AS blank FROM a), c AS (SELECT *, coalesce(x_pos - lag(x_pos + width) OVER w > greatest(0.7e0, 0.22e0 * coalesce(font_size, 10.0)), true) OR blank OR coalesce(lag(blank) OVER w, false) AS cut FROM b WINDOW w AS (PARTITION BY doc_id, physical_page, line_no ORDER BY x_pos, sequence)), "
-        "d AS (SELECT *, CAST(count_if(cut) OVER (PARTITION BY doc_id, physical_page, line_no ORDER BY x_pos, sequence ROWS UNBOUNDED PRECEDING) AS BIGINT) AS word_no FROM c) SELECT doc_id, CAST(physical_page AS BIGINT) AS physical_page, line_no, word_no, string_agg(text, '' ORDER BY x_pos, sequence, text) AS text, round(min(x_pos), 4) AS x_pos, round(max(x_pos + width), 4) AS right_x, round(avg(y_pos), 4) AS y_pos FROM d WHERE NOT blank GROUP BY ALL",
+        # base lines of a page as a list; each letter goes to the nearest of the last five
+        "glyph_words": f"WITH RECURSIVE f AS (SELECT *, width / length(text) AS cw FROM fragments WHERE text IS NOT NULL AND text <> ''), c AS (SELECT *, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) - 1 AS i FROM f), g AS (SELECT doc_id, physical_page, ch, x_pos + i * cw + sh AS x, y_pos AS y, cw, height, coalesce(font_size, 10.0) AS size, sequence * 1000 + i AS sq FROM (SELECT *, unnest(CASE WHEN sequence % 13 = 0 AND i = 2 THEN [0.0, 0.05] ELSE [0.0] END) AS sh FROM c)), "
+        f"t AS (SELECT doc_id, physical_page, greatest(0.8e0, least(3.0e0, 0.24e0 * median(height))) AS tol FROM g WHERE {trim('ch')} <> '' GROUP BY ALL), ys AS (SELECT DISTINCT doc_id, physical_page, y, tol FROM g JOIN t USING (doc_id, physical_page)), o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, physical_page ORDER BY y DESC) AS k FROM ys), "
+        "s AS (SELECT DISTINCT doc_id, physical_page, CAST(0 AS BIGINT) AS k, CAST(NULL AS DOUBLE) AS y, CAST(NULL AS BIGINT) AS n, CAST([] AS DOUBLE[]) AS bs FROM o UNION ALL SELECT doc_id, physical_page, k, y, coalesce(near, len(bs) + 1), CASE WHEN near IS NULL THEN list_append(bs, y) ELSE bs END FROM (SELECT *, CASE WHEN d <= tol THEN CAST(start + list_position(ds, d) AS BIGINT) END AS near FROM (SELECT *, list_min(ds) AS d FROM (SELECT o.*, s.bs, greatest(0, len(s.bs) - 5) AS start, list_transform(s.bs[-5:], lambda b: abs(b - o.y)) AS ds FROM s JOIN o ON o.doc_id = s.doc_id AND o.physical_page = s.physical_page AND o.k = s.k + 1)))), "
+        "e AS (SELECT doc_id, physical_page, arg_max(bs, k) AS bs FROM s GROUP BY ALL), a AS (SELECT g.*, s.n AS line_no, e.bs[s.n] AS base, row_number() OVER (PARTITION BY g.doc_id, g.physical_page, s.n ORDER BY g.x, g.y DESC, g.sq) AS r FROM g JOIN s ON s.doc_id = g.doc_id AND s.physical_page = g.physical_page AND s.y = g.y JOIN e ON e.doc_id = g.doc_id AND e.physical_page = g.physical_page), "
+        f"b AS (SELECT *, {trim('ch')} = '' AS blank, coalesce(lag(ch) OVER w = ch AND abs(x - lag(x) OVER w) < 0.15 AND abs(y - lag(y) OVER w) < 0.15, false) AND {trim('ch')} <> '' AS again FROM a WINDOW w AS (PARTITION BY doc_id, physical_page, line_no ORDER BY r)), d AS (SELECT *, coalesce(x - lag(x + cw) OVER w > greatest(0.7e0, 0.22e0 * size), true) OR coalesce(lag(blank) OVER w, true) AS cut FROM b WHERE NOT again WINDOW w AS (PARTITION BY doc_id, physical_page, line_no ORDER BY r)), "
+        "h AS (SELECT *, count_if(cut AND NOT blank) OVER (PARTITION BY doc_id, physical_page, line_no ORDER BY r ROWS UNBOUNDED PRECEDING) AS word_no FROM d) SELECT doc_id, CAST(physical_page AS BIGINT) AS physical_page, line_no, word_no, string_agg(ch, '' ORDER BY r) AS text, round(min(x), 3) AS x_pos, round(max(x + cw), 3) AS right_x, first(base) AS y_pos FROM h WHERE NOT blank GROUP BY doc_id, physical_page, line_no, word_no",
+        "gutter_columns": f"WITH RECURSIVE o AS (SELECT doc_id, physical_page, fragment_id, n, e, y, row_number() OVER (PARTITION BY doc_id, physical_page ORDER BY e, y DESC, fragment_id) AS k FROM (SELECT doc_id, physical_page, fragment_id, CAST({trim('text')} AS INT) AS n, x_pos + coalesce(width, 0) AS e, y_pos AS y FROM fragments WHERE regexp_matches({trim('text')}, '^[0-9]{{1,3}}$') AND x_pos IS NOT NULL AND y_pos IS NOT NULL) WHERE n BETWEEN 1 AND 100), "
+        "s AS (SELECT DISTINCT doc_id, physical_page, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS c, CAST([] AS DOUBLE[]) AS es, CAST(NULL AS VARCHAR) AS fragment_id, CAST(NULL AS INT) AS n, CAST(NULL AS DOUBLE) AS y FROM o UNION ALL SELECT o.doc_id, o.physical_page, o.k, CASE WHEN coalesce(abs(o.e - list_aggregate(s.es, 'median')) <= 7, false) THEN s.c ELSE s.c + 1 END, CASE WHEN coalesce(abs(o.e - list_aggregate(s.es, 'median')) <= 7, false) THEN list_append(s.es, o.e) ELSE [o.e] END, o.fragment_id, o.n, o.y FROM s JOIN o ON o.doc_id = s.doc_id AND o.physical_page = s.physical_page AND o.k = s.k + 1), "
+        "p AS (SELECT *, lag(n) OVER (PARTITION BY doc_id, physical_page, c ORDER BY y DESC, k) AS b FROM s WHERE k > 0), g AS (SELECT doc_id, physical_page, c FROM p GROUP BY ALL HAVING count(DISTINCT n) >= 4 AND max(n) - min(n) >= 3 AND count_if((n > b AND n - b <= 3) OR (n <= 3 AND b >= 8)) / greatest(1, count(*) - 1) >= 0.65) SELECT p.doc_id, CAST(p.physical_page AS BIGINT) AS physical_page, p.c AS column_no, p.fragment_id FROM p JOIN g USING (doc_id, physical_page, c)",
+        "masked_words": "WITH m AS (SELECT doc_id, physical_page, min(x_pos) + 20 AS a, min(y_pos) + 4 AS b, max(x_pos + width) AS c, max(y_pos + height) + 4 AS d FROM fragments WHERE row_index % 10 = 3 GROUP BY doc_id, physical_page, row_index), k AS (SELECT f.* FROM fragments f WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.doc_id = f.doc_id AND m.physical_page = f.physical_page AND width * height > 0 AND greatest(0, least(f.x_pos + width, c) - greatest(f.x_pos, a)) * greatest(0, least(f.y_pos + height, d) - greatest(f.y_pos, b)) / (width * height) > 0.25)) "
+        "SELECT doc_id, CAST(physical_page AS BIGINT) AS physical_page, text, round(x_pos, 4) AS x_pos, round(y_pos, 4) AS y_pos, round(width, 4) AS width, round(height, 4) AS height, false AS masked FROM k UNION ALL SELECT DISTINCT doc_id, CAST(physical_page AS BIGINT), '[REDACTED]', round(a, 4), round(b, 4), round(c - a, 4), round(d - b, 4), true FROM m",
         "decoded_files": "WITH d AS (SELECT doc_id, text, doc_id % 6 AS n, doc_id % 5 AS e FROM documents WHERE text IS NOT NULL), x AS (SELECT *, CASE WHEN e IN (0, 1) THEN 'text' WHEN e = 2 THEN 'pdf' END AS kind, n >= 4 AS bad FROM d), y AS (SELECT *, CASE WHEN kind IS NULL THEN 'unsupported_file_type' WHEN kind = 'pdf' THEN 'not_a_pdf' WHEN bad THEN 'invalid_encoding' END AS error FROM x) "
         "SELECT CAST(doc_id AS VARCHAR) AS doc_id, kind, error, CASE WHEN error IS NULL THEN text END AS text, CASE n WHEN 0 THEN sha256(text) WHEN 1 THEN sha256(unhex('EFBBBF') || encode(text)) WHEN 5 THEN sha256(unhex('FF20') || encode(text)) ELSE NULL END AS source_sha256 FROM y",
         "split_pages": f"WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN replace(text, '.' || chr(10), '.' || chr(12)) WHEN 1 THEN chr(10) || ' ' || chr(10) || replace(text, '.' || chr(10), '.' || chr(10) || ' page  12 ' || chr(10) || chr(10)) ELSE text END AS t FROM documents WHERE text IS NOT NULL), "
@@ -72,3 +81,16 @@ def oracle_sql() -> dict[str, str]:
         + ", s0 AS (SELECT doc_id, physical_page, max(x_pos + width) - min(x_pos) AS w FROM sf GROUP BY ALL), s1 AS (SELECT *, lag(x_pos + width) OVER (PARTITION BY doc_id, physical_page, row_index ORDER BY x_pos) AS l FROM sf), s2 AS (SELECT s1.*, floor((x_pos + l) / 20) AS bin FROM s1 JOIN s0 USING (doc_id, physical_page) WHERE l IS NOT NULL AND x_pos - l >= 0.08 * w), s3 AS (SELECT doc_id, physical_page, bin, count(DISTINCT row_index) AS n, avg((x_pos + l) / 2) AS sx FROM s2 GROUP BY ALL HAVING count(DISTINCT row_index) >= 4), "
         "s4 AS (SELECT doc_id, physical_page, arg_max(sx, n * 1000000 - bin) AS sx FROM s3 GROUP BY ALL), s5 AS (SELECT rt.*, CASE WHEN left_x >= sx THEN 1 ELSE 0 END AS pane FROM rt LEFT JOIN s4 USING (doc_id, physical_page)) SELECT doc_id, CAST(physical_page AS BIGINT) AS physical_page, CAST(row_index AS BIGINT) AS row_no, CAST(pane AS BIGINT) AS pane, row_number() OVER (PARTITION BY doc_id, physical_page ORDER BY pane, row_index) AS reading_no FROM s5",
     }
+    # the same over the visual rows instead of the delivered ones
+    seen = f"vf AS (SELECT f.* REPLACE (v.row_no AS row_index) FROM fragments f JOIN ({parts['visual_rows']}) v ON v.doc_id = f.doc_id AND v.physical_page = f.physical_page AND v.fragment_id = f.fragment_id)"
+    for own, given in (("row_texts", "given_row_texts"), ("printed_gutters", "given_gutters"), ("reconstruction", "given_reconstruction")):
+        parts[own] = parts[given].replace("WITH " + _ROWS.format(src="fragments"), f"WITH {seen}, " + _ROWS.format(src="vf"), 1)
+    share = "list_sum(list_transform(range(1, len(ns)), lambda i: CASE WHEN ns[i + 1] > ns[i] AND ns[i + 1] - ns[i] <= 4 THEN 1 ELSE 0 END)) / (len(ns) - 1)"
+    parts["number_columns"] = (
+        f"WITH {seen}, ex AS (SELECT doc_id, physical_page, min(x_pos) AS lo, max(x_pos + greatest(0, width)) AS hi, count(DISTINCT row_index) AS rows FROM vf GROUP BY ALL), ln AS (SELECT doc_id, physical_page, row_index, x_pos, CAST({trim('text')} AS INT) AS n FROM vf WHERE regexp_matches({trim('text')}, '^[0-9]{{1,2}}$') AND CAST({trim('text')} AS INT) BETWEEN 1 AND 50), sd AS (SELECT DISTINCT doc_id, physical_page, x_pos AS seed FROM ln), "
+        "nr AS (SELECT doc_id, physical_page, seed, row_index, arg_min(n, x_pos) AS n, min(x_pos) AS x FROM sd JOIN ln USING (doc_id, physical_page) WHERE abs(x_pos - seed) <= 12 GROUP BY ALL), cl AS (SELECT doc_id, physical_page, seed, list(n ORDER BY row_index) AS ns, list_sort(list(x)) AS xs FROM nr GROUP BY ALL), "
+        f"sc AS (SELECT *, xs[len(xs) // 2 + 1] AS x, CASE WHEN len(ns) >= 2 THEN {share} ELSE 0.0e0 END AS seq, list_max(ns) - list_min(ns) AS spread FROM cl), "
+        "sv AS (SELECT sc.*, 0.55e0 * seq + 0.2e0 * least(1.0e0, len(ns) / rows) + 0.15e0 * greatest(0.0e0, 1 - least(abs(x - lo), abs(hi - x)) / (greatest(1.0e0, hi - lo) / 2)) + 0.1e0 * least(1.0e0, spread / 20) AS score FROM sc JOIN ex USING (doc_id, physical_page) WHERE len(list_distinct(ns)) >= 5 AND list_min(ns) <= 6 AND spread >= 5 AND seq >= 0.62) "
+        "SELECT doc_id, CAST(physical_page AS BIGINT) AS physical_page, first(x ORDER BY score DESC, seed) AS x, round(max(score), 6) AS score FROM sv GROUP BY doc_id, physical_page"
+    )
+    return parts
