@@ -17,14 +17,15 @@ class Transcripts:
 
     Sections are worked out where the column is missing. Pages may carry the layout's columns. Documents with a null id are left out.
     With the pages' ``fragments`` (row_index, x_pos, width, font_size, text, sequence) a bare Q or A counts only before a wide enough gap.
+    With the rows' ``boxes`` (doc_id, physical_page, row_index, bbox) text repeated in the top margin is page furniture.
     ``store`` writes the relations that many others read, so that they are made once; without it all is one plan.
     """
 
-    def __init__(self, pages: DataFrame, store: bool = True, fragments: DataFrame | None = None):
+    def __init__(self, pages: DataFrame, store: bool = True, fragments: DataFrame | None = None, boxes: DataFrame | None = None):
         pages = pages.filter("doc_id is not null")
         if "kind" not in pages.columns:
             pages = pages.withColumn("kind", F.lit("text"))
-        self._fragments = fragments
+        self._fragments, self._boxes = fragments, boxes
         self._pages, self._keep = pages, cut_lineage if store else (lambda df: df)
 
     @cached_property
@@ -73,7 +74,25 @@ class Transcripts:
 
     @cached_property
     def source_rows(self) -> DataFrame:
-        return self._keep(inventory.canonical_rows(self.lines_in, self.contexts))
+        made = inventory.canonical_rows(self.lines_in, self.contexts)
+        if self._boxes is not None:
+            made = inventory.with_furniture(self._keep(made.join(self._boxes.select("doc_id", "physical_page", "row_index", "bbox"), ["doc_id", "physical_page", "row_index"], "left")))
+        return self._keep(made)
+
+    @cached_property
+    def format_prints(self) -> DataFrame:
+        """The conventions of each document's testimony lines."""
+        return preflight.fingerprint(self.lines_in, self.rules, self.contexts)
+
+    @cached_property
+    def format_confidence(self) -> DataFrame:
+        """How sure the learned format is."""
+        return preflight.confidences(self.participants_before, self.rules, self.format_prints, self.contexts)
+
+    @cached_property
+    def router(self) -> DataFrame:
+        """Documents that should be looked at by other means."""
+        return preflight.router_flags(self.format_confidence, self.languages, self.types, preflight.layout_summary(self.pages), preflight.redaction_summary(self.pages))
 
     @cached_property
     def unverified(self) -> DataFrame:

@@ -17,6 +17,20 @@ def test_decoding(spark):
     assert got["e__txt"][1] == got["f__txt"][1] == "invalid_encoding" and got["g__pdf"][1] == "not_a_pdf" and got["h__doc"][1] == "unsupported_file_type" and got["i__TXT"] == ("", None)
 
 
+def test_too_large_files_have_an_error_row(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(text, "MAX_BYTES", 10)
+    (tmp_path / "a.txt").write_bytes(b"short")
+    (tmp_path / "b.txt").write_bytes(b"longer than that")
+    got = {r["filename"]: (r["text"], r["error"], r["length"]) for r in text.decoded(text.read_files(spark, str(tmp_path))).collect()}
+    assert got == {"a.txt": ("short", None, 5), "b.txt": (None, "file_too_large", 16)}
+
+
+def test_page_lines_in_any_form(spark):
+    docs = [("x", "cover\n\n  page  +12 \t\na\n\nPAGE 3\nb\n\n"), ("y", "PAGE 1"), ("z", "a PAGE 1\nPAGE x\n")]
+    got = sorted(tuple(r) for r in text.pages_of(spark.createDataFrame(docs, "doc_id string, text string")).collect())
+    assert got == [("x", 1, "cover\n"), ("x", 2, "  page  +12 \t\na\n"), ("x", 3, "PAGE 3\nb\n"), ("y", 1, "PAGE 1"), ("z", 1, "a PAGE 1\nPAGE x")]
+
+
 def test_pages(spark):
     docs = [("feed", "one\fsecond\n\f\f\n"), ("marks", "\n\nPAGE 7\na\nb\nPAGE 8\nc"), ("intro", "cover\nPAGE 1\nx"), ("plain", "a\nb"), ("null", None), ("blank", "")]
     got = {}
@@ -95,6 +109,29 @@ def test_pdf_to_transcript(spark, tmp_path):
     assert [r["kind"] for r in Transcripts(pages).blocks.orderBy("block_no").collect()] == ["question", "answer", "question", "answer"]
 
 
+def test_repeated_top_margin_is_furniture_and_formats_are_told(spark):
+    from attestant.plans.transcript import Transcripts
+
+    pages = spark.createDataFrame([("d", p, f"Smith v. Jones\n1 Q. Where were you on day {p}?\n2 A. Here.", "pdf", "transcript") for p in (1, 2, 3)], "doc_id string, physical_page int, text string, kind string, section string")
+    boxes = spark.createDataFrame([("d", p, k, [72.0, 30.0 + 30 * k, 300.0, 40.0 + 30 * k]) for p in (1, 2, 3) for k in range(3)], "doc_id string, physical_page int, row_index int, bbox array<double>")
+    t = Transcripts(pages, boxes=boxes)
+    assert {r["disposition"] for r in t.source_rows.filter("row_index = 0").collect()} == {"page_furniture"} and t.lines.count() == 6
+    assert Transcripts(pages).lines.count() == 9
+    told = t.format_prints.first()
+    assert (told["dominant_question_marker"], told["dominant_answer_marker"], told["speaker_prefixed_dialogue"]) == ("Q.", "A.", False)
+    assert t.format_confidence.first()["marker_confidence"] == 0.6 and t.router.first()["router_recommended"]
+
+
+def test_unreadable_glyphs_and_two_columns_are_told(spark):
+    from attestant.plans.positioned import pages_of_fragments
+
+    ddl = "doc_id string, physical_page int, fragment_id string, sequence long, text string, x_pos double, y_pos double, width double, height double, font_size double, redaction_masked boolean"
+    bad = [("d", 1, f"a{k}", k, "(cid:7)(cid:9) x", 72.0, 700.0 - 20 * k, 90.0, 12.0, 12.0, False) for k in range(4)]
+    two = [("d", 2, f"{c}{k}", 2 * k + c, "words stand here", 72.0 + 260 * c, 700.0 - 20 * k, 90.0, 12.0, 12.0, False) for k in range(5) for c in (0, 1)]
+    got = {r["physical_page"]: (r["requires_ocr"], r["reading_order_uncertain"], r["column_count"]) for r in pages_of_fragments(spark.createDataFrame(bad + two, ddl)).collect()}
+    assert got[1][0] and not got[2][0] and not got[1][1]
+
+
 def test_bare_mark_needs_a_gap(spark):
     from attestant.plans.transcript import Transcripts
 
