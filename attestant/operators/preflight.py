@@ -55,10 +55,10 @@ def titled_style(lines: DataFrame) -> DataFrame:
     return lines.filter("section = 'transcript'").groupBy("doc_id").agg(F.coalesce(F.max(titled_label(F.col("body")).isNotNull()), F.lit(False)).alias("titled"))
 
 
-def observations(said: DataFrame) -> DataFrame:
+def observations(said: DataFrame, keep=lambda df: df) -> DataFrame:
     """One row for each line that tells of a participant: doc_id, physical_page, line_index, label, canonical, role, observation.
 
-    An unmarked question is remembered: an unmarked line of another label without a role after it is an answer, until an answer is seen.
+    ``keep`` writes what is read more than once. An unmarked question is remembered: an unmarked line of another label without a role after it is an answer, until an answer is seen.
     """
     titled = titled_style(said)
     body = F.col("body")
@@ -70,6 +70,7 @@ def observations(said: DataFrame) -> DataFrame:
     rest = F.col("l.rest")
     told = known.withColumn("label", label).withColumn("plain", F.col("intro").isNull() & F.col("by").isNull()).withColumn("mark", F.when(F.col("plain"), marker(rest)["kind"])).filter(F.col("intro").isNotNull() | ~is_redacted(F.col("label")))
     told = told.withColumn("canonical", canonical_label(F.col("label"))).withColumn("own", label_role(F.col("label"))).withColumn("objects", F.col("plain") & is_objection(rest)).withColumn("asks", F.col("plain") & F.col("mark").isNull() & ~F.col("objects") & trimmed(rest).endswith("?"))
+    told = keep(told)  # few lines have a label; what follows reads them several times
     # what is remembered: the label of the last unmarked question, forgotten at an answer; answers by memory forget it, too, but follow only from earlier events
     set_ = F.when(F.col("asks"), F.struct(F.col("canonical").alias("who"))).when(F.col("mark") == "answer", F.struct(F.lit(None).cast("string").alias("who")))
     memory = running(told.withColumn("event", set_), ["line_index"], lasts={"last_event": F.col("event")})

@@ -25,14 +25,17 @@ def share_of_successors(numbers: Column, most: int = 1) -> Column:
 
 def features(pages: DataFrame) -> DataFrame:
     """Adds numbered (count), sequence, citations, index_like, labels, marks, dialogue_like, headings to pages; null texts count as empty."""
-    lines = lines_of(F.coalesce("text", F.lit("")))
-    plain = F.transform(lines, lambda x: without_leading_digits(trimmed(x)))
-    numbers = F.filter(F.transform(lines, leading_number), lambda n: n.isNotNull())
-    tokens = F.split(trimmed(F.coalesce("text", F.lit(""))), rf"{WS}+")
-    cited = lambda line: line.contains(":") & F.exists(F.split(trimmed(line), rf"{WS}+"), lambda t: t.rlike(CITATION))
-    full = F.filter(lines, lambda x: trimmed(x) != "")
-    heads = F.slice(F.filter(F.transform(plain, ascii_upper), lambda x: (x != "") & ~x.rlike("^[0-9]+$")), 1, 8)
-    base = pages.select("*", numbers.alias("numbers"), F.size(F.filter(tokens, lambda t: t.contains(":") & t.rlike(CITATION))).alias("citations"), F.size(F.filter(full, cited)).alias("cited_lines"), F.size(full).alias("full_lines"), F.size(F.filter(plain, lambda x: x.rlike("[:.]") & speaker_label(x).isNotNull())).alias("labels"), F.size(F.filter(plain, lambda x: x.rlike("(?i)" + DIALOGUE_MARK))).alias("marks"), heads.alias("headings"))
+    # each step names what the next ones use more than once, so that it is worked out once a page
+    split = pages.select("*", lines_of(F.coalesce("text", F.lit(""))).alias("ls"), trimmed(F.coalesce("text", F.lit(""))).alias("whole"))
+    told = split.select("*", F.transform("ls", lambda x: trimmed(x)).alias("trim"), F.filter(F.transform("ls", leading_number), lambda n: n.isNotNull()).alias("numbers"))
+    plain = told.select("*", F.transform("trim", without_leading_digits).alias("plain"), F.filter("trim", lambda x: x != "").alias("full"))
+    cites = lambda c: F.exists(F.split(c, rf"{WS}+"), lambda t: t.contains(":") & t.rlike(CITATION))
+    heads = F.slice(F.filter(F.transform("plain", ascii_upper), lambda x: (x != "") & ~x.rlike("^[0-9]+$")), 1, 8)
+    citations = F.when(F.col("whole").contains(":"), F.size(F.filter(F.split("whole", rf"{WS}+"), lambda t: t.contains(":") & t.rlike(CITATION)))).otherwise(0)
+    base = plain.select(
+        "*", citations.alias("citations"), F.size(F.filter("full", lambda x: x.contains(":") & cites(x))).alias("cited_lines"), F.size("full").alias("full_lines"), F.size(F.filter("plain", lambda x: x.rlike("[:.]") & speaker_label(x).isNotNull())).alias("labels"),
+        F.size(F.filter("plain", lambda x: x.rlike("(?i)" + DIALOGUE_MARK))).alias("marks"), heads.alias("headings"),
+    )
     return base.select(*pages.columns, F.size("numbers").alias("numbered"), share_of_successors(F.col("numbers")).alias("sequence"), "citations", F.coalesce(F.col("cited_lines") / F.nullif("full_lines", F.lit(0)) >= 0.2, F.lit(False)).alias("index_like"), "labels", "marks", ((F.col("labels") >= 3) | (F.size("numbers") >= 5) | (F.col("marks") >= 4)).alias("dialogue_like"), "headings")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from attestant.functions import marks, text
 from attestant.operators import classify, inventory, ir, layout, preflight, quality, reconcile, sections, turns
 from attestant.plans.transcript import Transcripts
-from attestant.sources.tables import cut_lineage, table
+from attestant.sources.tables import cut_lineage, spread, table
 
 #: Top margin of the transcripts' pages, for repeated furniture.
 TOP_MARGIN = 90.0
@@ -47,7 +47,7 @@ def rebuilt_pages(spark: SparkSession, folder: str) -> DataFrame:
 
 def corpus_pages(spark: SparkSession, folder: str) -> DataFrame:
     """documents as pages of their source: doc_id (the source), physical_page (the document's number)."""
-    return table(spark, folder, "documents").select(F.coalesce("source", F.lit("?")).alias("doc_id"), F.col("doc_id").cast("int").alias("physical_page"), "text")
+    return spread(table(spark, folder, "documents").select(F.coalesce("source", F.lit("?")).alias("doc_id"), F.col("doc_id").cast("int").alias("physical_page"), "text"))
 
 
 def parsed(spark: SparkSession, folder: str) -> Transcripts:
@@ -747,7 +747,7 @@ def parsed_gate(spark, folder):
     return t.gate.join(t.confidence, "doc_id")
 
 
-_HIDDEN = {"W", "cut_lineage", "rows", "talk", "blocks", "rebuilt_pages", "corpus_pages", "parsed", "table"}
+_HIDDEN = {"W", "cut_lineage", "spread", "rows", "talk", "blocks", "rebuilt_pages", "corpus_pages", "parsed", "table"}
 
 
 def queries() -> dict:

@@ -50,7 +50,7 @@ class Transcripts:
 
     @cached_property
     def first_participants(self) -> DataFrame:
-        return self._keep(preflight.participants(preflight.observations(self.said)))
+        return self._keep(preflight.participants(preflight.observations(self.said, self._keep)))
 
     @cached_property
     def types(self) -> DataFrame:
