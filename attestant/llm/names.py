@@ -277,8 +277,9 @@ def spelling_pairs(spellings: DataFrame) -> DataFrame:
     signed = per_batch(spread, make, "matter_id string, kind string, main string, bands array<long>")
     keyed = signed.select("matter_id", "kind", "main", F.posexplode("bands").alias("band", "hash")).withColumn("band", F.least("band", F.lit(n)))
     left, right = keyed.withColumnRenamed("main", "a"), keyed.withColumnRenamed("main", "b")
-    # lengths two apart are more than one edit apart
-    met = left.join(right, ["matter_id", "kind", "band", "hash"]).filter((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= 1)).select("matter_id", "kind", "a", "b").distinct()
+    # one edit or exchange makes two Levenshtein edits at most, and a main name is one word: what lies further apart can't be the same
+    near = (F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein(F.col("a"), F.col("b"), 2) >= 0)
+    met = left.join(right, ["matter_id", "kind", "band", "hash"]).filter(F.col("a") < F.col("b")).filter(near).select("matter_id", "kind", "a", "b").distinct()
 
     def check():
         def step(b: pa.RecordBatch) -> pa.RecordBatch | None:
