@@ -55,14 +55,17 @@ def letters(word: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", word.lower()) if not unicodedata.combining(c))
 
 
+_MODULUS = 1 << 61
+
+
 @lru_cache(maxsize=1024)
 def _value(c: str) -> int:
     return zlib.crc32(c.encode()) * 2_654_435_761 % (1 << 52)
 
 
 def anagram(word: str) -> int:
-    """Sum of the values of a word's letter classes."""
-    return sum(_value(_CLASS.get(c, c)) for c in letters(word))
+    """Sum of the values of a word's letter classes, by a modulus that keeps it in 64 bits for words of any length."""
+    return sum(_value(_CLASS.get(c, c)) for c in letters(word)) % _MODULUS
 
 
 def differences(word: str) -> list[int]:
@@ -77,7 +80,7 @@ def differences(word: str) -> list[int]:
         change = _value(_CLASS.get(x, x)) - _value(_CLASS.get(y, y))
         steps += [-change] * (x in w) + [change] * (y in w)
     base = anagram(word)
-    return sorted({base, *(base + a for a in steps), *(base + a + b for a, b in combinations(steps, 2))})
+    return sorted({base, *((base + a) % _MODULUS for a in steps), *((base + a + b) % _MODULUS for a, b in combinations(steps, 2))})
 
 
 @lru_cache(maxsize=400_000)
