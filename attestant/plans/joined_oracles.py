@@ -24,7 +24,7 @@ def oracle_sql(parts: dict[str, str]) -> dict[str, str]:
     prints = (
         f"WITH {R}{_labelled('r', 'w', 'text')}, a AS (SELECT doc_id, count_if(colon AND {rest} <> '') AS colons, count_if(NOT colon AND titled OR titled) AS titles, bool_or(colon AND {has('c', _HIDDEN)}) AS hid FROM w GROUP BY 1), b AS (SELECT doc_id, bool_or(by_label IS NOT NULL) AS byl FROM {of('introductions')} GROUP BY 1), "
         f"l AS (SELECT doc_id, count_if(section = 'transcript' AND transcript_page IS NOT NULL) AS n FROM (SELECT DISTINCT doc_id, physical_page, transcript_page, section FROM page_frames) GROUP BY 1), d AS (SELECT * FROM {of('dominant_markers')}) "
-        "SELECT l.doc_id, d.question AS dominant_question_marker, d.answer AS dominant_answer_marker, coalesce(colons, 0) >= 2 OR coalesce(titles, 0) >= 1 AS speaker_prefixed_dialogue, coalesce(colons, 0) >= 2 AS colon_speaker_prefixed_dialogue, coalesce(titles, 0) >= 1 AS titled_speaker_prefixed_dialogue, coalesce(byl, false) AS examination_heading_style_detected, coalesce(hid, false) AS redacted_speaker_labels_detected, l.n AS transcript_page_labels_detected FROM l LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN d ON d.doc_id = l.doc_id"
+        "SELECT l.doc_id, d.question AS dominant_question_marker, d.answer AS dominant_answer_marker, coalesce(colons, 0) >= 2 OR coalesce(titles, 0) >= 1 AS speaker_prefixed_dialogue, coalesce(colons, 0) >= 2 AS colon_speaker_prefixed_dialogue, coalesce(titles, 0) >= 1 AS titled_speaker_prefixed_dialogue, coalesce(byl, false) AS examination_heading_style_detected, coalesce(hid, false) AS redacted_speaker_labels_detected, CAST(l.n AS BIGINT) AS transcript_page_labels_detected FROM l LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id) LEFT JOIN d ON d.doc_id = l.doc_id"
     )
     router = (
         f"WITH {_PEOPLE}, ro AS (SELECT doc_id, avg(CASE WHEN speaker_role <> 'unknown' THEN 1.0 ELSE 0.0 END) AS share FROM pp GROUP BY 1), m AS (SELECT doc_id, sum(CASE WHEN kind = 'question' THEN observations ELSE 0 END) AS nq, sum(CASE WHEN kind = 'answer' THEN observations ELSE 0 END) AS na FROM {of('marker_rules')} GROUP BY 1), pl AS (SELECT doc_id, avg(CASE WHEN transcript_page IS NOT NULL THEN 1.0 ELSE 0.0 END) FILTER (section = 'transcript') AS pc FROM (SELECT DISTINCT doc_id, physical_page, transcript_page, section FROM page_frames) GROUP BY 1), "

@@ -49,7 +49,7 @@ def oracle_sql() -> dict[str, str]:
         "s AS (SELECT DISTINCT doc_id, physical_page, CAST(0 AS BIGINT) AS k, CAST(NULL AS DOUBLE) AS y, CAST(NULL AS BIGINT) AS n, CAST([] AS DOUBLE[]) AS bs FROM o UNION ALL SELECT doc_id, physical_page, k, y, coalesce(near, len(bs) + 1), CASE WHEN near IS NULL THEN list_append(bs, y) ELSE bs END FROM (SELECT *, CASE WHEN d <= tol THEN CAST(start + list_position(ds, d) AS BIGINT) END AS near FROM (SELECT *, list_min(ds) AS d FROM (SELECT o.*, s.bs, greatest(0, len(s.bs) - 5) AS start, list_transform(s.bs[-5:], lambda b: abs(b - o.y)) AS ds FROM s JOIN o ON o.doc_id = s.doc_id AND o.physical_page = s.physical_page AND o.k = s.k + 1)))), "
         "e AS (SELECT doc_id, physical_page, arg_max(bs, k) AS bs FROM s GROUP BY ALL), a AS (SELECT g.*, s.n AS line_no, e.bs[s.n] AS base, row_number() OVER (PARTITION BY g.doc_id, g.physical_page, s.n ORDER BY g.x, g.y DESC, g.sq) AS r FROM g JOIN s ON s.doc_id = g.doc_id AND s.physical_page = g.physical_page AND s.y = g.y JOIN e ON e.doc_id = g.doc_id AND e.physical_page = g.physical_page), "
         f"b AS (SELECT *, {trim('ch')} = '' AS blank, coalesce(lag(ch) OVER w = ch AND abs(x - lag(x) OVER w) < 0.15 AND abs(y - lag(y) OVER w) < 0.15, false) AND {trim('ch')} <> '' AS again FROM a WINDOW w AS (PARTITION BY doc_id, physical_page, line_no ORDER BY r)), d AS (SELECT *, coalesce(x - lag(x + cw) OVER w > greatest(0.7e0, 0.22e0 * size), true) OR coalesce(lag(blank) OVER w, true) AS cut FROM b WHERE NOT again WINDOW w AS (PARTITION BY doc_id, physical_page, line_no ORDER BY r)), "
-        "h AS (SELECT *, count_if(cut AND NOT blank) OVER (PARTITION BY doc_id, physical_page, line_no ORDER BY r ROWS UNBOUNDED PRECEDING) AS word_no FROM d) SELECT doc_id, CAST(physical_page AS BIGINT) AS physical_page, line_no, word_no, string_agg(ch, '' ORDER BY r) AS text, round(min(x), 3) AS x_pos, round(max(x + cw), 3) AS right_x, first(base) AS y_pos FROM h WHERE NOT blank GROUP BY doc_id, physical_page, line_no, word_no",
+        "h AS (SELECT *, CAST(count_if(cut AND NOT blank) OVER (PARTITION BY doc_id, physical_page, line_no ORDER BY r ROWS UNBOUNDED PRECEDING) AS BIGINT) AS word_no FROM d) SELECT doc_id, CAST(physical_page AS BIGINT) AS physical_page, line_no, word_no, string_agg(ch, '' ORDER BY r) AS text, round(min(x), 3) AS x_pos, round(max(x + cw), 3) AS right_x, first(base) AS y_pos FROM h WHERE NOT blank GROUP BY doc_id, physical_page, line_no, word_no",
         "gutter_columns": f"WITH RECURSIVE o AS (SELECT doc_id, physical_page, fragment_id, n, e, y, row_number() OVER (PARTITION BY doc_id, physical_page ORDER BY e, y DESC, fragment_id) AS k FROM (SELECT doc_id, physical_page, fragment_id, CAST({trim('text')} AS INT) AS n, x_pos + coalesce(width, 0) AS e, y_pos AS y FROM fragments WHERE regexp_matches({trim('text')}, '^[0-9]{{1,3}}$') AND x_pos IS NOT NULL AND y_pos IS NOT NULL) WHERE n BETWEEN 1 AND 100), "
         "s AS (SELECT DISTINCT doc_id, physical_page, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS c, CAST([] AS DOUBLE[]) AS es, CAST(NULL AS VARCHAR) AS fragment_id, CAST(NULL AS INT) AS n, CAST(NULL AS DOUBLE) AS y FROM o UNION ALL SELECT o.doc_id, o.physical_page, o.k, CASE WHEN coalesce(abs(o.e - list_aggregate(s.es, 'median')) <= 7, false) THEN s.c ELSE s.c + 1 END, CASE WHEN coalesce(abs(o.e - list_aggregate(s.es, 'median')) <= 7, false) THEN list_append(s.es, o.e) ELSE [o.e] END, o.fragment_id, o.n, o.y FROM s JOIN o ON o.doc_id = s.doc_id AND o.physical_page = s.physical_page AND o.k = s.k + 1), "
         "p AS (SELECT *, lag(n) OVER (PARTITION BY doc_id, physical_page, c ORDER BY y DESC, k) AS b FROM s WHERE k > 0), g AS (SELECT doc_id, physical_page, c FROM p GROUP BY ALL HAVING count(DISTINCT n) >= 4 AND max(n) - min(n) >= 3 AND count_if((n > b AND n - b <= 3) OR (n <= 3 AND b >= 8)) / greatest(1, count(*) - 1) >= 0.65) SELECT p.doc_id, CAST(p.physical_page AS BIGINT) AS physical_page, p.c AS column_no, p.fragment_id FROM p JOIN g USING (doc_id, physical_page, c)",
@@ -60,7 +60,7 @@ def oracle_sql() -> dict[str, str]:
         "split_pages": f"WITH d AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN replace(text, '.' || chr(10), '.' || chr(12)) WHEN 1 THEN chr(10) || ' ' || chr(10) || replace(text, '.' || chr(10), '.' || chr(10) || ' page  12 ' || chr(10) || chr(10)) ELSE text END AS t FROM documents WHERE text IS NOT NULL), "
         f"f0 AS (SELECT doc_id, string_split(t, chr(12)) AS ps FROM d WHERE contains(t, chr(12))), f1 AS (SELECT doc_id, CASE WHEN {trim('ps[-1]')} = '' THEN ps[:-2] ELSE ps END AS ps FROM f0), f2 AS (SELECT doc_id, generate_subscripts(ps, 1) AS physical_page, unnest(ps) AS text FROM f1), "
         f"l0 AS (SELECT doc_id, list_transform({lines}, lambda l: regexp_replace(l, chr(13) || '$', '')) AS ls FROM d WHERE NOT contains(t, chr(12))), l1 AS (SELECT doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) AS i FROM l0), l2 AS (SELECT *, count_if(regexp_matches({trim('l')}, {q(page_line)})) OVER w AS n, count_if({trim('l')} <> '') OVER w AS seen FROM l1 WINDOW w AS (PARTITION BY doc_id ORDER BY i)), "
-        f"l3 AS (SELECT *, bool_or(n = 0 AND {trim('l')} <> '') OVER (PARTITION BY doc_id) AS intro FROM l2 WHERE seen > 0), l4 AS (SELECT doc_id, n + CASE WHEN intro THEN 1 ELSE 0 END AS physical_page, string_agg(l, chr(10) ORDER BY i) AS text FROM l3 WHERE intro OR n > 0 GROUP BY ALL) SELECT doc_id, physical_page, text FROM f2 UNION ALL SELECT doc_id, physical_page, text FROM l4",
+        f"l3 AS (SELECT *, bool_or(n = 0 AND {trim('l')} <> '') OVER (PARTITION BY doc_id) AS intro FROM l2 WHERE seen > 0), l4 AS (SELECT doc_id, n + CASE WHEN intro THEN 1 ELSE 0 END AS physical_page, string_agg(l, chr(10) ORDER BY i) AS text FROM l3 WHERE intro OR n > 0 GROUP BY ALL) SELECT doc_id, CAST(physical_page AS BIGINT) AS physical_page, text FROM f2 UNION ALL SELECT doc_id, CAST(physical_page AS BIGINT), text FROM l4",
         "joined_lines": f"WITH {R}, a AS (SELECT doc_id, physical_page, row_index, list_filter([CAST(line_number AS VARCHAR), CASE WHEN row_index % 7 = 3 THEN ' 9 ' END, coalesce(text, ''), CASE WHEN row_index % 5 = 2 THEN '13A. Yes.' END], lambda x: x IS NOT NULL) AS ls FROM r), b AS (SELECT doc_id, physical_page, row_index, unnest(ls) AS l0, generate_subscripts(ls, 1) AS j FROM a), "
         f"c AS (SELECT *, regexp_replace(l0, '^([0-9]{{1,2}})([QA][.:])', '\\1 \\2') AS l, row_number() OVER (PARTITION BY doc_id, physical_page ORDER BY row_index, j) AS i FROM b), d AS (SELECT *, regexp_matches({trim('l')}, '^(?:[1-9]|[1-4][0-9]|50)$') AS lone FROM c), e AS (SELECT *, i - coalesce(max(CASE WHEN NOT lone THEN i END) OVER (PARTITION BY doc_id, physical_page ORDER BY i), 0) AS k, lead(l) OVER (PARTITION BY doc_id, physical_page ORDER BY i) AS nxt FROM d), "
         f"f AS (SELECT *, coalesce(lag(lone AND k % 2 = 1) OVER (PARTITION BY doc_id, physical_page ORDER BY i), false) AS taken FROM e) SELECT doc_id, CAST(physical_page AS BIGINT) AS physical_page, string_agg(CASE WHEN lone AND k % 2 = 1 AND nxt IS NOT NULL THEN {trim('l')} || ' ' || {trim('nxt')} ELSE l END, chr(10) ORDER BY i) AS lines FROM f WHERE NOT taken GROUP BY doc_id, physical_page",
