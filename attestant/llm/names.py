@@ -13,7 +13,7 @@ import math
 import re
 import unicodedata
 import zlib
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -279,7 +279,8 @@ def spelling_pairs(spellings: DataFrame) -> DataFrame:
     left, right = keyed.withColumnRenamed("main", "a"), keyed.withColumnRenamed("main", "b")
     # one edit or exchange makes two Levenshtein edits at most, and a main name is one word: what lies further apart can't be the same
     near = (F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein(F.col("a"), F.col("b"), 2) >= 0)
-    met = left.join(right, ["matter_id", "kind", "band", "hash"]).filter(F.col("a") < F.col("b")).filter(near).select("matter_id", "kind", "a", "b").distinct()
+    # a spelling has some fifty keys, which size estimates don't know: merged, not broadcast
+    met = left.join(right.hint("merge"), ["matter_id", "kind", "band", "hash"]).filter(F.col("a") < F.col("b")).filter(near).select("matter_id", "kind", "a", "b").distinct()
 
     def check():
         def step(b: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -300,28 +301,27 @@ def stars(spellings: DataFrame, edges: DataFrame) -> DataFrame:
     keys = ["matter_id", "kind"]
     rank = lambda w, m: F.struct(F.col(w).alias("w"), F.col(m).alias("m"))
     free = spellings.select(*keys, "main", "weight")
-    edges = cut_lineage(edges.join(free.withColumnRenamed("main", "a").withColumnRenamed("weight", "wa"), [*keys, "a"]).join(free.withColumnRenamed("main", "b").withColumnRenamed("weight", "wb"), [*keys, "b"]))
+    edges = cut_lineage(edges.join(free.withColumnRenamed("main", "a").withColumnRenamed("weight", "wa").hint("merge"), [*keys, "a"]).join(free.withColumnRenamed("main", "b").withColumnRenamed("weight", "wb").hint("merge"), [*keys, "b"]))
     # spellings without a neighbour are centres of their own
-    lone = free.join(edges.select(*keys, F.col("a").alias("main")).distinct(), [*keys, "main"], "left_anti").select(*keys, "main", F.col("main").alias("centre"))
+    lone = free.join(edges.select(*keys, F.col("a").alias("main")).distinct().hint("merge"), [*keys, "main"], "left_anti").select(*keys, "main", F.col("main").alias("centre"))
     done = [lone]
     while True:
         best = edges.groupBy(*keys, "a", "wa").agg(F.max(rank("wb", "b")).alias("top"))
         centres = best.filter(rank("wa", "a") > F.col("top")).select(*keys, F.col("a").alias("centre"))
-        taken = edges.join(centres.withColumnRenamed("centre", "b"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("main")).agg(F.max(rank("wb", "b")).alias("c")).select(*keys, "main", F.col("c.m").alias("centre"))
+        taken = edges.join(centres.withColumnRenamed("centre", "b").hint("merge"), [*keys, "b"]).groupBy(*keys, F.col("a").alias("main")).agg(F.max(rank("wb", "b")).alias("c")).select(*keys, "main", F.col("c.m").alias("centre"))
         covered = cut_lineage(taken.unionByName(centres.select(*keys, F.col("centre").alias("main"), "centre")))
-        done.append(covered)
         gone = covered.select(*keys, "main")
-        rest = edges.join(gone.withColumnRenamed("main", "a"), [*keys, "a"], "left_anti")
+        # edges of spellings still free, and whether the neighbour is
+        rest = cut_lineage(edges.join(gone.withColumnRenamed("main", "a").hint("merge"), [*keys, "a"], "left_anti").join(gone.select(*keys, F.col("main").alias("b"), F.lit(True).alias("gone")).hint("merge"), [*keys, "b"], "left"))
+        inner = rest.filter("gone is null").drop("gone")
         # who lost all neighbours is a centre of its own
-        inner = cut_lineage(rest.join(gone.withColumnRenamed("main", "b"), [*keys, "b"], "left_anti").select(edges.columns))
-        done.append(rest.select(*keys, F.col("a").alias("main")).distinct().join(inner.select(*keys, F.col("a").alias("main")).distinct(), [*keys, "main"], "left_anti").select(*keys, "main", F.col("main").alias("centre")))
+        done += [covered, rest.groupBy(*keys, F.col("a").alias("main")).agg(F.count_if(F.col("gone").isNull()).alias("n")).filter("n = 0").select(*keys, "main", F.col("main").alias("centre"))]
         if inner.isEmpty():
             break
+        if len(done) > 8:  # the plan stays small, however many rounds there are
+            done = [cut_lineage(reduce(DataFrame.unionByName, done))]
         edges = inner
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+    return reduce(DataFrame.unionByName, done)
 
 
 def split_star(ways: list[dict]) -> list[int]:
@@ -384,20 +384,20 @@ def linked(participants: DataFrame) -> DataFrame:
     rec = cut_lineage(parsed(participants, given_names(participants)))
     spellings = cut_lineage(rec.select("matter_id", "kind", F.explode("mains").alias("main")).groupBy("matter_id", "kind", "main").agg(F.count("*").alias("weight")))
     star = cut_lineage(stars(spellings, spelling_pairs(spellings)))
-    star = star.join(spellings, ["matter_id", "kind", "main"])
+    star = star.join(spellings.hint("merge"), ["matter_id", "kind", "main"])
     heavy = star.groupBy("matter_id", "kind", "centre").agg(F.sum("weight").alias("size"))
     of_key = (
         rec.select("participant_key", "matter_id", "kind", F.posexplode("mains").alias("pos", "main"))
-        .join(star.join(heavy, ["matter_id", "kind", "centre"]).select("matter_id", "kind", "main", "centre", "size"), ["matter_id", "kind", "main"])
+        .join(star.join(heavy.hint("merge"), ["matter_id", "kind", "centre"]).select("matter_id", "kind", "main", "centre", "size").hint("merge"), ["matter_id", "kind", "main"])
         .groupBy("participant_key", "matter_id", "kind")
         .agg(F.max_by("centre", F.struct("size", -F.col("pos"))).alias("centre"))
     )
-    written = rec.select("participant_key", "given", "titles", "trade").join(of_key, "participant_key")
+    written = cut_lineage(rec.select("participant_key", "given", "titles", "trade").join(of_key.hint("merge"), "participant_key"))
     way = F.to_json(F.struct("given", "titles", "trade"))
     ways = written.groupBy("matter_id", "kind", "centre", way.alias("way")).agg(F.count("*").cast("double").alias("weight"), F.first("given").alias("given"), F.first("titles").alias("titles"), F.first("trade").alias("trade"))
     groups = ways.groupBy("matter_id", "kind", "centre").agg(F.collect_list(F.struct("way", "given", "titles", "trade", "weight")).alias("ways"))
     split = per_batch(groups, _split, "matter_id string, kind string, centre string, way string, star int")
-    keyed = written.withColumn("way", way).join(split, ["matter_id", "kind", "centre", "way"])
+    keyed = written.withColumn("way", way).join(split.hint("merge"), ["matter_id", "kind", "centre", "way"])
     return keyed.select("participant_key", "matter_id", "kind", F.concat_ws(":", "kind", "centre", "star").alias("entity"))
 
 
@@ -405,4 +405,4 @@ def pairs(participants: DataFrame) -> DataFrame:
     """key_a < key_b of one matter that are one entity. Fewer than two named participants: no rows."""
     one = cut_lineage(linked(participants).select("matter_id", "entity", "participant_key"))
     a, b = one.withColumnRenamed("participant_key", "key_a"), one.withColumnRenamed("participant_key", "key_b")
-    return a.join(b, ["matter_id", "entity"]).filter("key_a < key_b").select("key_a", "key_b")
+    return a.join(b.hint("merge"), ["matter_id", "entity"]).filter("key_a < key_b").select("key_a", "key_b")

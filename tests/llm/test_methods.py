@@ -489,6 +489,26 @@ def test_linked_names(spark, tmp_path):
     assert got == {(a, b) for a in same for b in same if a < b} | {(8, 9)}
 
 
+def test_linking_names_broadcasts_nothing(spark, tmp_path, monkeypatch):
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(names, "cut_lineage", lambda df, cut=names.cut_lineage: plans.append(plan(df)) or cut(df))
+    folder = write(spark, tmp_path, participants=[{"participant_key": k, "matter_id": "m", "doc_id": f"d{k}", "canonical_name": n} for k, n in enumerate(("Castor Pakicourt", "Castor Pakicuort", "Milica Pakicourt", "Castor Zedlund"))])
+    found = Q.p5_found(spark, folder)
+    plans.append(plan(found))
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+    assert [(r["key_a"], r["key_b"]) for r in found.collect()] == [(0, 1)]
+
+
+def test_stars_of_many_rounds_keep_a_small_plan(spark):
+    # a path of falling weights gives one star a round: every second spelling becomes a centre, the one after it goes to it
+    n = 19
+    said = spark.createDataFrame([("m", "person", f"w{k:02}", n - k) for k in range(n)] + [("m", "person", "alone", 1)], "matter_id string, kind string, main string, weight long")
+    edges = spark.createDataFrame([("m", "person", f"w{a:02}", f"w{b:02}") for a in range(n) for b in (a - 1, a + 1) if 0 <= b < n], "matter_id string, kind string, a string, b string")
+    got = names.stars(said, edges)
+    assert {(r["main"], r["centre"]) for r in got.collect()} == {(f"w{k:02}", f"w{k // 2 * 2:02}") for k in range(n)} | {("alone", "alone")}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 1
+
 def test_scan_noise(spark, tmp_path):
     clean = [row(f"c{i}", 1, k, t, "answer")[0] for i in range(6) for k, t in enumerate(["The pump was at the station before the meeting.", "It was there and the foundation was new."])]
     rows, lines = transcript(row("s", 1, 0, "In re Pump Claims", source="ocr"), row("s", 1, 1, "Page l2 of 34", source="ocr"), row("s", 1, 2, "Q. Was tlie foun-", "question", source="ocr", event_kind="question_marker"), row("s", 1, 3, "dation new?", "question", source="ocr"), row("s", 1, 4, "A. That is so-", "answer", source="ocr", event_kind="answer_marker"), row("s", 1, 5, "Q. The pump was there?", "question", source="ocr", event_kind="question_marker"))
