@@ -132,6 +132,22 @@ def test_unreadable_glyphs_and_two_columns_are_told(spark):
     assert got[1][0] and not got[2][0] and not got[1][1]
 
 
+def test_positioned_pages_fold_rows_once_and_broadcast_nothing(spark, monkeypatch):
+    from attestant.plans import positioned
+
+    plans = []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(positioned, "cut_lineage", lambda df, cut=positioned.cut_lineage: plans.append(plan(df)) or cut(df))
+    ddl = "doc_id string, physical_page int, fragment_id string, sequence long, text string, x_pos double, y_pos double, width double, height double, font_size double, redaction_masked boolean"
+    pieces = [("d", p, f"{c}{k}", 2 * k + c, f"{'left right'.split()[c]} {k}", 72.0 + 260 * c, 700.0 - 20 * k, 90.0, 12.0, 12.0, False) for p in (1, 2) for k in range(5) for c in (0, 1)]
+    texts = spark.createDataFrame([("d", 1, "left 0")], "doc_id string, physical_page int, text string")
+    made = positioned.pages_of_fragments(spark.createDataFrame(pieces, ddl), texts=texts)
+    plans.append(plan(made))
+    assert not any("Broadcast" in p for p in plans)
+    assert sum("aggregate(fs" in p for p in plans) == 1 and "aggregate(fs" not in plans[-1]
+    rebuilt = "\n".join(f"left {k} right {k}" for k in range(5))
+    assert [(r["physical_page"], r["text"], r["fragment_count"]) for r in made.orderBy("physical_page").collect()] == [(1, rebuilt, 10), (2, rebuilt, 10)]
+
 def test_bare_mark_needs_a_gap(spark):
     from attestant.plans.transcript import Transcripts
 
